@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from skein.llm import chat_format, quality_rules
+from skein.llm import chat_format, licenses, mixing, pii, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op4_license_scan": licenses.op4,
+        "op6_source_mix": mixing.op6,
         "op8_quality_rules": quality_rules.op8,
+        "op9_pii": pii.op9,
         "op10_chat_format": chat_format.op10,
     }
 

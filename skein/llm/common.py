@@ -48,6 +48,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def add_columns(df: DataFrame, text: str, schema: str, maker) -> DataFrame:
+    """df with the columns of schema, made from its text column by maker()(text), a function from a value to a tuple.
+
+    maker is called once in each task. Columns named like a new one are replaced."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ship(df.sparkSession)
+    made = df.sparkSession.createDataFrame([], schema).schema
+    df = df.drop(*(n for n in made.names if n != text))
+    kept = [f for f in df.schema.fields if f.name not in made.names]
+    source = df.select(*(f.name for f in kept), *([F.col(text).alias(f"_in_{text}")] if text in made.names else []))
+    at, types = source.columns.index(f"_in_{text}" if text in made.names else text), to_arrow_schema(made).types
+    n_kept, names = len(kept), [*(f.name for f in kept), *made.names]
+
+    def run(batches):
+        of = maker()
+        for batch in batches:
+            rows = [of(t) for t in batch.column(at).to_pylist()]
+            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *cols], names=names)
+
+    return source.mapInArrow(run, StructType([*kept, *made.fields]))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (long ids): a row (id, component_id) for each end.
 
