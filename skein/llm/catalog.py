@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from skein.llm import chat_format, licenses, mixing, pii, quality_rules
+from skein.llm import chat_format, licenses, mixing, ngram_join, pii, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": ngram_join.op1,
         "op4_license_scan": licenses.op4,
         "op6_source_mix": mixing.op6,
         "op8_quality_rules": quality_rules.op8,
