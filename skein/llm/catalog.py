@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import chat_format, embed_dedup, language_id, licenses, mixing, ngram_join, pii, quality_rules
+from skein.llm import chat_format, embed_dedup, language_id, licenses, mixing, ngram_join, packing, pii, quality_rules
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_license_scan": licenses.op4,
         "op5_embedding_dedup": embed_dedup.op5,
         "op6_source_mix": mixing.op6,
+        "op7_retrieval_packing": packing.op7,
         "op8_quality_rules": quality_rules.op8,
         "op9_pii": pii.op9,
         "op10_chat_format": chat_format.op10,
