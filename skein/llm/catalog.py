@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from skein.llm import chat_format, embed_dedup, language_id, licenses, mixing, ngram_join, packing, pii, quality_rules
+from skein.llm import chat_format, embed_dedup, language_id, licenses, mixing, ngram_join, packing, pii, quality_model, quality_rules
 
 
 def queries() -> dict:
     return {
         "op1_ngram_join": ngram_join.op1,
         "op2_language_id": language_id.op2,
+        "op3_quality_classifier": quality_model.op3,
         "op4_license_scan": licenses.op4,
         "op5_embedding_dedup": embed_dedup.op5,
         "op6_source_mix": mixing.op6,
