@@ -2,7 +2,7 @@
 
 Overlapping heuristic labellers vote good, bad or abstain on each document. Votes of all documents are aggregated
 into patterns; expectation-maximisation over the patterns (independent labellers given the hidden class) estimates
-each labeller's accuracies and the class prior. The posteriors of the patterns are the labels from which a hashed
+each labeller's accuracies where it does not abstain, and the class prior. The posteriors of the patterns are the labels from which a hashed
 linear scorer (logistic regression on log counts of hashed words and word shapes) is trained.
 
 Patterns are at most 3^labellers (59,049), whatever the input. Votes are counted over all documents; the scorer
@@ -111,7 +111,9 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS):
         for k, p in ((0, 1 - post), (1, post)):
             for j in range(len(LABELLERS)):
                 got = np.bincount(v[:, j], weights=p * c, minlength=3) + 0.1
+                got[1] = 0.0
                 table[j, k] = got / got.sum()
+                table[j, k, 1] = 1.0  # to abstain says nothing of the class
         prior = min(0.999, max(0.001, float((post * c).sum() / max(1.0, c.sum()))))
         log = np.log(np.array([1 - prior, prior]))[None, :] + sum(np.log(table[j][:, v[:, j]]).T for j in range(len(LABELLERS)))
         post = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
