@@ -23,34 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.bpe import Encoder
 from skein.llm.common import ship, stash
 
 WINDOW, END_ID, SHARD_DOCS, QUERY_TERMS, NEIGHBOURS, SEED, K1, B = 2048, 1, 2048, 12, 24, 29, 1.2, 0.75
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 200_000
 
 
-class Tokens:
-    """Ids of texts by the tokenizer at path. Words between ASCII white space are tokenised apart and cached: the
-    tokenizer's pieces never span white space, and its special tokens hold none."""
+_encoders: dict[str, Encoder] = {}
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        cache = self.cache
-        new = [w for w in set(words) if w not in cache]
-        if new:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([cache[w] for w in words]), "<u4")
+def encoder(path: str) -> Encoder:
+    """This process's encoder for a tokenizer file, with what it has cached."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 ROW = "id long, doc_tokens long, whole array<long>, rest binary, h long"
@@ -63,14 +50,12 @@ def tokenised(df: DataFrame, id_col: str, text: str, path: str, window: int, see
     names = [c.split()[0] for c in ROW.split(", ")]
 
     def run(batches):
-        tokens = Tokens(path)
-        if tokens.tok.get_vocab_size() > 1 << 16:
-            raise ValueError("ids of this tokenizer do not fit in two bytes")
+        of = encoder(path)
         for batch in batches:
             rows = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                t = t.as_py()
-                x = np.append(tokens(t), np.uint32(END_ID)).astype("<u4")
+            coded = (e for a in range(0, batch.num_rows, 256) for e in of.encode(batch.column(1).slice(a, 256).to_pylist()))
+            for i, e in zip(batch.column(0).to_pylist(), coded):
+                x = np.append(np.frombuffer(e, "<u2"), np.uint16(END_ID)).astype("<u4")
                 whole = len(x) // window
                 crcs = [zlib.crc32(x[j * window : (j + 1) * window].tobytes()) for j in range(whole)]
                 rest = x[whole * window :].astype("<u2").tobytes()

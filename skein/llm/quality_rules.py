@@ -65,7 +65,8 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     chars = F.array("_upper", "_digit", "_beyond", F.col("n_symbols").cast("int"), (F.col("_n") - F.col("word_chars")).cast("int"), rest)
     df = df.withColumn("_hits", F.filter(F.transform("_w", lambda w: F.lower(w)), lambda w: w.isin(COMMON_WORDS)))
     words = F.array(*map(_count_of, COMMON_WORDS))
-    return df.withColumn("chars", chars).withColumn("words", words).drop("_t", "_w", "_g", "_bits", "_k", "_at", "_lines", "_n", "_s", "_s2", "_upper", "_digit", "_beyond", "_hits")
+    # _fence is not deterministic for the optimizer: no filter is pushed below it, which would repeat the expressions
+    return df.withColumn("chars", chars).withColumn("words", words).withColumn("_fence", F.spark_partition_id()).drop("_t", "_w", "_g", "_bits", "_k", "_at", "_lines", "_n", "_s", "_s2", "_upper", "_digit", "_beyond", "_hits")
 
 
 def _count_of(word: str) -> Column:
@@ -111,7 +112,7 @@ def judge(measured: DataFrame, refs: DataFrame, lang: str = "lang", min_chars=MI
     odd = (n >= min_chars) & (F.coalesce("char_js", F.lit(0.0)) > max_char_js)
     # without one common word a long text has no distance at all: the farthest there is
     odd |= (F.col("n_words") >= min_words) & (F.coalesce("word_js", F.lit(1.0)) > max_word_js)
-    return df.withColumn("kept", ~F.col("base_failed") & ~odd).drop("ref_lang", "ref_chars", "ref_words", "_rc", "_rw", "_one")
+    return df.withColumn("kept", ~F.col("base_failed") & ~odd & (F.col("_fence") >= 0)).drop("_fence", "ref_lang", "ref_chars", "ref_words", "_rc", "_rw", "_one")
 
 
 def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", **limits) -> DataFrame:
@@ -119,7 +120,7 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", **limit
     from skein.llm.common import stash
 
     measured = measures(df, text)
-    refs = stash(references(measured.select(F.col(lang), "chars", "words"), lang))
+    refs = stash(references(stash(measured.select(F.col(lang), "chars", "words")), lang))
     return judge(measured, refs, lang, **limits)
 
 
