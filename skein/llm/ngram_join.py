@@ -10,7 +10,7 @@ single part): sufficiently similar sets agree on at least spare + 1 parts, so th
 which a set has nothing is signed only when more than `spare` of its parts are empty; that loses nothing, because
 two sets that agree on empty parts alone have more than `spare` of them each.
 
-Texts of equal sets are one class, and only one document of each class is signed. Buckets of equal signatures are
+Texts of equal sets are one class, for which its smallest id stands in all pairs. Buckets of equal signatures are
 never expanded into pairs:
 1. every member of a bucket meets the bucket's first member; after a rigorous sketch test (parities of hash cells
    differ in at most as many places as the sets do), each class keeps one such pair, which is verified exactly;
@@ -150,9 +150,9 @@ def signed(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     def of(ids, sets):
         bands, sigs, owner = Bands(num, den), [], []
-        own = ids.to_numpy(zero_copy_only=False)
+        own = ids.fill_null(0).to_numpy()
         for i, s in sets:
-            if len(s):
+            if len(s) and ids[i].is_valid:
                 g = signatures(s, bands)
                 sigs.append(g)
                 owner.append(np.full(len(g), own[i], np.int64))
@@ -163,6 +163,8 @@ def signed(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
         sig, who = sig[order], who[order]
         new = np.concatenate(([True], sig[1:] != sig[:-1]))
         head = who[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
+        order = np.argsort(who, kind="stable")  # ids in order compress
+        sig, who, head = sig[order], who[order], head[order]
         for a in range(0, len(sig), 1 << 18):
             z = slice(a, a + (1 << 18))
             yield pa.RecordBatch.from_arrays([pa.array(sig[z].view(np.int64)), pa.array(who[z]), pa.array(head[z])], names=["sig", "id", "head"])
@@ -193,21 +195,44 @@ def shared(heads: DataFrame) -> DataFrame:
     return heads.select("sig", "id").repartition("sig").mapInArrow(run, "sig long, id long, hub long")
 
 
-def packed_sets(df: DataFrame, n: int) -> DataFrame:
-    """(id, size, sketch, items): sketches and whole sets (8 bytes a shingle) of the documents that are candidates."""
+FILTER_BITS = 23
 
-    def of(ids, sets):
-        rows, room = [], 0
-        for i, s in sets:
-            rows.append((ids[i].as_py(), len(s), sketch(s) if len(s) else b"", s.tobytes()))
-            room += 8 * len(s)
-            if room > 8 << 20:
+
+def packed_sets(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id, size, sketch, items): sketches and whole sets (8 bytes a shingle) of the documents with these ids.
+
+    A bitmap of 2^FILTER_BITS hashed ids (1 MB, whatever the input) goes to the tasks, which skip texts outside it,
+    so that no text is shuffled; the few that pass by chance fall to the exact join after it."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    spark = df.sparkSession
+    parts = ids.select(place("id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    first = spark.range(1).select(F.bitmap_bucket_number(F.lit(1)).alias("k")).first()[0]
+    # places count from 1 in a bucket number and from 0 in a bit position: place p is bit p - 1 of the whole
+    whole = np.zeros((1 << FILTER_BITS) + (1 << 15) * 2, np.uint8)
+    for r in parts.collect():
+        at = ((r[0] - first) << 15) + (1 << 15)
+        whole[at : at + (1 << 15)] = np.unpackbits(np.frombuffer(r[1], np.uint8), bitorder="little")
+    shared = spark.sparkContext.broadcast(np.packbits(whole))
+    ship(spark)
+
+    def run(batches):
+        held = np.unpackbits(shared.value)
+        for batch in batches:
+            k, p = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            ok = held[((k - first) << 15) + (1 << 15) + p].astype(bool)
+            got = batch.filter(pa.array(ok))
+            rows, room = [], 0
+            for i, s in W.text_shingles(got.column(1), n):
+                rows.append((got.column(0)[i].as_py(), len(s), sketch(s) if len(s) else b"", s.tobytes()))
+                room += 8 * len(s)
+                if room > 8 << 20:
+                    yield _packed(rows)
+                    rows, room = [], 0
+            if rows:
                 yield _packed(rows)
-                rows, room = [], 0
-        if rows:
-            yield _packed(rows)
 
-    return _set_rows(df.select("id", "text"), "text", n, "id long, size long, sketch binary, items binary", of)
+    d = df.where("id is not null").withColumn("p", place("id")).select("id", "text", F.bitmap_bucket_number("p").alias("k"), F.bitmap_bit_position("p").cast("long").alias("b"))
+    return d.mapInArrow(run, "id long, size long, sketch binary, items binary").join(ids, "id", "left_semi")
 
 
 def _packed(rows):
@@ -341,21 +366,24 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     sizes = stash(set_sizes(docs, n))
     # classes of equal sets; ids that are null or without words stand alone
     rep = stash(sizes.where("id is not null and n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("rep")))
-    one = docs.join(rep.select(F.col("rep").alias("id")), "id", "left_semi")
-    rows = stash(signed(one, n, num, den))
+    of = stash(sizes.where("id is not null and n_shingles > 0").join(rep, ["h1", "h2", "n_shingles"]).groupBy("id").agg(F.min("rep").alias("rep")))
+    rows = stash(signed(docs, n, num, den))
     buckets = stash(shared(rows.where("id = head")))
     locals_ = rows.where("id <> head").select("sig", "id", F.col("head").alias("hub"))
-    pairs = stash(buckets.where("id <> hub").select("id", "hub").union(locals_.select("id", "hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
+    met = buckets.where("id <> hub").select("id", "hub").union(locals_.select("id", "hub")).distinct()
+    met = met.join(of, "id").select(F.col("rep").alias("a"), F.col("hub").alias("id")).join(of, "id").select("a", F.col("rep").alias("b")).where("a <> b")
+    pairs = stash(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ids = stash(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    sets = stash(packed_sets(one.join(ids, "id", "left_semi"), n).dropDuplicates(["id"]))
+    sets = stash(packed_sets(docs, ids, n).dropDuplicates(["id"]))
     first = sketch_pairs(pairs, sets, num, den).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = stash(verify(first, sets, num, den))
-    comp = stash(components(links))
+    comp = components(links)
     # buckets of several components, with all their members
-    named = lambda t: t.join(comp, "id", "left").select("sig", "id", F.coalesce("component_id", "id").alias("comp"))
-    every = stash(named(buckets.select("sig", "id").union(locals_.select("sig", "id")).union(locals_.select("sig", F.col("hub").alias("id")))).distinct())
+    placed = stash(of.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("id", "rep", F.coalesce("component_id", "rep").alias("comp")))
+    members = buckets.select("sig", "id").union(locals_.select("sig", "id")).union(locals_.select("sig", F.col("hub").alias("id")))
+    every = stash(members.join(placed, "id").select("sig", F.col("rep").alias("id"), "comp"))
     live = every.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    more = stash(tile_pairs(every.join(live, "sig", "left_semi"), sets, num, den))
+    more = stash(tile_pairs(every.join(live, "sig", "left_semi").distinct(), sets, num, den))
     links = links.union(stash(verify(more, sets, num, den)))
     comp = stash(components(links)).withColumnRenamed("id", "rep")
     named_rep = rep.join(comp, "rep", "left").select("h1", "h2", F.col("n_shingles").alias("_n"), F.coalesce("component_id", "rep").alias("_comp"))
