@@ -16,8 +16,9 @@ never expanded into pairs:
    differ in at most as many places as the sets do), each class keeps one such pair, which is verified exactly;
    the links give first components, which swallow groups of near copies with one pair for each member;
 2. only buckets that still hold several components are looked at again: members meet in tiles of bounded size by
-   the same sketch test, and pairs of different components that pass are verified exactly.
-Every similar pair of different components is met in step 2, so no link between components is lost.
+   the same sketch test; first each member's nearest one in another component is verified, which merges groups of
+   near copies that have no common centre, then all pairs of different components that pass.
+Every similar pair of different components is met in the last round, so no link between components is lost.
 
 A bucket is split before the shuffle: a map task sends one member of each signature that it saw several times,
 and pairs the others with it on the spot; the others follow only into buckets of step 2.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from skein.llm import words as W
 from skein.llm.common import components, ship, stash
 
-SPARE, TILE = 4, 4096
+SPARE, TILE, NEAREST_ROUNDS = 4, 4096, 2
 
 
 class Bands:
@@ -281,8 +282,8 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return j.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def tile_pairs(members: DataFrame, sets: DataFrame, num: int, den: int, tile: int = TILE) -> DataFrame:
-    """Pairs of different components within the buckets that their sketches allow.
+def tile_pairs(members: DataFrame, sets: DataFrame, num: int, den: int, best: bool, tile: int = TILE) -> DataFrame:
+    """Pairs of different components within the buckets that their sketches allow; with best, each member's nearest one alone.
 
     members: (sig, id, comp). A bucket of more than `tile` members is cut into blocks by a hash of the id; a member
     goes to the tiles of its block with every block, so that a task holds two blocks at most."""
@@ -296,7 +297,7 @@ def tile_pairs(members: DataFrame, sets: DataFrame, num: int, den: int, tile: in
     def run(batches):
         bands = Bands(num, den)
         for t in key_runs(batches, 3):
-            yield from _tile(t, bands)
+            yield from _tile(t, bands, best)
 
     return d.select("sig", "t1", "t2", "_b", "id", "comp", "size", "sketch").mapInArrow(run, "a long, b long").distinct()
 
@@ -324,7 +325,7 @@ def _changes(t: pa.Table, n_keys: int) -> np.ndarray:
     return out
 
 
-def _tile(t: pa.Table, bands: Bands):
+def _tile(t: pa.Table, bands: Bands, best: bool):
     """Pairs of each group of (sig, t1, t2, block, id, comp, size, sketch), sorted by size in a group."""
     t1, t2, block, ids, comp, size = (t.column(i).to_numpy() for i in range(1, 7))
     sketches = t.column(7).to_pylist()
@@ -346,11 +347,15 @@ def _tile(t: pa.Table, bands: Bands):
             if stop <= i + 1:
                 continue
             z = slice(i + 1, stop)
-            near = np.bitwise_count(bits[i + 1 - lo : stop - lo] ^ bits[i - lo]).sum(axis=1, dtype=np.int64) <= (size[z] + size[i]) * (den - num) // (den + num)
+            apart = np.bitwise_count(bits[i + 1 - lo : stop - lo] ^ bits[i - lo]).sum(axis=1, dtype=np.int64)
+            near = apart <= (size[z] + size[i]) * (den - num) // (den + num)
             near &= comp[z] != comp[i]
             if t1[lo] != t2[lo]:
                 near &= block[z] != block[i]
-            for j in (np.flatnonzero(near) + i + 1).tolist():
+            hit = np.flatnonzero(near)
+            if best and len(hit) > 1:
+                hit = hit[[apart[hit].argmin()]]
+            for j in (hit + i + 1).tolist():
                 a.append(min(ids[i], ids[j]))
                 b.append(max(ids[i], ids[j]))
         if len(a) > 1 << 16:
@@ -378,14 +383,18 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     first = sketch_pairs(pairs, sets, num, den).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = stash(verify(first, sets, num, den))
     comp = components(links)
-    # buckets of several components, with all their members
-    placed = stash(of.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("id", "rep", F.coalesce("component_id", "rep").alias("comp")))
     members = buckets.select("sig", "id").union(locals_.select("sig", "id")).union(locals_.select("sig", F.col("hub").alias("id")))
-    every = stash(members.join(placed, "id").select("sig", F.col("rep").alias("id"), "comp"))
-    live = every.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    more = stash(tile_pairs(every.join(live, "sig", "left_semi").distinct(), sets, num, den))
-    links = links.union(stash(verify(more, sets, num, den)))
-    comp = stash(components(links)).withColumnRenamed("id", "rep")
+    # buckets of several components, with all their members: nearest ones first, until little is left to meet exactly
+    for best in (*(True,) * NEAREST_ROUNDS, False):
+        placed = stash(of.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("id", "rep", F.coalesce("component_id", "rep").alias("comp")))
+        named = members.join(placed, "id").select("sig", F.col("rep").alias("id"), "comp")
+        live = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+        members = stash(named.join(live, "sig", "left_semi").distinct())
+        more = stash(tile_pairs(members, sets, num, den, best))
+        links = links.union(stash(verify(more, sets, num, den)))
+        comp = stash(components(links))
+        members = members.select("sig", "id")
+    comp = comp.withColumnRenamed("id", "rep")
     named_rep = rep.join(comp, "rep", "left").select("h1", "h2", F.col("n_shingles").alias("_n"), F.coalesce("component_id", "rep").alias("_comp"))
     on = (sizes.h1 == named_rep.h1) & (sizes.h2 == named_rep.h2) & (sizes.n_shingles == named_rep._n)
     out = sizes.join(named_rep, on, "left").select(sizes.id.alias(id_col), sizes.n_shingles, F.when(sizes.n_shingles > 0, F.when(sizes.id.isNotNull(), F.col("_comp"))).otherwise(sizes.id).alias("component_id"))
