@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions.ids import edge_id
+from skein.operators.loops import settle
 from skein.operators.mining import resolve_calls, resolve_imports
 from skein.operators.store import close_graph
 from skein.sources.files import evidence, is_test, language, lines, masked
@@ -86,7 +87,7 @@ def definitions(src: DataFrame) -> DataFrame:
         name = F.regexp_extract("text", rx, 1)
         ok = F.col("lang").isin(*langs.split()) & (name != "") & ~name.isin(*NOT_CALLS)
         hit = F.when(ok, F.struct(F.lit(kind).alias("kind"), name.alias("symbol"), F.lit(conf).alias("confidence"))).otherwise(hit)
-    d = src.withColumn("d", hit)
+    d = settle(src.withColumn("d", hit))
     depth = F.length(F.regexp_extract("text", r"^(\s*)", 1))
     d = d.withColumn("_in", depth).withColumn("_real", (F.trim("text") != "") & ~F.rlike("text", F.lit(r"^\s*[\]})]")))
     own = d.where("d is not null").select("path", "lang", "line_no", "text", "_in", "d.*")
@@ -105,7 +106,7 @@ def import_targets(src: DataFrame) -> DataFrame:
     for langs, rx in reversed(IMPORTS):
         got = F.regexp_extract("text", rx, 1)
         name = F.when(F.col("lang").isin(*langs.split()) & (got != ""), got).otherwise(name)
-    d = src.withColumn("target", name).where("target <> ''")
+    d = settle(src.withColumn("target", name)).where("target <> ''")
     folder = F.regexp_replace("path", "[^/]*$", "")
     full = F.concat(folder, "target")
     for _ in range(4):  # a/../ and ./ of a relative target
@@ -149,8 +150,8 @@ def _enclosing(src: DataFrame, defs: DataFrame) -> DataFrame:
 
 def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of source files (path, content): one closed graph, the first evidence of each edge."""
-    src = source_lines(files)
-    defs = definitions(src)
+    src = settle(source_lines(files))  # written between the passes, as each is read many times
+    defs = settle(definitions(src))
     named = lambda d, kind: d.select("id", F.lit(kind).alias("kind"), "name", "path")
     nodes = files.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("File").alias("kind"), F.substring_index("path", "/", -1).alias("name"), "path", language(F.col("path")).alias("lang"))
     nodes = nodes.unionByName(defs.select("id", "kind", F.col("symbol").alias("name"), "path", "lang", "signature", "start_line", "end_line"), allowMissingColumns=True)
@@ -159,19 +160,19 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = lambda d: F.concat(F.lit("file:"), d["path"])
     d = defs.withColumnsRenamed({"start_line": "line_no", "signature": "text"})
     edges = _edges(d, F.lit("CONTAINS"), at(d), F.col("id"), 1.0)
-    imp = import_targets(src)
+    imp = settle(import_targets(src))
     local = imp.where("file is not null and file <> path")
     edges = edges.unionByName(_edges(local, F.lit("IMPORTS"), at(local), F.concat(F.lit("file:"), "file"), 1.0))
     away = imp.where("file is null and lang <> 'python' and not startswith(raw, '.')")
     package = F.regexp_extract("raw", r"^(@[^/]+/[^/]+|[^/]+)", 1)
     edges = edges.unionByName(_edges(away, F.lit("IMPORTS"), at(away), F.concat(F.lit("ext:"), package), 1.0))
-    found = calls(src, defs)
-    solved = resolve_calls(found.select("caller", "path", "name").distinct(), defs.where("kind in ('Function', 'Method', 'Class')").select("symbol", "path", "id"), local.select("path", "file").distinct())
+    found = settle(calls(src, defs))
+    solved = settle(resolve_calls(found.select("caller", "path", "name").distinct(), defs.where("kind in ('Function', 'Method', 'Class')").select("symbol", "path", "id"), local.select("path", "file").distinct()))
     where = found.groupBy("caller", "name").agg(F.min_by(F.struct("path", "text"), "line_no").alias("e"), F.min("line_no").alias("line_no")).select("caller", "name", "e.path", "line_no", "e.text")
     c = solved.join(where, ["caller", "name"])
     kind = F.when(is_test(F.col("path")), "TESTS").otherwise("CALLS")
     edges = edges.unionByName(_edges(c, kind, F.col("caller"), F.col("callee"), 1.0).drop("confidence").join(solved.select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "confidence").groupBy("src", "dst").agg(F.max("confidence").alias("confidence")), ["src", "dst"]).select(*edges.columns))
-    body = _enclosing(src, defs)
+    body = settle(_enclosing(src, defs))
     x = lambda rx, i: F.nullif(F.regexp_extract("text", rx, i), F.lit(""))
     route = body.withColumn("_h", x(ROUTE, 3)).where("_h is not null").withColumn("api", F.concat(F.lit("api:"), F.upper(x(ROUTE, 1)), F.lit(":"), x(ROUTE, 2)))
     deco = src.withColumn("_m", x(DECORATOR, 1)).where("_m is not null").withColumn("api", F.concat(F.lit("api:"), F.when(F.lower("_m") == "route", "GET").otherwise(F.upper("_m")), F.lit(":"), x(DECORATOR, 2)))
@@ -194,4 +195,4 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = nodes.unionByName(tables.select(F.concat(F.lit("table:"), "table").alias("id"), F.lit("Table").alias("kind"), F.col("table").alias("name")), allowMissingColumns=True)
     nodes = nodes.groupBy("id").agg(F.max_by(F.struct(*[c for c in nodes.columns if c != "id"]), F.coalesce("start_line", F.lit(0))).alias("r")).select("id", "r.*")
     edges = edges.groupBy("id").agg(F.min_by(F.struct(*[c for c in edges.columns if c != "id"]), F.col("evidence")[0]["line"]).alias("r")).select("id", "r.*")
-    return close_graph(nodes, edges)
+    return close_graph(settle(nodes), settle(edges))
