@@ -16,8 +16,8 @@ never expanded into pairs:
    differ in at most as many places as the sets do), each class keeps one such pair, which is verified exactly;
    the links give first components, which swallow groups of near copies with one pair for each member;
 2. only buckets that still hold several components are looked at again: members meet in tiles of bounded size by
-   the same sketch test; first each member's nearest one in another component is verified, which merges groups of
-   near copies that have no common centre, then all pairs of different components that pass.
+   the same sketch test; first, in large buckets, each member's nearest one in another component is verified, which
+   merges groups of near copies without a common centre, then all pairs of different components that pass.
 Every similar pair of different components is met in the last round, so no link between components is lost.
 
 A bucket is split before the shuffle: a map task sends one member of each signature that it saw several times,
@@ -37,9 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import words as W
-from skein.llm.common import components, ship, stash
+from skein.llm.common import components, release, ship, stash
 
-SPARE, TILE, NEAREST_ROUNDS = 4, 4096, 2
+SPARE, TILE, NEAREST_ROUNDS, SMALL, SKETCH_BYTES = 4, 4096, 2, 8, 512
 
 
 class Bands:
@@ -224,7 +224,8 @@ def packed_sets(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             got = batch.filter(pa.array(ok))
             rows, room = [], 0
             for i, s in W.text_shingles(got.column(1), n):
-                rows.append((got.column(0)[i].as_py(), len(s), sketch(s) if len(s) else b"", s.tobytes()))
+                x = sketch(s) if len(s) else b""
+                rows.append((got.column(0)[i].as_py(), len(s), x, fold(np.frombuffer(x, np.uint8), 8 * SKETCH_BYTES).tobytes(), s.tobytes()))
                 room += 8 * len(s)
                 if room > 8 << 20:
                     yield _packed(rows)
@@ -233,12 +234,12 @@ def packed_sets(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 yield _packed(rows)
 
     d = df.where("id is not null").withColumn("p", place("id")).select("id", "text", F.bitmap_bucket_number("p").alias("k"), F.bitmap_bit_position("p").cast("long").alias("b"))
-    return d.mapInArrow(run, "id long, size long, sketch binary, items binary").join(ids, "id", "left_semi")
+    return d.mapInArrow(run, "id long, size long, sketch binary, short binary, items binary").join(ids, "id", "left_semi")
 
 
 def _packed(rows):
     cols = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["id", "size", "sketch", "items"])
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["id", "size", "sketch", "short", "items"])
 
 
 def may_link(a: tuple[int, bytes], b: tuple[int, bytes], bands: Bands) -> bool:
@@ -285,13 +286,12 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 def tile_pairs(members: DataFrame, sets: DataFrame, num: int, den: int, best: bool, tile: int = TILE) -> DataFrame:
     """Pairs of different components within the buckets that their sketches allow; with best, each member's nearest one alone.
 
-    members: (sig, id, comp). A bucket of more than `tile` members is cut into blocks by a hash of the id; a member
-    goes to the tiles of its block with every block, so that a task holds two blocks at most."""
-    n = members.groupBy("sig").agg(F.count("*").alias("n"))
-    d = members.join(n, "sig").withColumn("_k", F.ceil(F.col("n") / tile).cast("int")).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
+    members: (sig, id, comp, n), n the size of the bucket. A bucket of more than `tile` members is cut into blocks by
+    a hash of the id; a member goes to the tiles of its block with every block, so that a task holds two blocks at
+    most. Sketches travel folded to SKETCH_BYTES."""
+    d = members.withColumn("_k", F.ceil(F.col("n") / tile).cast("int")).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
     d = d.select("sig", "id", "comp", "_b", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_o"))
-    d = d.select("sig", F.least("_b", "_o").alias("t1"), F.greatest("_b", "_o").alias("t2"), "_b", "id", "comp").join(sets.select("id", "size", "sketch"), "id")
-
+    d = d.select("sig", F.least("_b", "_o").alias("t1"), F.greatest("_b", "_o").alias("t2"), "_b", "id", "comp").join(sets.select("id", "size", F.col("short").alias("sketch")), "id")
     d = d.repartition("sig", "t1", "t2").sortWithinPartitions("sig", "t1", "t2", "size", "id")
 
     def run(batches):
@@ -302,6 +302,25 @@ def tile_pairs(members: DataFrame, sets: DataFrame, num: int, den: int, best: bo
     return d.select("sig", "t1", "t2", "_b", "id", "comp", "size", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
+def small_pairs(members: DataFrame) -> DataFrame:
+    """All pairs of different components of buckets of SMALL members at most; pairs of several buckets come once."""
+
+    def run(batches):
+        for t in key_runs(batches, 1):
+            ids, comp = t.column(1).to_numpy(), t.column(2).to_numpy()
+            cuts = [0, *np.flatnonzero(_changes(t, 1)).tolist(), t.num_rows]
+            a, b = [], []
+            for lo, hi in zip(cuts, cuts[1:]):
+                for i in range(lo, hi):
+                    for j in range(i + 1, hi):
+                        if comp[i] != comp[j]:
+                            a.append(min(ids[i], ids[j]))
+                            b.append(max(ids[i], ids[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return members.select("sig", "id", "comp").repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long").distinct()
+
+
 def key_runs(batches, n_keys: int):
     """Tables of whole groups of consecutive rows with equal keys (the first n_keys columns, long or int), many to a table."""
     left = None
@@ -374,6 +393,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     of = stash(sizes.where("id is not null and n_shingles > 0").join(rep, ["h1", "h2", "n_shingles"]).groupBy("id").agg(F.min("rep").alias("rep")))
     rows = stash(signed(docs, n, num, den))
     buckets = stash(shared(rows.where("id = head")))
+    release(df.sparkSession)
     locals_ = rows.where("id <> head").select("sig", "id", F.col("head").alias("hub"))
     met = buckets.where("id <> hub").select("id", "hub").union(locals_.select("id", "hub")).distinct()
     met = met.join(of, "id").select(F.col("rep").alias("a"), F.col("hub").alias("id")).join(of, "id").select("a", F.col("rep").alias("b")).where("a <> b")
@@ -386,12 +406,15 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     members = buckets.select("sig", "id").union(locals_.select("sig", "id")).union(locals_.select("sig", F.col("hub").alias("id")))
     # buckets of several components, with all their members: nearest ones first, until little is left to meet exactly
     for best in (*(True,) * NEAREST_ROUNDS, False):
+        release(df.sparkSession)
         placed = stash(of.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("id", "rep", F.coalesce("component_id", "rep").alias("comp")))
         named = members.join(placed, "id").select("sig", F.col("rep").alias("id"), "comp")
-        live = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-        members = stash(named.join(live, "sig", "left_semi").distinct())
-        more = stash(tile_pairs(members, sets, num, den, best))
-        links = links.union(stash(verify(more, sets, num, den)))
+        live = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("sig", "n")
+        members = stash(named.join(live, "sig").distinct())
+        more = tile_pairs(members.where(F.col("n") > SMALL), sets, num, den, best)
+        if not best:
+            more = more.union(sketch_pairs(small_pairs(members.where(F.col("n") <= SMALL)), sets, num, den)).distinct()
+        links = links.union(stash(verify(stash(more), sets, num, den)))
         comp = stash(components(links))
         members = members.select("sig", "id")
     comp = comp.withColumnRenamed("id", "rep")
