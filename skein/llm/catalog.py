@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op10_chat_format": chat_format.ORACLE_SQL}
+    return {
+        "op1_ngram_join": ngram_join.ORACLE_SQL,
+        "op5_embedding_dedup": embed_dedup.ORACLE_SQL,
+        "op8_quality_rules": quality_rules.ORACLE_SQL,
+        "op10_chat_format": chat_format.ORACLE_SQL,
+    }

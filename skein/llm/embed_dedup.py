@@ -135,3 +135,15 @@ def op5(spark, sf_dir: str) -> DataFrame:
     from skein.llm.common import table
 
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL = """
+with recursive v as (
+  select vec_id, [x::double for x in embedding] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), u as (select vec_id, e, sqrt(list_dot_product(e, e)) as n from v),
+l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+r as (select vec_id as id, vec_id as root from embeddings union select l.b, r.root from r join l on l.a = r.id),
+m as (select id, min(root) as root from r group by id), c as (select a, count(*) as n from l group by a)
+select vec_id, coalesce(c.n, 0) as n_links, root as component_id, root = vec_id as kept from embeddings left join c on a = vec_id join m on id = vec_id
+"""

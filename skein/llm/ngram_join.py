@@ -428,3 +428,18 @@ def op1(spark, sf_dir: str) -> DataFrame:
     from skein.llm.common import table
 
     return ngram_join(table(spark, sf_dir, "documents"), "doc_id", "text", n=4, num=85, den=100)
+
+
+ORACLE_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select doc_id, unnest(case when len(w) >= 4 then list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w
+), n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b using (g) where a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id as id, doc_id as root from documents union select e.b, r.root from r join e on e.a = r.id),
+m as (select id, min(root) as root from r group by id)
+select d.doc_id, coalesce(n, 0) as n_shingles, root as component_id from documents d left join n using (doc_id) join m on m.id = d.doc_id
+"""

@@ -130,5 +130,32 @@ def op8(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     measured = stash(measures(docs).drop("text"))  # the texts are read once
     out = judge(measured, stash(references(measured)))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_js", "word_js")
-
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_js", 6).alias("char_js"), F.round("word_js", 6).alias("word_js"))
+
+
+ORACLE_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, lang from documents),
+w as (select *, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) as l, regexp_replace(t, '[^A-Z0-9#*$%&|<>]+', '', 'g') as s from d),
+g as (select doc_id, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] as gram from w, unnest(range(1, len(w) - 1)) as x(i)),
+m as (select doc_id, i from (select *, count(*) over (partition by doc_id, gram) as c from g) where c > 1),
+rep as (select doc_id, count(distinct i + k) as n from m, (values (0), (1), (2)) as k(k) group by doc_id),
+f as (select w.doc_id, lang, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(s, '[A-Z0-9]+', '', 'g')) as n_symbols,
+  len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, length(t) as n, strlen(t) - length(t) as beyond,
+  length(regexp_replace(s, '[^A-Z]+', '', 'g')) as upper, length(regexp_replace(s, '[^0-9]+', '', 'g')) as digit, [len(list_filter(w, lambda x: lower(x) = c)) for c in COMMON] as words
+  from w left join rep using (doc_id)),
+h as (select *, [upper, digit, beyond, n_symbols, n - word_chars, greatest(0, word_chars - n_symbols - upper - digit - beyond)] as chars from f),
+ec as (select doc_id, lang, i, chars[i]::double as x from h, unnest(range(1, 7)) as k(i)), ew as (select doc_id, lang, i, words[i]::double as x from h, unnest(range(1, len(words) + 1)) as k(i)),
+rc as (select lang, i, sum(x) as x from ec where lang is not null group by all union all select null, i, sum(x) from ec group by i),
+rw as (select lang, i, sum(x) as x from ew where lang is not null group by all union all select null, i, sum(x) from ew group by i),
+tc as (select doc_id, sum(x) as t from ec group by doc_id), tw as (select doc_id, sum(x) as t from ew group by doc_id),
+zc as (select lang, sum(x) as t from rc group by lang), zw as (select lang, sum(x) as t from rw group by lang),
+jc as (select doc_id, sqrt(greatest(0, sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2)) as js
+  from (select doc_id, ec.x / tc.t as p, rc.x / zc.t as q from ec join tc using (doc_id) join rc on rc.i = ec.i and rc.lang is not distinct from ec.lang join zc on zc.lang is not distinct from ec.lang where tc.t > 0 and zc.t > 0) group by doc_id),
+jw as (select doc_id, sqrt(greatest(0, sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2)) as js
+  from (select doc_id, ew.x / tw.t as p, rw.x / zw.t as q from ew join tw using (doc_id) join rw on rw.i = ew.i and rw.lang is not distinct from ew.lang join zw on zw.lang is not distinct from ew.lang where tw.t > 0 and zw.t > 0) group by doc_id)
+select h.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (list_sum(chars) >= 200 and coalesce(jc.js, 0) > 0.2) and not (n_words >= 50 and coalesce(jw.js, 1) > 0.65) as kept,
+  round(jc.js, 6) as char_js, round(jw.js, 6) as word_js
+from h left join jc using (doc_id) left join jw using (doc_id)
+""".replace("COMMON", "[" + ", ".join(f"'{w}'" for w in COMMON_WORDS) + "]")
