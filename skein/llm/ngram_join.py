@@ -127,7 +127,9 @@ def _set_rows(df: DataFrame, text: str, n: int, columns: str, of) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield from of(batch.column(0), W.text_shingles(batch.column(1), n))
+            for a in range(0, batch.num_rows, 2500):  # bounds what numpy holds at once
+                part = batch.slice(a, 2500)
+                yield from of(part.column(0), W.text_shingles(part.column(1), n))
 
     return df.mapInArrow(run, columns)
 
