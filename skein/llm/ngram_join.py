@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from skein.llm import words as W
 from skein.llm.common import components, release, ship, stash
 
-SPARE, TILE, NEAREST_ROUNDS, SMALL, SKETCH_BYTES = 4, 4096, 2, 8, 512
+SPARE, TILE, NEAREST_ROUNDS, SMALL, SKETCH_BYTES = 4, 4096, 2, 8, 1024
 
 
 class Bands:
@@ -102,8 +102,8 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def sketch_bits(size: int) -> int:
-    """Cells of a set's parity sketch: a power of two, and the same for sets near in size but for one doubling."""
-    return 1 << max(6, (size // 2).bit_length())
+    """Cells of a set's parity sketch: a power of two above its size, so that most cells of unlike sets differ."""
+    return 1 << max(6, size.bit_length())
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -301,7 +301,10 @@ def tile_pairs(members: DataFrame, sets: DataFrame, num: int, den: int, best: bo
         for t in key_runs(batches, 3):
             yield from _tile(t, bands, best)
 
-    return d.select("sig", "t1", "t2", "_b", "id", "comp", "size", "sketch").mapInArrow(run, "a long, b long").distinct()
+    found = d.select("sig", "t1", "t2", "_b", "id", "comp", "size", "sketch").mapInArrow(run, "a long, b long, apart long")
+    if best:  # of all buckets
+        found = found.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def small_pairs(members: DataFrame) -> DataFrame:
@@ -351,14 +354,12 @@ def _tile(t: pa.Table, bands: Bands, best: bool):
     t1, t2, block, ids, comp, size = (t.column(i).to_numpy() for i in range(1, 7))
     sketches = t.column(7).to_pylist()
     cuts = [0, *np.flatnonzero(_changes(t, 3)).tolist(), t.num_rows]
-    num, den, a, b = bands.num, bands.den, [], []
+    num, den, a, b, d = bands.num, bands.den, [], [], []
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, d)], names=["a", "b", "apart"])
+
     for lo, hi in zip(cuts, cuts[1:]):
-        if hi - lo == 2:
-            i, j = lo, lo + 1
-            if comp[i] != comp[j] and (t1[i] == t2[i] or block[i] != block[j]) and may_link((int(size[i]), sketches[i]), (int(size[j]), sketches[j]), bands):
-                a.append(min(ids[i], ids[j]))
-                b.append(max(ids[i], ids[j]))
-            continue
         if (comp[lo:hi] == comp[lo]).all():
             continue
         width = min(map(len, sketches[lo:hi])) * 8
@@ -376,14 +377,14 @@ def _tile(t: pa.Table, bands: Bands, best: bool):
             hit = np.flatnonzero(near)
             if best and len(hit) > 1:
                 hit = hit[[apart[hit].argmin()]]
-            for j in (hit + i + 1).tolist():
-                a.append(min(ids[i], ids[j]))
-                b.append(max(ids[i], ids[j]))
+            a += [ids[i]] * len(hit)
+            b += ids[z][hit].tolist()
+            d += apart[hit].tolist()
         if len(a) > 1 << 16:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            a, b = [], []
+            yield out()
+            a, b, d = [], [], []
     if a:
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        yield out()
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -415,8 +416,8 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
         members = stash(named.join(live, "sig").distinct())
         more = tile_pairs(members.where(F.col("n") > SMALL), sets, num, den, best)
         if not best:
-            more = more.union(sketch_pairs(small_pairs(members.where(F.col("n") <= SMALL)), sets, num, den)).distinct()
-        links = links.union(stash(verify(stash(more), sets, num, den)))
+            more = more.union(small_pairs(members.where(F.col("n") <= SMALL))).distinct()
+        links = links.union(stash(verify(stash(sketch_pairs(more, sets, num, den)), sets, num, den)))
         comp = stash(components(links))
         members = members.select("sig", "id")
     comp = comp.withColumnRenamed("id", "rep")
