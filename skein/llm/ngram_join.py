@@ -405,7 +405,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     sets = stash(packed_sets(docs, ids, n).dropDuplicates(["id"]))
     first = sketch_pairs(pairs, sets, num, den).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = stash(verify(first, sets, num, den))
-    comp = components(links)
+    comp = stash(components(links))
     members = buckets.select("sig", "id").union(locals_.select("sig", "id")).union(locals_.select("sig", F.col("hub").alias("id")))
     # buckets of several components, with all their members: nearest ones first, until little is left to meet exactly
     for best in (*(True,) * NEAREST_ROUNDS, False):
@@ -414,12 +414,16 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
         named = members.join(placed, "id").select("sig", F.col("rep").alias("id"), "comp")
         live = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("sig", "n")
         members = stash(named.join(live, "sig").distinct())
+        if members.isEmpty():
+            break
         more = tile_pairs(members.where(F.col("n") > SMALL), sets, num, den, best)
         if not best:
             more = more.union(small_pairs(members.where(F.col("n") <= SMALL))).distinct()
-        links = links.union(stash(verify(stash(sketch_pairs(more, sets, num, den)), sets, num, den)))
-        comp = stash(components(links))
+        found = stash(verify(stash(sketch_pairs(more, sets, num, den)), sets, num, den))
         members = members.select("sig", "id")
+        if not found.isEmpty():
+            links = links.union(found)
+            comp = stash(components(links))
     comp = comp.withColumnRenamed("id", "rep")
     named_rep = rep.join(comp, "rep", "left").select("h1", "h2", F.col("n_shingles").alias("_n"), F.coalesce("component_id", "rep").alias("_comp"))
     on = (sizes.h1 == named_rep.h1) & (sizes.h2 == named_rep.h2) & (sizes.n_shingles == named_rep._n)
