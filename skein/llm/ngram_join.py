@@ -205,7 +205,7 @@ def packed_sets(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """(id, size, sketch, items): sketches and whole sets (8 bytes a shingle) of the documents with these ids.
 
     A bitmap of 2^FILTER_BITS hashed ids (1 MB, whatever the input) goes to the tasks, which skip texts outside it,
-    so that no text is shuffled; the few that pass by chance fall to the exact join after it."""
+    so that no text is shuffled; the few that pass by chance are in no pair and do no harm."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
     spark = df.sparkSession
     parts = ids.select(place("id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
@@ -236,7 +236,7 @@ def packed_sets(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 yield _packed(rows)
 
     d = df.where("id is not null").withColumn("p", place("id")).select("id", "text", F.bitmap_bucket_number("p").alias("k"), F.bitmap_bit_position("p").cast("long").alias("b"))
-    return d.mapInArrow(run, "id long, size long, sketch binary, short binary, items binary").join(ids, "id", "left_semi")
+    return d.mapInArrow(run, "id long, size long, sketch binary, short binary, items binary")
 
 
 def _packed(rows):
@@ -402,7 +402,10 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     met = met.join(of, "id").select(F.col("rep").alias("a"), F.col("hub").alias("id")).join(of, "id").select("a", F.col("rep").alias("b")).where("a <> b")
     pairs = stash(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ids = stash(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    sets = stash(packed_sets(docs, ids, n).dropDuplicates(["id"]))
+    sets = packed_sets(docs, ids, n)
+    if not sizes.groupBy("id").count().where("count > 1 and id is not null").isEmpty():
+        sets = sets.dropDuplicates(["id"])  # only tables that repeat an id pay for this shuffle
+    sets = stash(sets)
     first = sketch_pairs(pairs, sets, num, den).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = stash(verify(first, sets, num, den))
     comp = stash(components(links))
