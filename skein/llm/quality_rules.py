@@ -3,8 +3,9 @@
 Each document has two histograms: of character classes, and of common words of four languages. The references
 are those histograms summed over all documents of a language. A document is rejected when the Jensen-Shannon
 distance (square root of the divergence, base 2, 0 to 1) of its histogram to its language's reference exceeds a
-threshold, and only if it is long enough for that histogram to mean something (min_chars, min_words). Documents
-of unknown language, or of one beyond the max_references most frequent, are held against the sum of all.
+threshold, and only if it is long enough for that histogram to mean something (min_chars; min_words, and min_hits
+common words both in the document and in its reference). With fewer, it is rejected only where its language's share of
+common words lets expect min_expected or more, and a tenth of them or less is there. Documents of unknown language, or of one beyond the max_references most frequent, are held against the sum of all.
 Base rules (too few words; too many words in repeated three-word windows) reject besides.
 
 Defined results: null texts count as empty (no words: rejected by the base rule, distances null); each of
@@ -30,6 +31,8 @@ COMMON_WORDS = " ".join(COMMON).split()
 CLASSES = ("upper", "digit", "beyond", "symbol", "space", "rest")
 
 MIN_CHARS, MIN_WORDS, MAX_CHAR_JS, MAX_WORD_JS, MAX_REFERENCES = 200, 50, 0.20, 0.65, 256
+#: Of fewer common words than this the histogram is too coarse to be held against a reference.
+MIN_HITS, MIN_EXPECTED = 20, 8
 
 
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
@@ -79,11 +82,11 @@ def references(measured: DataFrame, lang: str = "lang", max_references: int = MA
     At most max_references + 1 rows, so that joining them by broadcast is safe."""
     n_c, n_w = len(CLASSES), len(COMMON_WORDS)
     sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(n_c)] + [F.sum(F.col("words")[i]).alias(f"w{i}") for i in range(n_w)]
-    by = measured.groupBy(F.col(lang).alias("ref_lang")).agg(F.count("*").alias("n"), *sums)
+    by = measured.groupBy(F.col(lang).alias("ref_lang")).agg(F.count("*").alias("n"), F.sum("n_words").alias("ref_n_words"), *sums)
     every = by.agg(*(F.sum(c).alias(c) for c in by.columns[1:])).select(F.lit(None).cast("string").alias("ref_lang"), *by.columns[1:])
     top = by.where("ref_lang is not null").orderBy(F.desc("n"), "ref_lang").limit(max_references)
     pack = lambda p, n: F.array(*(F.coalesce(F.col(f"{p}{i}"), F.lit(0)).cast("double") for i in range(n)))
-    return top.unionByName(every).select("ref_lang", pack("c", n_c).alias("ref_chars"), pack("w", n_w).alias("ref_words"))
+    return top.unionByName(every).select("ref_lang", pack("c", n_c).alias("ref_chars"), pack("w", n_w).alias("ref_words"), "ref_n_words")
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -101,18 +104,21 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when((tp > 0) & (tq > 0), F.sqrt(F.greatest(div, F.lit(0.0))))
 
 
-def judge(measured: DataFrame, refs: DataFrame, lang: str = "lang", min_chars=MIN_CHARS, min_words=MIN_WORDS, max_char_js=MAX_CHAR_JS, max_word_js=MAX_WORD_JS) -> DataFrame:
+def judge(measured: DataFrame, refs: DataFrame, lang: str = "lang", min_chars=MIN_CHARS, min_words=MIN_WORDS, max_char_js=MAX_CHAR_JS, max_word_js=MAX_WORD_JS, min_hits=MIN_HITS, min_expected=MIN_EXPECTED) -> DataFrame:
     """Adds base_failed, char_js, word_js and kept."""
     known = refs.where("ref_lang is not null")
-    every = refs.where("ref_lang is null").select(F.col("ref_chars").alias("_rc"), F.col("ref_words").alias("_rw"), F.lit(1).alias("_one"))
+    every = refs.where("ref_lang is null").select(F.col("ref_chars").alias("_rc"), F.col("ref_words").alias("_rw"), F.col("ref_n_words").alias("_rn"), F.lit(1).alias("_one"))
     df = measured.join(F.broadcast(known), F.col(lang) == known.ref_lang, "left").withColumn("_one", F.lit(1)).join(F.broadcast(every), "_one", "left")
     df = df.withColumn("char_js", js_distance(F.col("chars"), F.coalesce("ref_chars", "_rc"))).withColumn("word_js", js_distance(F.col("words"), F.coalesce("ref_words", "_rw")))
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     n = F.aggregate("chars", F.lit(0), lambda s, x: s + x)
     odd = (n >= min_chars) & (F.coalesce("char_js", F.lit(0.0)) > max_char_js)
-    # without one common word a long text has no distance at all: the farthest there is
-    odd |= (F.col("n_words") >= min_words) & (F.coalesce("word_js", F.lit(1.0)) > max_word_js)
-    return df.withColumn("kept", ~F.col("base_failed") & ~odd & (F.col("_fence") >= 0)).drop("_fence", "ref_lang", "ref_chars", "ref_words", "_rc", "_rw", "_one")
+    hits, known_hits = (F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) for a in (F.col("words"), F.coalesce("ref_words", "_rw")))
+    expected = F.col("n_words") * known_hits / F.greatest(F.coalesce("ref_n_words", "_rn"), F.lit(1))
+    enough = (hits >= min_hits) & (known_hits >= min_hits)
+    far = F.when(enough, F.coalesce("word_js", F.lit(0.0)) > max_word_js).otherwise((expected >= min_expected) & (10 * hits <= expected))
+    odd |= (F.col("n_words") >= min_words) & F.coalesce(far, F.lit(False))
+    return df.withColumn("kept", ~F.col("base_failed") & ~odd & (F.col("_fence") >= 0)).drop("_fence", "ref_lang", "ref_chars", "ref_words", "ref_n_words", "_rc", "_rw", "_rn", "_one")
 
 
 def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", **limits) -> DataFrame:
@@ -120,7 +126,7 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", **limit
     from skein.llm.common import stash
 
     measured = measures(df, text)
-    refs = stash(references(stash(measured.select(F.col(lang), "chars", "words")), lang))
+    refs = stash(references(stash(measured.select(F.col(lang), "n_words", "chars", "words")), lang))
     return judge(measured, refs, lang, **limits)
 
 

@@ -299,6 +299,22 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(docs(spark, [])).count() == 0
 
 
+def test_word_distance_needs_common_words(spark):
+    rng = random.Random(31)
+    some = lambda pool, n: [rng.choice(pool) + rng.choice(["", "s", "er", "ing", "ed"]) for _ in range(n)]
+    other = ["stein", "licht", "garten", "fenster", "brief", "morgen", "tisch", "wasser", "feld"]
+    mixed = lambda n, hits, words: " ".join(rng.sample(some(other, n - hits) + [rng.choice(words) for _ in range(hits)], n))
+    german, english = ["der", "die", "und", "den", "von", "das"], ["the", "of", "and", "to"]
+    texts = [(mixed(200, 60, german), "de") for _ in range(30)]
+    texts += [(mixed(60, 6, english), "de"), (mixed(300, 90, english), "de"), (mixed(300, 0, german), "de")]
+    texts += [(mixed(200, 0, german), "fi") for _ in range(3)]
+    rows = [(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate(texts)]
+    out = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    # too few hits to judge; another language at length; no common word where many are due; a language without any
+    assert all(out[i] for i in range(30))
+    assert (out[30], out[31], out[32]) == (True, False, False) and out[33] and out[34] and out[35]
+
+
 def test_js_distance(spark):
     d = spark.createDataFrame([([1, 0], [0, 5]), ([2, 2], [1, 1]), ([0, 0], [1, 1])], "p array<long>, q array<long>")
     got = [r[0] for r in d.select(quality_rules.js_distance(F.col("p"), F.col("q"))).collect()]
