@@ -140,7 +140,7 @@ def _clusters(n, e):
 
 
 def _view(mode):
-    return _graph(lambda n, e: A.view(n, e, mode, 60)[0].select("id", "kind", "name"))
+    return _graph(lambda n, e: A.view(n, e, mode, None)[0].select("id", "kind", "name"))
 
 
 def _view_edges(n, e):
@@ -254,7 +254,7 @@ def _streaks(spark, sf_dir):
 
 def _debate(spark, sf_dir):
     n, _ = graph(spark, sf_dir)
-    b = _read(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+    b = _read(spark, sf_dir, "orders")
     p = b.select(F.col("o_orderkey").cast("string").alias("id"), F.lit("plan").alias("title"), F.concat(F.lit("change table:P"), F.col("o_orderkey").cast("string"), F.lit(" and fn:orders/"), "o_orderstatus", F.lit(":O"), F.col("o_orderkey").cast("string"), F.lit(" not svc:none")).alias("body"))
     return A.debate(p, n).select("id", "present", "missing", "score")
 
@@ -273,7 +273,7 @@ def _definitions(spark, sf_dir):
 
 
 def _calls(spark, sf_dir):
-    line = _read(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
+    line = _read(spark, sf_dir, "lineitem")
     calls = line.select(F.concat(F.lit("fn:o"), F.col("l_orderkey").cast("string")).alias("caller"), F.concat(F.lit("src/f"), (F.col("l_suppkey") % 90).cast("string"), F.lit(".ts")).alias("path"), F.concat(F.lit("s"), (F.col("l_partkey") % 1800).cast("string")).alias("name")).distinct()
     imports = _read(spark, sf_dir, "supplier").select(F.concat(F.lit("src/f"), (F.col("s_suppkey") % 90).cast("string"), F.lit(".ts")).alias("path"), F.concat(F.lit("src/f"), ((F.col("s_suppkey") + 7) % 90).cast("string"), F.lit(".ts")).alias("file")).distinct()
     return M.resolve_calls(calls, _definitions(spark, sf_dir), imports)
