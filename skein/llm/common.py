@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 import zipfile
@@ -29,9 +30,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a local master gets one of its own; a cluster, whose
+    executors would each write to their own disk, an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.gettempdir()}/skein-shared"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -42,7 +46,18 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete what stash() wrote. Only for tables from which everything needed has been written since."""
+    for df in stashed:
+        if path := getattr(df, "_stashed_at", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -82,30 +97,35 @@ def add_columns(df: DataFrame, text: str, schema: str, maker) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected edges (long ids): a row (id, component_id) for each end.
+    """Connected components of undirected edges (long ids): a row (id, component_id) for each end, written.
 
     component_id is the smallest id of the component. Alternating large-star and small-star steps: every
     round re-links neighbours to the smallest one known, by aggregates of min() (combined before the shuffle)
     and joins on the node, never by gathering a node's neighbours. Each round is written to the shared
-    folder; rounds grow with the logarithm of the size. Self-links give components of one. No edges: no rows.
+    folder, and the one before deleted; rounds grow with the logarithm of the size. Self-links give components of
+    one. No edges: no rows.
     """
-    e = stash(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct())
+    first = e = stash(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct())
     nodes = e.select(F.col("a").alias("id")).union(e.select(F.col("b").alias("id"))).distinct()
-    e = e.where("a <> b")
     last = None
     for _ in range(max_rounds):
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        live = e.where("a <> b")
+        both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: larger neighbours of a go to the smallest
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: a and its smaller neighbours go to the smallest of them
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a")
-        e = stash(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b"))).distinct())
+        before, e = e, stash(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b"))).distinct())
+        if before is not first:
+            discard(before)
         seen = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == last:
             break
         last = seen
     else:
         raise RuntimeError("components did not settle")
-    return nodes.join(e.withColumnRenamed("a", "id").withColumnRenamed("b", "m"), "id", "left").select("id", F.coalesce("m", "id").alias("component_id"))
+    out = stash(nodes.join(e.withColumnRenamed("a", "id").withColumnRenamed("b", "m"), "id", "left").select("id", F.coalesce("m", "id").alias("component_id")))
+    discard(first, e)
+    return out

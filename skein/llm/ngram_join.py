@@ -4,14 +4,19 @@ Two documents link when the Jaccard similarity of their sets of distinct n-word
 
 Method. Sets fall into size bands that are so wide that a partner of a set lies in its band or in a neighbouring
 one; each set signs for its band and, when large enough to have partners there, for the next. Inside a band the
-similarity bounds the number k of shingles in which two sets differ. The feature domain (64-bit shingle hashes)
-is partitioned into n1 = k + 1 + spare parts (the second level of PartEnum is the trivial one, subsets of a
-single part): sufficiently similar sets agree on at least spare + 1 parts, so they share a signature. A part in
-which a set has nothing is signed only when more than `spare` of its parts are empty; that loses nothing, because
-two sets that agree on empty parts alone have more than `spare` of them each.
-
-Texts of equal sets are one class, for which its smallest id stands in all pairs. Buckets of equal signatures are
-never expanded into pairs:
+similarity bounds the number k of shingles in which two sets differ. The feature domain (64-bit shingle hashes) is
+partitioned into n1 parts, each of them into n2 smaller ones. With k < (n1 - spare) * (k2 + 1), two similar sets
+differ by k2 shingles at most in more than `spare` parts, and there at most k2 of the n2 smaller parts differ: of all
+subsets of n2 - k2 smaller parts, enumerated for each part, they share at least one signature. (n1, n2, k2) are chosen
+for each band by an estimate of the cost of signatures against that of unlike sets that share a passage. A subset in
+which a set has nothing is signed only when more than `spare` of its parts have such a subset; that loses nothing.
+
+One pass over the texts makes everything: sizes, content keys (128 bits of a set), parity sketches, signatures.
+Sets of equal content are one class, a node. A map task sends one reference for each signature: to the class, or, where
+several classes of its batch share the signature, to the `nest` of those classes, which travels once whatever the
+number of signatures that they share. A signature's bucket thus holds one reference a batch at most; references and
+signatures travel packed, a row for each batch and reducer. Reducers return each list of references once, however many
+signatures have it. Buckets are never expanded into all pairs:
 1. every member of a bucket meets the bucket's first member; after a rigorous sketch test (parities of hash cells
    differ in at most as many places as the sets do), each class keeps one such pair, which is verified exactly;
    the links give first components, which swallow groups of near copies with one pair for each member;
@@ -19,17 +24,19 @@ never expanded into pairs:
    the same sketch test; first, in large buckets, each member's nearest one in another component is verified, which
    merges groups of near copies without a common centre, then all pairs of different components that pass.
 Every similar pair of different components is met in the last round, so no link between components is lost.
-
-A bucket is split before the shuffle: a map task sends one member of each signature that it saw several times,
-and pairs the others with it on the spot; the others follow only into buckets of step 2.
+Whole sets are made, by another pass, only of classes in pairs that passed the sketch test. What a step has read for
+the last time is deleted from the shared folder.
 
 Defined results: null texts and texts without words have empty sets, linked with nothing, each its own component;
-equal rows are one class; rows with a null id take no part and have a null component; extra columns are dropped.
+rows are told apart by their content, so that rows of one id and unlike texts have a component each, and only equal
+sets share one; rows with a null id take no part and have a null component; ties cannot arise, as a component has the
+smallest id; very long texts are hashed in spans; extra columns are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +44,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import words as W
-from skein.llm.common import components, release, ship, stash
+from skein.llm.common import components, discard, release, ship, stash
 
 SPARE, TILE, NEAREST_ROUNDS, SMALL, SKETCH_BYTES = 4, 4096, 2, 8, 1024
+#: The cost estimate of (n1, n2, k2): so many texts share a passage, each this share of its shingles.
+CROWD, SHARED = 100, 0.3
+#: Bytes of text for each chunk of signatures, signatures packed at once, places of the id filter at most.
+CHUNK_BYTES, FLUSH, FILTER_BITS = 8 << 20, 400_000, 26
 
 
 class Bands:
@@ -49,8 +60,9 @@ class Bands:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.lo = [1]
+        self.shapes: dict[int, tuple[int, int, int, int]] = {}
 
-    def reach(self, size: int) -> int:
+    def reach(self, size):
         """The largest size of a partner."""
         return size * self.den // self.num
 
@@ -58,47 +70,85 @@ class Bands:
         """The largest symmetric difference of similar sets of sizes a and b."""
         return (a + b) * (self.den - self.num) // (self.den + self.num)
 
-    def of(self, size: int) -> int:
-        while self.lo[-1] <= size:
-            self.lo.append(max(self.reach(self.reach(self.lo[-1])), self.reach(self.lo[-1])) + 1)
-        return int(np.searchsorted(self.lo, size, "right")) - 1
-
-    def parts(self, band: int) -> tuple[int, int]:
-        """(n1, spare) of a band."""
-        self.of(self.lo[band] if band < len(self.lo) else self.lo[-1])
-        while len(self.lo) <= band + 1:
-            self.of(self.lo[-1])
-        top = self.lo[band + 1] - 1
-        k = self.differ(top, top)
-        return k + 1 + (min(SPARE, k)), min(SPARE, k)
-
-    def signing(self, size: int) -> list[int]:
-        """The bands that a set of this size signs for."""
-        i = self.of(size)
-        self.parts(i)
-        return [i, i + 1] if self.reach(size) >= self.lo[i + 1] else [i]
+    def upto(self, size: int) -> np.ndarray:
+        """The first sizes of all bands up to two beyond that of this size."""
+        while self.lo[-1] <= size or len(self.lo) < 3 or self.lo[-3] <= size:
+            self.lo.append(self.reach(self.reach(self.lo[-1])) + 1)
+        return np.array(self.lo)
+
+    def shape(self, band: int) -> tuple[int, int, int, int]:
+        """(n1, n2, k2, spare) of a band."""
+        if band not in self.shapes:
+            lo, top = self.lo[band], self.lo[band + 1] - 1
+            k, best = self.differ(top, top), None
+            for k2 in range(min(k, 3) + 1):
+                for n2 in range(k2 + 1, k2 + 4) if k2 else (1,):
+                    spare = min(k, 2 if k2 else SPARE)
+                    n1 = k // (k2 + 1) + 1 + spare
+                    n = n1 * math.comb(n2, k2)
+                    held = math.sqrt(lo * top) * (n2 - k2) / n2 / n1  # shingles under a signature
+                    cost = n * (1 + CROWD * SHARED**held)
+                    if best is None or cost < best[0]:
+                        best = (cost, (n1, n2, k2, spare))
+            self.shapes[band] = best[1]
+        return self.shapes[band]
+
+
+def signatures_of(values: np.ndarray, edges: np.ndarray, mixed: np.ndarray, bands: Bands, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, owners) of the sets numbered `which` among values[edges[i]:edges[i + 1]]; mixed: W.mix(values)."""
+    size = np.diff(edges)
+    which = which[size[which] > 0]
+    if not len(which):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    lo = bands.upto(int(size[which].max()))
+    own = np.searchsorted(lo, size[which], "right") - 1
+    higher = bands.reach(size[which]) >= lo[own + 1]
+    sigs, owners = [], []
+    for band in np.unique(np.concatenate((own, own[higher] + 1))).tolist():
+        n1, n2, k2, spare = bands.shape(band)
+        cells, kept = n1 * n2, list(combinations(range(n2), n2 - k2))
+        salt = np.uint64(band * 0x9E3779B1 + 1) << np.uint64(20)
+        names = (np.arange(n1 * len(kept), dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + salt
+        signing = which[(own == band) | (higher & (own == band - 1))]
+        step = max(1, (1 << 20) // cells)
+        for at in range(0, len(signing), step):
+            docs = signing[at : at + step]
+            n = size[docs]
+            inside = np.repeat(edges[docs] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            place = ((values[inside] >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64) + np.repeat(np.arange(len(docs)) * cells, n)
+            first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+            total, full = np.zeros(len(docs) * cells, np.uint64), np.zeros(len(docs) * cells, bool)
+            total[place[first]] = np.add.reduceat(mixed[inside], first)
+            full[place[first]] = True
+            total, full = total.reshape(len(docs), n1, n2), full.reshape(len(docs), n1, n2)
+            if k2:
+                total = np.stack([total[:, :, list(c)].sum(axis=2, dtype=np.uint64) for c in kept], axis=2)
+                full = np.stack([full[:, :, list(c)].any(axis=2) for c in kept], axis=2)
+            weak = (~full).any(axis=2).sum(axis=1) > spare
+            signed = (full | weak[:, None, None]).reshape(len(docs), -1)
+            sigs.append(W.mix(total.reshape(len(docs), -1) + names)[signed])
+            owners.append(np.repeat(docs, signed.sum(axis=1)))
+    if not sigs:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(sigs), np.concatenate(owners)
 
 
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     """The signatures of one sorted distinct set of hashes."""
-    out = []
-    mixed = None
-    for band in bands.signing(len(s)):
-        n1, spare = bands.parts(band)
-        salt = np.uint64(band * 0x9E3779B1 + 1)
-        if n1 == 1:
-            mixed = W.mix(s) if mixed is None else mixed
-            out.append(W.mix(np.array([mixed.sum(dtype=np.uint64)], np.uint64) + salt))
-            continue
-        mixed = W.mix(s) if mixed is None else mixed
-        edges = (np.arange(n1, dtype=np.uint64) * np.uint64((1 << 64) // n1)).astype(np.uint64)
-        at = np.searchsorted(s, edges)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
-        ends = np.append(at[1:], len(s))
-        sums, empty = total[ends] - total[at], ends == at
-        sig = W.mix(sums + (np.arange(n1, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + (salt << np.uint64(20)))
-        out.append(sig if empty.sum() > spare else sig[~empty])
-    return np.concatenate(out)
+    return signatures_of(s, np.array([0, len(s)]), W.mix(s), bands, np.array([0]))[0]
+
+
+_OTHER = np.uint64(0x5851F42D4C957F2D)
+
+
+def keys_of(values: np.ndarray, edges: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """(sets, 2): 128 bits of each set's content; zero for an empty one."""
+    out = np.zeros((len(edges) - 1, 2), np.uint64)
+    some = np.flatnonzero(np.diff(edges))
+    if len(some):
+        out[some, 0] = np.add.reduceat(mixed, edges[some])
+        out[some, 1] = np.add.reduceat(W.mix(values ^ _OTHER), edges[some])
+    return out
 
 
 def sketch_bits(size: int) -> int:
@@ -107,7 +157,7 @@ def sketch_bits(size: int) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parities of the number of shingles in each cell, at two lengths: of half as many cells, then all."""
+    """Parities of the number of shingles in each cell."""
     n = sketch_bits(len(s))
     cells = np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n).astype(np.uint8) & 1
     return np.packbits(cells, bitorder="little").tobytes()
@@ -121,127 +171,203 @@ def fold(bits: np.ndarray, n: int) -> np.ndarray:
     return bits
 
 
-def _set_rows(df: DataFrame, text: str, n: int, columns: str, of) -> DataFrame:
-    """mapInArrow over (id, text): of(id array, iterator of (row, set)) yields column lists."""
-    ship(df.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2500):  # bounds what numpy holds at once
-                part = batch.slice(a, 2500)
-                yield from of(part.column(0), W.text_shingles(part.column(1), n))
-
-    return df.mapInArrow(run, columns)
-
-
-def set_sizes(df: DataFrame, n: int) -> DataFrame:
-    """(id, n_shingles, h1, h2): each document's set size and 128 bits of its content."""
+SIGNATURES, NESTS, DOCS, NO_ID, SKETCHES = range(5)
+PACKED = "p int, kind int, a binary, b binary, c binary"
 
-    def of(ids, sets):
-        size, a, b = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
-        for i, s in sets:
-            size[i] = len(s)
-            a[i], b[i] = W.mix(s).sum(dtype=np.uint64), W.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["id", "n_shingles", "h1", "h2"])
 
-    return _set_rows(df.select("id", "text"), "text", n, "id long, n_shingles long, h1 long, h2 long", of)
+class Packer:
+    """Collects what a map task finds and packs it for the reducers, numbered 0 .. parts-1."""
 
+    def __init__(self, parts: int, bands: Bands):
+        self.parts, self.bands, self.seen, self.turn = parts, bands, set(), 0
+        self.sig, self.owner, self.keys, self.rows = [], [], [], []
+        self.n_sig = self.n_key = 0
 
-def signed(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(sig, id, head): a row for each signature of each document; head is the first id that the map task saw with
-    the signature in the same batch, itself included."""
-
-    def of(ids, sets):
-        bands, sigs, owner = Bands(num, den), [], []
+    def add(self, ids: pa.Array, tags: np.ndarray, values: np.ndarray, edges: np.ndarray) -> None:
+        mixed = W.mix(values)
+        keys, size, known = keys_of(values, edges, mixed), np.diff(edges), ids.is_valid().to_numpy(zero_copy_only=False)
         own = ids.fill_null(0).to_numpy()
-        for i, s in sets:
-            if len(s) and ids[i].is_valid:
-                g = signatures(s, bands)
-                sigs.append(g)
-                owner.append(np.full(len(g), own[i], np.int64))
-        if not sigs:
-            return
-        sig, who = np.concatenate(sigs), np.concatenate(owner)
-        order = np.lexsort((who, sig))
-        sig, who = sig[order], who[order]
-        new = np.concatenate(([True], sig[1:] != sig[:-1]))
-        head = who[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
-        order = np.argsort(who, kind="stable")  # ids in order compress
-        sig, who, head = sig[order], who[order], head[order]
-        for a in range(0, len(sig), 1 << 18):
-            z = slice(a, a + (1 << 18))
-            yield pa.RecordBatch.from_arrays([pa.array(sig[z].view(np.int64)), pa.array(who[z]), pa.array(head[z])], names=["sig", "id", "head"])
-
-    return _set_rows(df.select("id", "text"), "text", n, "sig long, id long, head long", of)
-
-
-def shared(heads: DataFrame) -> DataFrame:
-    """(sig, id, hub) for signatures with several heads; heads is dealt by sig, one head a map batch at most."""
+        for kind, these in ((DOCS, np.flatnonzero(known)), (NO_ID, np.flatnonzero(~known))):
+            if len(these):
+                self.turn += 1
+                self.rows.append((self.turn % self.parts, kind, own[these].astype("<i8").tobytes(), np.stack((size[these], tags[these]), axis=1).astype("<i8").tobytes(), keys[these].tobytes()))
+        new = []
+        for i in np.flatnonzero(known & (size > 0)).tolist():
+            key = keys[i].tobytes()
+            if key not in self.seen:
+                self.seen.add(key)
+                new.append(i)
+                self.rows.append((int(keys[i, 0] % np.uint64(self.parts)), SKETCHES, key, int(size[i]).to_bytes(8, "little"), sketch(values[edges[i] : edges[i + 1]])))
+        if len(self.seen) > 1_000_000:  # bounds the memory; what comes again is only signed again
+            self.seen.clear()
+        sig, owner = signatures_of(values, edges, mixed, self.bands, np.array(new, np.int64))
+        self.sig.append(sig)
+        self.owner.append(owner + self.n_key)
+        self.keys.append(keys)
+        self.n_sig, self.n_key = self.n_sig + len(sig), self.n_key + len(keys)
+
+    def flush(self):
+        """Batches of PACKED."""
+        if self.n_sig:
+            sig, owner, keys = np.concatenate(self.sig), np.concatenate(self.owner), np.concatenate(self.keys)
+            order = np.lexsort((owner, sig))
+            sig, owner = sig[order], owner[order]
+            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+            n = np.diff(np.append(first, len(sig)))
+            ref = owner[first]
+            if (n > 1).any():  # nests: the classes of this batch that share a signature
+                a = np.add.reduceat(W.mix(keys[owner, 0] + np.uint64(7)), first)
+                b = np.add.reduceat(W.mix(keys[owner, 1] + np.uint64(11)), first)
+                nests: dict[bytes, int] = {}
+                more = []
+                for k in np.flatnonzero(n > 1).tolist():
+                    name = a[k].tobytes() + b[k].tobytes()
+                    if name not in nests:
+                        nests[name] = len(keys) + len(more)
+                        more.append((a[k], b[k]))
+                        self.rows.append((int(a[k] % np.uint64(self.parts)), NESTS, name, b"", keys[owner[first[k] : first[k] + n[k]]].tobytes()))
+                    ref[k] = nests[name]
+                keys = np.concatenate((keys, np.array(more, np.uint64)))
+            sig = sig[first]
+            to = (sig % np.uint64(self.parts)).astype(np.int64)
+            order = np.lexsort((ref, to))
+            sig, ref, to = sig[order], ref[order], to[order]
+            cuts = np.searchsorted(to, np.arange(self.parts + 1)).tolist()
+            for p, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                if hi > lo:
+                    r = ref[lo:hi]
+                    new = np.concatenate(([True], r[1:] != r[:-1]))
+                    self.rows.append((p, SIGNATURES, sig[lo:hi].tobytes(), (np.cumsum(new) - 1).astype("<u4").tobytes(), keys[r[new]].tobytes()))
+        self.sig, self.owner, self.keys, self.n_sig, self.n_key = [], [], [], 0, 0
+        rows, self.rows = self.rows, []
+        for i in range(0, len(rows), 4096):
+            p, kind, a, b, c = zip(*rows[i : i + 4096])
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(kind, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], names=["p", "kind", "a", "b", "c"])
+
+
+def signed(docs: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
+    """PACKED rows of docs (id, text, tag)."""
+    ship(docs.sparkSession)
 
     def run(batches):
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not got:
-            return
-        sig, who = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
-        del got
-        order = np.lexsort((who, sig))
-        sig, who = sig[order], who[order]
-        same = sig[1:] == sig[:-1]
-        many = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        new = np.concatenate(([True], ~same))
-        hub = who[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
-        sig, who, hub = sig[many], who[many], hub[many]
-        for a in range(0, len(sig), 1 << 18):
-            z = slice(a, a + (1 << 18))
-            yield pa.RecordBatch.from_arrays([pa.array(sig[z]), pa.array(who[z]), pa.array(hub[z])], names=["sig", "id", "hub"])
-
-    return heads.select("sig", "id").repartition("sig").mapInArrow(run, "sig long, id long, hub long")
-
-
-FILTER_BITS = 23
-
-
-def packed_sets(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(id, size, sketch, items): sketches and whole sets (8 bytes a shingle) of the documents with these ids.
-
-    A bitmap of 2^FILTER_BITS hashed ids (1 MB, whatever the input) goes to the tasks, which skip texts outside it,
-    so that no text is shuffled; the few that pass by chance are in no pair and do no harm."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
-    spark = df.sparkSession
-    parts = ids.select(place("id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    first = spark.range(1).select(F.bitmap_bucket_number(F.lit(1)).alias("k")).first()[0]
-    # places count from 1 in a bucket number and from 0 in a bit position: place p is bit p - 1 of the whole
-    whole = np.zeros((1 << FILTER_BITS) + (1 << 15) * 2, np.uint8)
-    for r in parts.collect():
-        at = ((r[0] - first) << 15) + (1 << 15)
-        whole[at : at + (1 << 15)] = np.unpackbits(np.frombuffer(r[1], np.uint8), bitorder="little")
-    shared = spark.sparkContext.broadcast(np.packbits(whole))
+        packer = Packer(parts, Bands(num, den))
+        for batch in batches:
+            ids, tags = batch.column(0), batch.column(2).fill_null(0).to_numpy()
+            for i, values, edges in W.text_sets(batch.column(1), n):
+                m = len(edges) - 1
+                packer.add(ids.slice(i, m), tags[i : i + m], values, edges)
+                if packer.n_sig >= FLUSH:
+                    yield from packer.flush()
+        yield from packer.flush()
+
+    return docs.select("id", "text", "tag").mapInArrow(run, PACKED)
+
+
+FOUND = "kind int, a long, b long, c long, d long, e long, x binary"
+
+
+def _found(kind: int, cols, x=None) -> pa.Table:
+    cols = [np.ascontiguousarray(c).view(np.int64) for c in cols]
+    m = len(cols[0])
+    cols += [np.zeros(m, np.int64)] * (5 - len(cols))
+    return pa.table([pa.array(np.full(m, kind, np.int32)), *map(pa.array, cols), pa.array(x, pa.binary()) if x else pa.nulls(m, pa.binary())], names=["kind", "a", "b", "c", "d", "e", "x"])
+
+
+def lists_of(sig: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(names, refs), a row for each reference in each distinct list of references that share a signature."""
+    order = np.argsort(sig, kind="stable")
+    sig = sig[order]
+    same = sig[1:] == sig[:-1]
+    many = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    sig, refs = sig[many], refs[order[many]]
+    if not len(sig):
+        return np.zeros((0, 2), np.uint64), refs
+    order = np.lexsort((refs[:, 1], refs[:, 0], sig))
+    sig, refs = sig[order], refs[order]
+    new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (refs[1:] != refs[:-1]).any(axis=1)))
+    sig, refs = sig[new], refs[new]  # a class that several tasks sent
+    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    n = np.diff(np.append(first, len(sig)))
+    name = np.stack([np.add.reduceat(W.mix(refs[:, k] + np.uint64(13)), first) for k in (0, 1)], axis=1)
+    _, once = np.unique(name, axis=0, return_index=True)
+    once = once[n[once] > 1]
+    held = np.zeros(len(first), bool)
+    held[once] = True
+    pick = np.repeat(held, n)
+    return np.repeat(name, n, axis=0)[pick], refs[pick]
+
+
+def reduced(packed: DataFrame) -> DataFrame:
+    """FOUND rows: lists (name 2, ref 2), nests (name 2, key 2), documents (id, size, key 2, tag), sketches (key 2, size)."""
+
+    def run(t):
+        kinds = t.column("kind").to_numpy()
+        a, b, c = (t.column(x) for x in "abc")
+        as_array = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
+        out, sigs, refs, nests = [], [], [], set()
+        for i, kind in enumerate(kinds.tolist()):
+            key = as_array(c[i], "<u8").reshape(-1, 2) if kind != SKETCHES else None
+            if kind == SIGNATURES:
+                sigs.append(as_array(a[i], "<u8"))
+                refs.append(key[as_array(b[i], "<u4")])
+            elif kind == NESTS:
+                name = a[i].as_py()
+                if name not in nests:
+                    nests.add(name)
+                    name = np.frombuffer(name, "<u8")
+                    out.append(_found(NESTS, (np.full(len(key), name[0]), np.full(len(key), name[1]), key[:, 0], key[:, 1])))
+            elif kind in (DOCS, NO_ID):
+                more = as_array(b[i], "<i8").reshape(-1, 2)
+                out.append(_found(kind, (as_array(a[i], "<i8"), more[:, 0], key[:, 0], key[:, 1], more[:, 1])))
+        drawn = {}
+        for i in np.flatnonzero(kinds == SKETCHES).tolist():
+            drawn.setdefault(a[i].as_py(), i)
+        if drawn:
+            at = list(drawn.values())
+            key = np.frombuffer(b"".join(drawn), "<u8").reshape(-1, 2)
+            out.append(_found(SKETCHES, (key[:, 0], key[:, 1], np.frombuffer(b"".join(b[i].as_py() for i in at), "<i8")), [c[i].as_py() for i in at]))
+        if sigs:
+            name, ref = lists_of(np.concatenate(sigs), np.concatenate(refs))
+            if len(name):
+                out.append(_found(SIGNATURES, (name[:, 0], name[:, 1], ref[:, 0], ref[:, 1])))
+        return pa.concat_tables(out) if out else _found(DOCS, [np.zeros(0, np.int64)] * 5)
+
+    return packed.groupBy("p").applyInArrow(run, FOUND)
+
+
+def whole_sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """(h1, h2, items): whole sets (8 bytes a shingle) of these classes (rep).
+
+    A bitmap of hashed ids goes to the tasks, which skip texts outside it, so that no text is shuffled. It has eight
+    places for each class, 2^FILTER_BITS (8 MB) at most; the texts that pass by chance are in no pair and do no harm."""
+    count = classes.count()
+    places = 1 << min(FILTER_BITS, max(15, (8 * count).bit_length()))
+    spark = docs.sparkSession
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(places))
+    parts = classes.select(place("rep").alias("p")).groupBy(F.floor(F.col("p") / 32768).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.pmod("p", F.lit(32768))).alias("bits"))
+    whole = np.zeros(places // 8, np.uint8)
+    for k, bits in parts.collect():  # 4 KB each, 2^(FILTER_BITS - 15) at most
+        whole[k << 12 : (k + 1) << 12] = np.frombuffer(bits, np.uint8)
+    shared = spark.sparkContext.broadcast(whole)
     ship(spark)
 
     def run(batches):
-        held = np.unpackbits(shared.value)
+        held, seen = shared.value, set()
         for batch in batches:
-            k, p = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            ok = held[((k - first) << 15) + (1 << 15) + p].astype(bool)
-            got = batch.filter(pa.array(ok))
-            rows, room = [], 0
-            for i, s in W.text_shingles(got.column(1), n):
-                x = sketch(s) if len(s) else b""
-                rows.append((got.column(0)[i].as_py(), len(s), x, fold(np.frombuffer(x, np.uint8), 8 * SKETCH_BYTES).tobytes(), s.tobytes()))
-                room += 8 * len(s)
-                if room > 8 << 20:
-                    yield _packed(rows)
-                    rows, room = [], 0
-            if rows:
-                yield _packed(rows)
-
-    d = df.where("id is not null").withColumn("p", place("id")).select("id", "text", F.bitmap_bucket_number("p").alias("k"), F.bitmap_bit_position("p").cast("long").alias("b"))
-    return d.mapInArrow(run, "id long, size long, sketch binary, short binary, items binary")
-
-
-def _packed(rows):
-    cols = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["id", "size", "sketch", "short", "items"])
+            p = batch.column(1).to_numpy()
+            got = batch.column(0).filter(pa.array((held[p >> 3] >> (p & 7) & 1).astype(bool)))
+            for _, values, edges in W.text_sets(got, n):
+                keys, items = keys_of(values, edges, W.mix(values)), []
+                for i in range(len(edges) - 1):
+                    name = keys[i].tobytes()
+                    if edges[i + 1] > edges[i] and name not in seen:
+                        seen.add(name)
+                        items.append(i)
+                if items:
+                    k = keys[items].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array([values[edges[i] : edges[i + 1]].tobytes() for i in items], pa.binary())], names=["h1", "h2", "items"])
+
+    return docs.where("id is not null").select("text", place("id").alias("p")).mapInArrow(run, "h1 long, h2 long, items binary")
 
 
 def may_link(a: tuple[int, bytes], b: tuple[int, bytes], bands: Bands) -> bool:
@@ -254,9 +380,9 @@ def may_link(a: tuple[int, bytes], b: tuple[int, bytes], bands: Bands) -> bool:
     return int(np.bitwise_count(fold(x, bits) ^ fold(y, bits)).sum()) <= bands.differ(m, n)
 
 
-def sketch_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sketches allow a link, with the number of cells that differ."""
-    s = sets.select("id", "size", "sketch")
+def sketch_pairs(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link."""
+    s = sketches.select("id", "size", "sketch")
     j = pairs.join(s.select(F.col("id").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x")), "a").join(s.select(F.col("id").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("y")), "b")
 
     def run(batches):
@@ -268,24 +394,46 @@ def sketch_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     return j.select("a", "b", "m", "x", "n", "y").mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
-    s = sets.select("id", "items")
-    j = pairs.join(s.withColumnsRenamed({"id": "a", "items": "x"}), "a").join(s.withColumnsRenamed({"id": "b", "items": "y"}), "b")
-
-    def run(batches):
-        for t in batches:
-            ok = []
-            for x, y in zip(t.column(2), t.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return j.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def tile_pairs(members: DataFrame, sets: DataFrame, num: int, den: int, best: bool, tile: int = TILE) -> DataFrame:
+class Sets:
+    """Whole sets of classes, made when a pair first needs them."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, n: int, num: int, den: int):
+        self.docs, self.classes, self.n, self.num, self.den = docs, classes, n, num, den
+        self.have = self.items = None
+        self.written: list[DataFrame] = []
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link, by their whole sets, written."""
+        need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        if self.have is not None:
+            need = need.join(self.have, "node", "left_anti")
+        need = stash(self.classes.join(need, "node", "left_semi"))
+        if not need.isEmpty():
+            made = stash(whole_sets(self.docs, need, self.n))
+            self.written += [need, made]
+            have = need.select("node")
+            self.have = have if self.have is None else self.have.union(have)
+            self.items = made if self.items is None else self.items.union(made)
+        if self.items is None:
+            return pairs.limit(0)
+        num, den = self.num, self.den
+        c, s = self.classes.select("node", "h1", "h2"), self.items
+        named = pairs.join(c.select(F.col("node").alias("b"), F.col("h1").alias("b1"), F.col("h2").alias("b2")), "b").join(c.select(F.col("node").alias("a"), "h1", "h2"), "a")
+        j = named.join(s.withColumnRenamed("items", "x"), ["h1", "h2"]).select("a", "b", F.col("b1").alias("h1"), F.col("b2").alias("h2"), "x").join(s.withColumnRenamed("items", "y"), ["h1", "h2"])
+
+        def run(batches):
+            for t in batches:
+                ok = []
+                for x, y in zip(t.column(2), t.column(3)):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    ok.append(den * both >= num * (len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        return stash(j.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+
+
+def tile_pairs(members: DataFrame, sketches: DataFrame, num: int, den: int, best: bool, tile: int = TILE) -> DataFrame:
     """Pairs of different components within the buckets that their sketches allow; with best, each member's nearest one alone.
 
     members: (sig, id, comp, n), n the size of the bucket. A bucket of more than `tile` members is cut into blocks by
@@ -293,7 +441,7 @@ def tile_pairs(members: DataFrame, sets: DataFrame, num: int, den: int, best: bo
     most. Sketches travel folded to SKETCH_BYTES."""
     d = members.withColumn("_k", F.ceil(F.col("n") / tile).cast("int")).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
     d = d.select("sig", "id", "comp", "_b", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_o"))
-    d = d.select("sig", F.least("_b", "_o").alias("t1"), F.greatest("_b", "_o").alias("t2"), "_b", "id", "comp").join(sets.select("id", "size", F.col("short").alias("sketch")), "id")
+    d = d.select("sig", F.least("_b", "_o").alias("t1"), F.greatest("_b", "_o").alias("t2"), "_b", "id", "comp").join(sketches.select("id", "size", F.col("short").alias("sketch")), "id")
     d = d.repartition("sig", "t1", "t2").sortWithinPartitions("sig", "t1", "t2", "size", "id")
 
     def run(batches):
@@ -387,53 +535,85 @@ def _tile(t: pa.Table, bands: Bands, best: bool):
         yield out()
 
 
-def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(id_col, n_shingles, component_id) for each row of df: shingle set size, and the smallest id reachable by links."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    sizes = stash(set_sizes(docs, n))
-    # classes of equal sets; ids that are null or without words stand alone
-    rep = stash(sizes.where("id is not null and n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("rep")))
-    of = stash(sizes.where("id is not null and n_shingles > 0").join(rep, ["h1", "h2", "n_shingles"]).groupBy("id").agg(F.min("rep").alias("rep")))
-    rows = stash(signed(docs, n, num, den))
-    buckets = stash(shared(rows.where("id = head")))
-    release(df.sparkSession)
-    locals_ = rows.where("id <> head").select("sig", "id", F.col("head").alias("hub"))
-    met = buckets.where("id <> hub").select("id", "hub").union(locals_.select("id", "hub")).distinct()
-    met = met.join(of, "id").select(F.col("rep").alias("a"), F.col("hub").alias("id")).join(of, "id").select("a", F.col("rep").alias("b")).where("a <> b")
-    pairs = stash(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ids = stash(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    sets = packed_sets(docs, ids, n)
-    if not sizes.groupBy("id").count().where("count > 1 and id is not null").isEmpty():
-        sets = sets.dropDuplicates(["id"])  # only tables that repeat an id pay for this shuffle
-    sets = stash(sets)
-    first = sketch_pairs(pairs, sets, num, den).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stash(verify(first, sets, num, den))
-    comp = stash(components(links))
-    members = buckets.select("sig", "id").union(locals_.select("sig", "id")).union(locals_.select("sig", F.col("hub").alias("id")))
-    # buckets of several components, with all their members: nearest ones first, until little is left to meet exactly
-    for best in (*(True,) * NEAREST_ROUNDS, False):
-        release(df.sparkSession)
-        placed = stash(of.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("id", "rep", F.coalesce("component_id", "rep").alias("comp")))
-        named = members.join(placed, "id").select("sig", F.col("rep").alias("id"), "comp")
-        live = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("sig", "n")
-        members = stash(named.join(live, "sig").distinct())
+def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, tag: str | None = None) -> DataFrame:
+    """(id_col, n_shingles, component_id) for each row of df: shingle set size, and the smallest id reachable by links.
+
+    tag: a long column of df that is returned besides, so that rows can be told apart."""
+    spark = df.sparkSession
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), (F.col(tag) if tag else F.lit(0)).cast("long").alias("tag"))
+    parts = max(64, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES))
+    found = stash(reduced(signed(docs, n, num, den, parts)))
+    release(spark)
+    sizes = found.where(F.col("kind").isin(DOCS, NO_ID)).select(F.when(F.col("kind") == DOCS, F.col("a")).alias("id"), F.col("b").alias("n_shingles"), F.col("c").alias("h1"), F.col("d").alias("h2"), F.col("e").alias("tag"))
+    # classes of equal sets; written, so that the numbers of the nodes hold
+    classes = stash(sizes.where("id is not null and n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
+    nests = found.where(F.col("kind") == NESTS).select(F.col("a").alias("n1"), F.col("b").alias("n2"), F.col("c").alias("k1"), F.col("d").alias("k2")).distinct()
+    lists = found.where(F.col("kind") == SIGNATURES).select(F.col("a").alias("l1"), F.col("b").alias("l2"), F.col("c").alias("n1"), F.col("d").alias("n2")).distinct()
+    flat = lists.join(nests, ["n1", "n2"], "left").select(F.col("l1").alias("sig"), F.coalesce("k1", "n1").alias("h1"), F.coalesce("k2", "n2").alias("h2"))
+    flat = flat.union(nests.select(F.col("n1").alias("sig"), "k1", "k2"))
+    members = stash(flat.join(classes, ["h1", "h2"]).select("sig", F.col("node").alias("id")).distinct())
+    drawn = found.where(F.col("kind") == SKETCHES).select(F.col("a").alias("h1"), F.col("b").alias("h2"), F.col("c").alias("size"), F.col("x").alias("sketch")).dropDuplicates(["h1", "h2"])
+    drawn = drawn.join(classes, ["h1", "h2"]).join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    sketches = stash(drawn.select(F.col("node").alias("id"), "size", "sketch").mapInArrow(_shortened, "id long, size long, sketch binary, short binary"))
+    sets = Sets(docs, classes, n, num, den)
+
+    hubs = members.groupBy("sig").agg(F.min("id").alias("a"))
+    star = stash(members.join(hubs, "sig").where("a <> id").select("a", F.col("id").alias("b")).distinct())
+    first = stash(sketch_pairs(star, sketches, num, den).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = [sets.verify(first)]
+    discard(star, first)
+    comp = components(links[0])
+    for last in range(NEAREST_ROUNDS + 1):
+        release(spark)
+        placed = members.join(comp, "id", "left").select("sig", "id", F.coalesce("component_id", "id").alias("comp"))
+        live = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("sig", "n")
+        before, members = members, stash(placed.join(live, "sig"))
+        discard(before)
+        best = last < NEAREST_ROUNDS
+        met = members.where(F.col("n") > SMALL)
         if members.isEmpty():
             break
-        more = tile_pairs(members.where(F.col("n") > SMALL), sets, num, den, best)
+        if best and met.isEmpty():
+            best = False
+        more = tile_pairs(met, sketches, num, den, best)
         if not best:
             more = more.union(small_pairs(members.where(F.col("n") <= SMALL))).distinct()
-        found = stash(verify(stash(sketch_pairs(more, sets, num, den)), sets, num, den))
-        members = members.select("sig", "id")
-        if not found.isEmpty():
-            links = links.union(found)
-            comp = stash(components(links))
-    comp = comp.withColumnRenamed("id", "rep")
-    named_rep = rep.join(comp, "rep", "left").select("h1", "h2", F.col("n_shingles").alias("_n"), F.coalesce("component_id", "rep").alias("_comp"))
-    on = (sizes.h1 == named_rep.h1) & (sizes.h2 == named_rep.h2) & (sizes.n_shingles == named_rep._n)
-    out = sizes.join(named_rep, on, "left").select(sizes.id.alias(id_col), sizes.n_shingles, F.when(sizes.n_shingles > 0, F.when(sizes.id.isNotNull(), F.col("_comp"))).otherwise(sizes.id).alias("component_id"))
+        tested = stash(sketch_pairs(more, sketches, num, den))
+        links.append(sets.verify(tested))
+        discard(tested)
+        if not links[-1].isEmpty():
+            before, comp = comp, components(_all(links))
+            discard(before)
+        if not best:
+            break
+        members = _keep_stash(members, members.select("sig", "id"))
+    lowest = classes.join(comp.withColumnRenamed("id", "node"), "node", "left").select("h1", "h2", "rep", F.coalesce("component_id", "node").alias("comp"))
+    smallest = lowest.groupBy("comp").agg(F.min("rep").alias("low"))
+    named = lowest.join(smallest, "comp").select("h1", "h2", "low")
+    out = sizes.join(named, ["h1", "h2"], "left")
+    out = stash(out.select(F.col("id").alias(id_col), "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("low")).otherwise(F.col("id")).alias("component_id"), *([F.col("tag").alias(tag)] if tag else [])))
+    discard(found, classes, members, sketches, comp, *links, *sets.written)
     return out
 
 
+def _shortened(batches):
+    for t in batches:
+        short = [fold(np.frombuffer(x, np.uint8), 8 * SKETCH_BYTES).tobytes() for x in t.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*t.columns, pa.array(short, pa.binary())], names=["id", "size", "sketch", "short"])
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
+
+
+def _keep_stash(old: DataFrame, new: DataFrame) -> DataFrame:
+    new._stashed_at = old._stashed_at
+    return new
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
     from skein.llm.common import table
 

@@ -93,6 +93,30 @@ def test_ngram_join_odd_rows(spark):
     assert got == sorted([(1, 1), (1, 1), (None, None), (2, 1)], key=str)
 
 
+def test_ngram_join_repeated_ids_and_long_texts(spark):
+    rng = random.Random(12)
+    long = [f"v{rng.randrange(9000)}" for _ in range(30_000)]
+    rows = [(1, "a b c d e f g"), (1, "m n o p q r s"), (1, ""), (2, "m n o p q r s"), (3, "t u v w x y z")]
+    rows += [(7, " ".join(long)), (8, " ".join([*long[:15_000], "else", *long[15_000:]])), (9, "w" * 700_000 + " a b c"), (10, "w" * 700_000 + " a b c"), (11, "w" * 699_999 + " a b c")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs(spark, rows).repartition(3)).collect())
+    big = len(shingle_set(rows[5][1], 5)), len(shingle_set(rows[6][1], 5))
+    assert got == [(1, 0, 1), (1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 3, 3), (7, big[0], 7), (8, big[1], 7), (9, 1, 9), (10, 1, 9), (11, 1, 11)]
+
+
+@pytest.mark.parametrize("num,den", [(85, 100), (80, 100), (60, 100)])
+def test_similar_sets_share_a_signature(num, den):
+    rng = np.random.default_rng(num)
+    bands = ngram_join.Bands(num, den)
+    for _ in range(400):
+        a = np.unique(rng.integers(0, 2**63, rng.choice([3, 8, 20, 60, 150]), dtype=np.uint64) * np.uint64(2))
+        gone = rng.permutation(len(a))[: rng.integers(0, 2 + len(a) * (den - num) // den)]
+        b = np.unique(np.concatenate((np.delete(a, gone), rng.integers(0, 2**63, rng.integers(0, 3), dtype=np.uint64))))
+        both = len(np.intersect1d(a, b))
+        if len(b) and den * both >= num * (len(a) + len(b) - both):
+            assert len(np.intersect1d(ngram_join.signatures(a, bands), ngram_join.signatures(b, bands)))
+    assert any(shape[2] for shape in bands.shapes.values())  # subsets of partitions are enumerated
+
+
 def test_sketches_never_hide_a_link():
     rng = np.random.default_rng(2)
     bands = ngram_join.Bands(85, 100)
