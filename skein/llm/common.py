@@ -99,33 +99,32 @@ def add_columns(df: DataFrame, text: str, schema: str, maker) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (long ids): a row (id, component_id) for each end, written.
 
-    component_id is the smallest id of the component. Alternating large-star and small-star steps: every
-    round re-links neighbours to the smallest one known, by aggregates of min() (combined before the shuffle)
-    and joins on the node, never by gathering a node's neighbours. Each round is written to the shared
-    folder, and the one before deleted; rounds grow with the logarithm of the size. Self-links give components of
-    one. No edges: no rows.
+    component_id is the smallest id of the component. Each round gives every node that has smaller neighbours the
+    smallest of them as its parent, and links the others to that one; when no such link is left, the parents are a
+    forest, whose depth halves by each join with itself. Only aggregates of min() (combined before the shuffle) and
+    joins on the node, never a node's neighbours in one place. Each round is written to the shared folder, and
+    the one before deleted. Self-links give components of one. No edges: no rows.
     """
-    first = e = stash(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct())
-    nodes = e.select(F.col("a").alias("id")).union(e.select(F.col("b").alias("id"))).distinct()
-    last = None
+    ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    first = held = stash(ends.select("a", "b", F.lit(True).alias("more")).distinct())
     for _ in range(max_rounds):
-        live = e.where("a <> b")
-        both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        # large star: larger neighbours of a go to the smallest
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # small star: a and its smaller neighbours go to the smallest of them
-        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low2, "a")
-        before, e = e, stash(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b"))).distinct())
+        live = held.where("a <> b").select("a", "b")
+        low = live.groupBy("a").agg(F.min("b").alias("m"))
+        more = live.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"), F.lit(True).alias("more")).distinct()
+        before, held = held, stash(low.select("a", F.col("m").alias("b"), F.lit(False).alias("more")).unionByName(more))
         if before is not first:
             discard(before)
-        seen = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == last:
+        if held.where("more").isEmpty():
             break
-        last = seen
     else:
         raise RuntimeError("components did not settle")
-    out = stash(nodes.join(e.withColumnRenamed("a", "id").withColumnRenamed("b", "m"), "id", "left").select("id", F.coalesce("m", "id").alias("component_id")))
-    discard(first, e)
+    while True:
+        up = held.select(F.col("a").alias("b"), F.col("b").alias("m"))
+        before, held = held, stash(held.select("a", "b").join(up, "b", "left").select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("more")))
+        discard(before)
+        if held.where("more").isEmpty():
+            break
+    rows = held.select(F.col("a").alias("id"), "b").union(held.select("b", "b")).union(first.where("a = b").select("a", "b"))
+    out = stash(rows.groupBy("id").agg(F.min("b").alias("component_id")))
+    discard(first, held)
     return out

@@ -21,8 +21,9 @@ signatures have it. Buckets are never expanded into all pairs:
    differ in at most as many places as the sets do), each class keeps one such pair, which is verified exactly;
    the links give first components, which swallow groups of near copies with one pair for each member;
 2. only buckets that still hold several components are looked at again: members meet in tiles of bounded size by
-   the same sketch test; first, in large buckets, each member's nearest one in another component is verified, which
-   merges groups of near copies without a common centre, then all pairs of different components that pass.
+   the same sketch test; first, where many pairs would meet in large buckets, each member's nearest one in another
+   component is verified, which merges groups of near copies without a common centre, then all pairs of different
+   components that pass.
 Every similar pair of different components is met in the last round, so no link between components is lost.
 Whole sets are made, by another pass, only of classes in pairs that passed the sketch test. What a step has read for
 the last time is deleted from the shared folder.
@@ -46,7 +47,9 @@ from pyspark.sql import functions as F
 from skein.llm import words as W
 from skein.llm.common import components, discard, release, ship, stash
 
-SPARE, TILE, NEAREST_ROUNDS, SMALL, SKETCH_BYTES = 4, 4096, 2, 8, 1024
+SPARE, TILE, SMALL, SKETCH_BYTES = 4, 4096, 8, 1024
+#: Members of large buckets are linked to their nearest ones first where so many pairs of them would meet.
+NEAREST_FROM = 1_000_000
 #: The cost estimate of (n1, n2, k2): so many texts share a passage, each this share of its shingles.
 CROWD, SHARED = 100, 0.3
 #: Bytes of text for each chunk of signatures, signatures packed at once, places of the id filter at most.
@@ -560,39 +563,35 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     hubs = members.groupBy("sig").agg(F.min("id").alias("a"))
     star = stash(members.join(hubs, "sig").where("a <> id").select("a", F.col("id").alias("b")).distinct())
     first = stash(sketch_pairs(star, sketches, num, den).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = [sets.verify(first)]
+    links = sets.verify(first)
     discard(star, first)
-    comp = components(links[0])
-    for last in range(NEAREST_ROUNDS + 1):
+    comp = components(links)
+    discard(links)
+    for best in (True, False):
         release(spark)
-        placed = members.join(comp, "id", "left").select("sig", "id", F.coalesce("component_id", "id").alias("comp"))
+        placed = members.select("sig", "id").join(comp, "id", "left").select("sig", "id", F.coalesce("component_id", "id").alias("comp"))
         live = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("sig", "n")
         before, members = members, stash(placed.join(live, "sig"))
         discard(before)
-        best = last < NEAREST_ROUNDS
-        met = members.where(F.col("n") > SMALL)
-        if members.isEmpty():
-            break
-        if best and met.isEmpty():
-            best = False
-        more = tile_pairs(met, sketches, num, den, best)
+        big = members.where(F.col("n") > SMALL)
+        if best and (big.agg(F.sum("n")).first()[0] or 0) < NEAREST_FROM:
+            continue
+        more = tile_pairs(big, sketches, num, den, best)
         if not best:
             more = more.union(small_pairs(members.where(F.col("n") <= SMALL))).distinct()
         tested = stash(sketch_pairs(more, sketches, num, den))
-        links.append(sets.verify(tested))
+        links = sets.verify(tested)
         discard(tested)
-        if not links[-1].isEmpty():
-            before, comp = comp, components(_all(links))
+        if not links.isEmpty():
+            before, comp = comp, components(comp.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(links))
             discard(before)
-        if not best:
-            break
-        members = _keep_stash(members, members.select("sig", "id"))
+        discard(links)
     lowest = classes.join(comp.withColumnRenamed("id", "node"), "node", "left").select("h1", "h2", "rep", F.coalesce("component_id", "node").alias("comp"))
     smallest = lowest.groupBy("comp").agg(F.min("rep").alias("low"))
     named = lowest.join(smallest, "comp").select("h1", "h2", "low")
     out = sizes.join(named, ["h1", "h2"], "left")
     out = stash(out.select(F.col("id").alias(id_col), "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("low")).otherwise(F.col("id")).alias("component_id"), *([F.col("tag").alias(tag)] if tag else [])))
-    discard(found, classes, members, sketches, comp, *links, *sets.written)
+    discard(found, classes, members, sketches, comp, *sets.written)
     return out
 
 
@@ -602,18 +601,6 @@ def _shortened(batches):
         yield pa.RecordBatch.from_arrays([*t.columns, pa.array(short, pa.binary())], names=["id", "size", "sketch", "short"])
 
 
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return out
-
-
-def _keep_stash(old: DataFrame, new: DataFrame) -> DataFrame:
-    new._stashed_at = old._stashed_at
-    return new
-
-
 def op1(spark, sf_dir: str) -> DataFrame:
     from skein.llm.common import table
 
