@@ -2,8 +2,8 @@
 
 It reads a tokenizer file whose model is BPE with an end-of-word suffix, over byte-level characters, behind
 NFC, white-space folding and lower-casing, and a split into contractions, letters, single digits and the rest.
-Texts of printable ASCII, white space and Latin-1 letters are split here, and their new pieces encoded together,
-one merge a piece and round, by numpy. In other texts that holds word by word; words with any other character,
+Texts of printable ASCII, white space and Latin-1 letters are split here, on the bytes of many texts at once, and their
+new pieces encoded together, one merge a piece and round, by numpy. In other texts that holds word by word; words with any other character,
 and whatever might hold a special token, go through the library itself. Pieces and words are cached.
 """
 
@@ -14,11 +14,14 @@ import re
 
 import numpy as np
 
+from skein.llm.words import LOWER, word_hashes
+
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x20\t-\ra-zß-öø-ÿ0-9]+")
 _PLAIN = re.compile(r"[\x20-~\t-\rÀ-ÖØ-öø-ÿ]*")
 _NONE = 0xFFFF
-CACHE = 400_000
+#: Pieces kept, some 30 bytes each.
+CACHE = 1_000_000
 
 
 class Encoder:
@@ -31,6 +34,8 @@ class Encoder:
         if self.tok.get_vocab_size() >= _NONE:
             raise ValueError("ids of this tokenizer do not fit in two bytes")
         self.cache: dict[str, bytes] = {}
+        # of plain pieces: hashes, sorted; where the ids of each begin in flat, and how many they are
+        self.names, self.place, self.flat = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), np.zeros(0, np.uint16)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], json.dumps(spec.get("pre_tokenizer") or {})
@@ -134,26 +139,100 @@ class Encoder:
             r[rows[ok], j[ok] - 1] = self._rank(s[rows[ok], j[ok] - 1], s[rows[ok], j[ok]])
 
     def _split(self, text: str) -> list[str]:
-        """Cache keys of a text in order: its pieces, and whole words after a blank where the library must see them."""
+        """Pieces of a text that is not plain, in order, and whole words after a blank where the library must see them."""
         if not self.known or any(t in text for t in self.special):
             return [" " + text]
-        if _PLAIN.fullmatch(text):
-            return _PIECES.findall(text.lower())
         out = []
         for w in re.split(r"[\x20\t-\r]+", text):
             if w:
                 out += _PIECES.findall(w.lower()) if _PLAIN.fullmatch(w) else [" " + w]
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self._split(t or "") for t in texts]
+    def _others(self, texts: list[str]) -> list[bytes]:
+        split = [self._split(t) for t in texts]
         cache = self.cache
-        new = {k for ks in split for k in ks if k not in cache}
-        if len(cache) + len(new) > CACHE:
+        new = set().union(*split).difference(cache)
+        if len(cache) + len(new) > CACHE // 8:
             cache.clear()
-            new = {k for ks in split for k in ks}
+            new = set().union(*split)
         own, lib = [k for k in new if k[0] != " "], [k for k in new if k[0] == " "]
         cache.update(zip(own, self.pieces([k.encode() for k in own])))
         for k, e in zip(lib, self.tok.encode_batch([k[1:] for k in lib], add_special_tokens=False)):
             cache[k] = np.array(e.ids, np.uint16).tobytes()
         return [b"".join([cache[k] for k in ks]) for ks in split]
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of plain texts: pieces are told apart by a 64-bit hash, and each is encoded once."""
+        off = np.cumsum([0, *map(len, texts)])
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        data, starts, ends = cut(data, off)
+        if not len(starts):
+            return [b""] * len(texts)
+        hashes, which = np.unique(word_hashes(data, starts, ends), return_inverse=True)
+        if len(self.names) + len(hashes) > CACHE:
+            self.names, self.place = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
+            self.flat = np.zeros(0, np.uint16)
+        at = np.searchsorted(self.names, hashes)
+        new = np.flatnonzero((at == len(self.names)) | (np.append(self.names, 0)[at] != hashes))
+        if len(new):
+            some = np.zeros(len(hashes), np.int64)
+            some[which] = np.arange(len(which))
+            whole = data.tobytes()
+            ids = self.pieces([whole[a:b] for a, b in zip(starts[some[new]].tolist(), ends[some[new]].tolist())])
+            n = np.array([len(x) for x in ids]) // 2
+            place = np.stack((len(self.flat) + np.cumsum(n) - n, n), axis=1)
+            self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(ids), np.uint16)))
+            self.names, self.place = np.insert(self.names, at[new], hashes[new]), np.insert(self.place, at[new], place, axis=0)
+            at = np.searchsorted(self.names, hashes)
+        first, n = self.place[at[which]].T
+        total = np.cumsum(n)
+        out = self.flat[np.repeat(first - total + n, n) + np.arange(int(total[-1]))].tobytes()
+        edges = (2 * np.append(0, total)[np.searchsorted(starts, off)]).tolist()
+        return [out[a:b] for a, b in zip(edges, edges[1:])]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        texts = [t or "" for t in texts]
+        plain = [bool(self.known and _PLAIN.fullmatch(t)) and not any(x in t for x in self.special) for t in texts]
+        fast = iter(self._plain([t.encode() for t, p in zip(texts, plain) if p]))
+        slow = iter(self._others([t for t, p in zip(texts, plain) if not p]))
+        return [next(fast if p else slow) for p in plain]
+
+
+# classes of bytes: 0 white space, 1 letters (and the bytes of Latin-1 letters), 2 digits, 3 the rest
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[32, 9, 10, 11, 12, 13]] = 0
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_CLASS[48:58] = 2
+_QUOTE, _ONE, _TWO = ord("'"), np.isin(np.arange(256), list(b"stmd")), [b"re", b"ve", b"ll"]
+
+
+def cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-case bytes, starts, ends) of the pieces of plain texts that begin at off: runs of letters, single digits,
+    runs of the rest, and contractions after an apostrophe that stands alone."""
+    low = LOWER[data]
+    high = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0x9F)) + 1 if len(data) else np.zeros(0, np.int64)
+    low[high] += 0x20
+    kind = _CLASS[data]
+    text = np.zeros(len(data) + 1, bool)
+    text[off] = True
+    begins = np.ones(len(data), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2) | text[1:-1]
+    ends = np.append(begins[1:], True)
+    quote = np.flatnonzero((low == _QUOTE) & begins & ends)
+    if len(quote):
+        pad = np.append(low, [0, 0, 0])
+        edge = np.append(text, [True, True])
+        one = _ONE[pad[quote + 1]] & ~edge[quote + 1]
+        two = np.zeros(len(quote), bool)
+        for x, y in _TWO:
+            two |= (pad[quote + 1] == x) & (pad[quote + 2] == y)
+        two &= ~edge[quote + 1] & ~edge[quote + 2]
+        for q, n in ((quote[one], 1), (quote[two], 2)):
+            begins[q + 1] = False
+            after = q + n + 1
+            after = after[after < len(data)]
+            begins[after] = True  # what follows begins a piece in any case
+    starts = np.flatnonzero(begins)
+    stops = np.append(starts[1:], len(data))
+    full = kind[starts] != 0
+    return low, starts[full], stops[full]

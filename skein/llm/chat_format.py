@@ -6,8 +6,10 @@ fingerprint; the fingerprint selects a declarative mapping, which turns the reco
 texts `~` is written `~0` and `|` is written `~1`, so that no text can hold a marker, and reading back undoes it.
 
 Defined results: a null or malformed record, or one whose fingerprint no mapping knows, has layout null, no
-turns and an empty formatted text; null roles and texts count as empty; extra columns pass through unchanged
-(columns named like an output are replaced).
+turns and an empty formatted text; null roles and texts count as empty; rows of one conversation and turn (ties,
+repeats) stand in the order of role and text, each once for each row; rows with a null conversation are one; very long
+turns stay whole; an empty table gives no rows; extra columns pass through unchanged (columns named like an output are
+replaced).
 """
 
 from __future__ import annotations
@@ -25,18 +27,20 @@ RECORD = (
     "conversations array<struct<`from`:string,value:string>>, system string, instruction string, input string, "
     "output string, prompt string, response string, completion string"
 )
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+# What the from-value layout calls the roles. In layouts of role and text, roles stay as they are.
+ROLES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 
 
 @dataclass(frozen=True)
 class Mapping:
     """paths: the nested field paths it stands for; listed: (array, role field, text field), or
-    fixed: (role, fields joined by a blank line) in order."""
+    fixed: (role, fields joined by a blank line) in order. aliases: roles that this layout names otherwise."""
 
     name: str
     paths: tuple[str, ...]
     listed: tuple[str, str, str] | None = None
     fixed: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    aliases: tuple[tuple[str, str], ...] = ()
 
     @property
     def fingerprint(self) -> str:
@@ -45,15 +49,15 @@ class Mapping:
     def turns(self, record: Column) -> Column:
         if self.listed:
             at, role, text = self.listed
-            return F.transform(record[at], lambda x: F.struct(_role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
+            return F.transform(record[at], lambda x: F.struct(_role(x[role], self.aliases).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
         made = [F.struct(F.lit(role).alias("role"), F.concat_ws("\n\n", *(F.nullif(record[f], F.lit("")) for f in fields)).alias("text")) for role, fields in self.fixed]
         return F.array(*made)
 
 
-def _role(c: Column) -> Column:
+def _role(c: Column, aliases) -> Column:
     c = F.coalesce(c, F.lit(""))
     out = c
-    for k, v in ROLES.items():
+    for k, v in aliases:
         out = F.when(c == k, v).otherwise(out)
     return out
 
@@ -61,7 +65,7 @@ def _role(c: Column) -> Column:
 MAPPINGS = (
     Mapping("turns", ("turns", "turns[].role", "turns[].text"), ("turns", "role", "text")),
     Mapping("messages", ("messages", "messages[].role", "messages[].content"), ("messages", "role", "content")),
-    Mapping("from-value", ("conversations", "conversations[].from", "conversations[].value"), ("conversations", "from", "value")),
+    Mapping("from-value", ("conversations", "conversations[].from", "conversations[].value"), ("conversations", "from", "value"), aliases=ROLES),
     Mapping("instruction", ("instruction", "output"), fixed=(("user", ("instruction",)), ("assistant", ("output",)))),
     Mapping("instruction-input", ("instruction", "input", "output"), fixed=(("user", ("instruction", "input")), ("assistant", ("output",)))),
     Mapping("prompt-response", ("prompt", "response"), fixed=(("user", ("prompt",)), ("assistant", ("response",)))),
@@ -119,6 +123,24 @@ def read_back(formatted: Column, loss_runs: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), turn)).otherwise(F.array().cast("array<struct<role:string,text:string,loss:boolean>>"))
 
 
+def under_mask(formatted: Column, loss_runs: Column) -> Column:
+    """What stands in the formatted text under the loss mask, unescaped: one text for each run with loss.
+
+    The run lengths are summed up and cut out of the text, four bytes to a code point, so that each cut costs what it
+    is long. A byte order mark before each keeps one that a text begins with."""
+    wide = F.encode(formatted, "UTF-32")
+    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<binary>").alias("cut"))
+
+    def step(s, run):
+        n = run["chars"].cast("long")
+        piece = F.substring(wide, (4 * s["at"] + 1).cast("int"), (4 * n).cast("int"))
+        return F.struct((s["at"] + n).alias("at"), F.when(run["loss"], F.concat(s["cut"], F.array(piece))).otherwise(s["cut"]).alias("cut"))
+
+    cuts = F.aggregate(loss_runs, empty, step, lambda s: s["cut"])
+    mark = F.unhex(F.lit("0000FEFF"))
+    return F.transform(cuts, lambda x: unescape(F.when(F.octet_length(x) > 0, F.decode(F.concat(mark, x), "UTF-32")).otherwise("")))
+
+
 def rows_to_records(df: DataFrame, key: str = "conv_id") -> DataFrame:
     """One JSON record {"turns": [{role, text}]} for each key, by turn (then role and text; nulls first)."""
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -133,8 +155,7 @@ def op10(spark, sf_dir: str) -> DataFrame:
     own = spark.sql("select -1L conv_id, id turn, if(id = 0, 'user', 'assistant') role, '</s>[INST] ok [/INST]' text from range(0, 2, 1, 1)")
     out = format_chat(rows_to_records(rows.unionByName(own)))
     out = out.withColumn("back", read_back(F.col("formatted"), F.col("loss_runs")))
-    loss = F.array_join(F.transform(F.filter("back", lambda t: t["loss"]), lambda t: t["text"]), "")
-    out = out.withColumn("loss_text", loss)
+    out = out.withColumn("loss_text", F.array_join(under_mask(F.col("formatted"), F.col("loss_runs")), ""))
     return out.select(
         "conv_id", F.size("back").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),

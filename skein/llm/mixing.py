@@ -9,7 +9,8 @@ that no pattern is gathered or sorted in one task.
 
 The driver holds one row for each pattern; more than max_patterns of them raise an error. Defined results: a null
 or empty text has size 0 and takes nothing; a null source is a source, the last in order; documents without any
-source take nothing; equal rows count and are taken each alone; empty tables give no rows; extra columns pass.
+source take nothing; a null size takes nothing; equal rows count and are taken each alone; empty tables give no rows;
+extra columns pass, whatever they are called, but for those named like an output, which are replaced.
 """
 
 from __future__ import annotations
@@ -138,20 +139,26 @@ def plan_mix(slim: DataFrame, members: str, size: str, hash_cols: list[str], wei
     return plan.join(cut, "_key", "left")
 
 
+PLAN = ("rounds", "source_sizes", "targets")
+
+
 def apply_mix(df: DataFrame, plan: DataFrame, members: str, size: str, hash_cols: list[str], seed=SEED, max_repeats=MAX_REPEATS) -> DataFrame:
-    """df with rounds, source_sizes, targets and taken, the words taken of each row (repeats counted)."""
-    h = _hash(hash_cols, seed)
-    d = df.withColumn("_key", _key(F.col(members))).withColumn("_h", h).withColumn("_bin", F.shiftrightunsigned("_h", 64 - BIN_BITS))
-    d = d.join(F.broadcast(plan), "_key", "left")
-    inside = (F.col("_bin") == F.col("cut_bin")) & (F.col(size) > 0)
-    whole = F.when(F.col("_bin") < F.col("cut_bin"), F.col(size)).otherwise(F.lit(0).cast("long"))
-    out = d.where(~F.coalesce(inside, F.lit(False))).withColumn("_extra", whole)
+    """df with rounds, source_sizes, targets and taken, the words taken of each row (repeats counted).
+
+    Columns of df named like these four are replaced; all others pass, whatever they are called."""
+    outputs = (*PLAN, "taken")
+    kept = [c for c in df.columns if c not in outputs]
+    d = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), _key(F.col(members)).alias("key"), F.col(size).alias("size"), _hash(hash_cols, seed).alias("h"), *(F.col(c).alias(f"by{i}") for i, c in enumerate(hash_cols)))
+    d = d.withColumn("bin", F.shiftrightunsigned("h", 64 - BIN_BITS)).join(F.broadcast(plan.withColumnRenamed("_key", "key")), "key", "left")
+    inside = (F.col("bin") == F.col("cut_bin")) & (F.col("size") > 0)
+    whole = F.when(F.col("bin") < F.col("cut_bin"), F.col("size")).otherwise(F.lit(0).cast("long"))
+    out = d.where(~F.coalesce(inside, F.lit(False))).withColumn("extra", whole)
     # documents of the cut bins alone are ordered: one in 2^BIN_BITS of a pattern's
-    w = Window.partitionBy("_key").orderBy("_h", *hash_cols, size).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(size).over(w), F.lit(0))
-    part = d.where(inside).withColumn("_extra", F.greatest(F.lit(0), F.least(F.col(size), F.col("left") - before)))
-    out = out.unionByName(part).withColumn("taken", F.coalesce(F.col("rounds") * F.col(size) + F.col("_extra"), F.lit(0)).cast("long"))
-    return out.drop("_key", "_h", "_bin", "cut_bin", "left", "_extra", "rest")
+    w = Window.partitionBy("key").orderBy("h", *(f"by{i}" for i in range(len(hash_cols))), "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("size").over(w), F.lit(0))
+    part = d.where(inside).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - before)))
+    out = out.unionByName(part).withColumn("taken", F.coalesce(F.col("rounds") * F.col("size") + F.col("extra"), F.lit(0)).cast("long"))
+    return out.select(*(F.col(f"row.`{c}`") for c in kept), *outputs)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -1,17 +1,21 @@
 """Packing by lexical retrieval: a sharded BM25 index returns unused neighbours that fill each window.
 
 Documents are tokenised, an end id is appended, and whole windows of a long document are cut off at once: what is
-left, below one window, is the document's unit. Units are dealt into shards of about shard_docs by a seeded hash;
-each shard holds a BM25 inverted index of its own, whose terms are the token ids. Documents are seeds in the
-order of that hash: the index returns a seed's best unused neighbours, which greedily fill its window; when none
-of them fits, the best one is cut at the window's edge and its remainder opens the next window, so that windows
-are full. What the last window of a shard holds is cut into lengths that are powers of two, which need no padding.
-
-Document frequencies and lengths come from the units of all documents: a row for each id of the vocabulary
-reaches the driver, whatever the input.
-
-Defined results: a null or empty text is the end id alone; equal rows are packed each alone; rows with a null id
-are packed as any other; an empty table gives no rows; extra columns are dropped.
+left, below one window, is the document's unit. Units are dealt into shards of shard_docs by content: they are ordered
+by the smallest hash of their token pairs (copies and near copies share it with the chance of their similarity), then
+by a seeded hash, cut into ranges, and each range into shards of consecutive units. Copies and near copies thus meet,
+whatever the size of the input, and a group of any size is split by the seeded hash. Each shard holds a
+BM25 inverted index of its own, whose terms are the token ids. Documents are seeds in the order of the hash: the
+index returns a seed's best unused neighbours, which greedily fill its window, and is asked again until no unused
+document shares a query term; when one does not fit, it is cut at the window's edge and its remainder opens the next
+window, so that windows are full. What the last window of a shard holds is cut into lengths that are powers of two,
+which need no padding.
+
+Document frequencies and lengths come from the units of all documents, as it is the units that fill windows: a row
+for each id of the vocabulary reaches the driver, whatever the input.
+
+Defined results: a null or empty text is the end id alone; equal rows are packed each alone; rows with a null id are packed as any other; ties go by hash, then id; very long texts are cut
+into whole windows at once; an empty table gives no rows; extra columns are dropped, whatever they are called.
 """
 
 from __future__ import annotations
@@ -20,13 +24,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.bpe import Encoder
 from skein.llm.common import ship, stash
+from skein.llm.words import mix
 
 WINDOW, END_ID, SHARD_DOCS, QUERY_TERMS, NEIGHBOURS, SEED, K1, B = 2048, 1, 2048, 12, 24, 29, 1.2, 0.75
+#: Shards in a range of units, which one task fills one after the other.
+SHARDS = 4
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 
 
@@ -40,8 +48,8 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-ROW = "id long, doc_tokens long, whole array<long>, rest binary, h long"
-_TYPES = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
+ROW = "id long, doc_tokens long, whole array<long>, rest binary, h long, near long"
+_TYPES = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64()]
 
 
 def tokenised(df: DataFrame, id_col: str, text: str, path: str, window: int, seed: int) -> DataFrame:
@@ -50,21 +58,46 @@ def tokenised(df: DataFrame, id_col: str, text: str, path: str, window: int, see
     names = [c.split()[0] for c in ROW.split(", ")]
 
     def run(batches):
-        of = encoder(path)
+        of, again = encoder(path), {}
         for batch in batches:
-            rows = []
-            coded = (e for a in range(0, batch.num_rows, 256) for e in of.encode(batch.column(1).slice(a, 256).to_pylist()))
-            for i, e in zip(batch.column(0).to_pylist(), coded):
-                x = np.append(np.frombuffer(e, "<u2"), np.uint16(END_ID)).astype("<u4")
-                whole = len(x) // window
-                crcs = [zlib.crc32(x[j * window : (j + 1) * window].tobytes()) for j in range(whole)]
-                rest = x[whole * window :].astype("<u2").tobytes()
-                rows.append((i, len(x), crcs, rest, zlib.crc32(rest, zlib.crc32(f"{seed}:{i}:{len(x)}".encode()))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)] if rows else [pa.array([], t) for t in _TYPES], names=names)
+            for part in _parts(batch):
+                rows = []
+                for i, e in zip(part.column(0).to_pylist(), of.encode(part.column(1).to_pylist())):
+                    x = np.append(np.frombuffer(e, "<u2"), np.uint16(END_ID)).astype("<u4")
+                    whole = len(x) // window
+                    crcs = [zlib.crc32(x[j * window : (j + 1) * window].tobytes()) for j in range(whole)]
+                    unit = x[whole * window :]
+                    rest = unit.astype("<u2").tobytes()
+                    h = zlib.crc32(rest, zlib.crc32(f"{seed}:{i}:{len(x)}".encode()))
+                    if n := again.get(h, 0):  # equal rows get hashes of their own
+                        h = zlib.crc32(f"{h}:{n}".encode())
+                    again[h] = n + 1
+                    rows.append((i, len(x), crcs, rest, h, least_pair(unit)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=names)
+            if len(again) > 1_000_000:
+                again.clear()
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text)).mapInArrow(run, ROW)
 
 
+def _parts(batch: pa.RecordBatch, most_rows: int = 1024, most_bytes: int = 4 << 20):
+    """Consecutive rows of a batch, so many and of so many bytes of text at most, one at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < batch.num_rows:
+        before = int(size[a - 1]) if a else 0
+        b = max(a + 1, min(a + most_rows, int(np.searchsorted(size, before + most_bytes, "right"))))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def least_pair(ids: np.ndarray) -> int:
+    """The smallest hash of two consecutive ids."""
+    x = ids.astype(np.uint64)
+    x = x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:] if len(x) > 1 else x
+    return int(mix(x).min() >> np.uint64(1)) if len(x) else 0
+
+
 def statistics(rows: DataFrame) -> tuple[dict[int, int], int, int]:
     """(units with each token id, units, ids) over the units of all documents."""
 
@@ -155,23 +188,25 @@ def fill(lengths: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray]
             out.append(seq)
             seq, room = [], window
             continue
-        # the window has room: neighbours of its seed
+        # the window has room: neighbours of its seed, until none is left or one does not fit
         seed = seq[0][0]
         q = terms[seed][np.argsort(-weights[seed], kind="stable")[:QUERY_TERMS]]
-        near = index.neighbours(q, unused, NEIGHBOURS)
-        for j in near.tolist():
-            if lengths[j] <= room:
-                seq.append((j, 0, int(lengths[j])))
-                unused[j] = False
-                room -= int(lengths[j])
+        while room and current is None:
+            near = index.neighbours(q, unused, NEIGHBOURS).tolist()
+            if not near:
+                break
+            for j in near:
+                if lengths[j] <= room:
+                    seq.append((j, 0, int(lengths[j])))
+                    unused[j] = False
+                    room -= int(lengths[j])
+            left = [j for j in near if unused[j]]
+            if room and left:
+                current = (left[0], 0)
+                unused[left[0]] = False
         if room == 0:
             out.append(seq)
             seq, room = [], window
-            continue
-        near = [j for j in near.tolist() if unused[j]]
-        if near:
-            current = (near[0], 0)
-            unused[near[0]] = False
     if seq:
         out += powers(seq)
     return out
@@ -204,17 +239,15 @@ def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: s
         tokenizer = public_tokenizers.path(DEFAULT_TOKENIZER)
     rows = stash(tokenised(df, id_col, text, tokenizer, window, seed))
     stats = statistics(rows)
-    shards = max(1, -(-stats[1] // shard_docs))
     names = [c.split()[0] for c in PIECES.split(", ")]
     shared = df.sparkSession.sparkContext.broadcast(stats)
 
-    def run(key, t):
-        shard = key[0].as_py()
+    def shard(t, seq):
         t = t.combine_chunks().sort_by([("h", "ascending"), ("id", "ascending"), ("doc_tokens", "ascending"), ("rest", "ascending")])
         ids, total = t.column("id").to_pylist(), t.column("doc_tokens").to_pylist()
         rest = [np.frombuffer(x, "<u2") for x in t.column("rest").to_pylist()]
         terms, weights = weigh(rest, shared.value)
-        seq, out = shard << 32, []
+        out = []
         for k, crcs in enumerate(t.column("whole").to_pylist()):
             for j, c in enumerate(crcs):
                 out.append((ids[k], j * window, window, c, total[k], seq, 0))
@@ -225,9 +258,29 @@ def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: s
                 out.append((ids[d], total[d] - len(rest[d]) + first, n, zlib.crc32(rest[d][first : first + n].astype("<u4").tobytes()), total[d], seq, at))
                 at += n
             seq += 1
-        return pa.table([pa.array(c, pa.int64()) for c in zip(*out)], names=names) if out else pa.table({n: pa.array([], pa.int64()) for n in names})
+        return seq, pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names) if out else None
 
-    return rows.withColumn("shard", F.pmod("h", F.lit(shards))).groupBy("shard").applyInArrow(run, PIECES).withColumnRenamed("id", id_col)
+    def run(batches):
+        from pyspark import TaskContext
+
+        seq, held = TaskContext.get().partitionId() << 40, []
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, shard_docs - sum(b.num_rows for b in held))
+                held.append(part)
+                batch = batch.slice(part.num_rows)
+                if sum(b.num_rows for b in held) == shard_docs:
+                    seq, out = shard(pa.Table.from_batches(held), seq)
+                    held = []
+                    if out:
+                        yield out
+        if held:
+            _, out = shard(pa.Table.from_batches(held), seq)
+            if out:
+                yield out
+
+    ranges = max(1, -(-stats[1] // (SHARDS * shard_docs)))
+    return rows.repartitionByRange(ranges, "near", "h").sortWithinPartitions("near", "h").mapInArrow(run, PIECES).withColumnRenamed("id", id_col)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

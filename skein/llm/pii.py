@@ -79,7 +79,7 @@ class Finder:
                     found["login"].append(m.span())
             else:
                 if end >= run["ip"]:
-                    run["ip"] = self._digits(text, end, _IP_RUN, _IP, found["ip"], lambda s: all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in s.split(".")))
+                    run["ip"] = self._digits(text, end, _IP_RUN, _IP, found["ip"], lambda s: all(len(y := x.lstrip("0")) <= 3 and int(y or "0") <= 255 for x in s.split(".")))
                 if end >= run["card"]:
                     run["card"] = self._digits(text, end, _CARD_RUN, _CARD, found["card"], self._card)
         return [(k, a, b) for k in KINDS for a, b in found[k]]
@@ -153,4 +153,4 @@ def op9(spark, sf_dir: str) -> DataFrame:
     n = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("pii", lambda s: s["kind"].isin(*KINDS[:4]))
-    return found.select("doc_id", *map(n, KINDS[:4]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *map(n, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), (F.size("pii") > 0).alias("has_pii"))

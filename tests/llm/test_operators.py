@@ -207,6 +207,40 @@ def test_pii_base_equals_regex():
     assert [s[0] for s in find.spans(x)] == ["email", "ip", "card", "phone"]
 
 
+def test_pii_long_texts():
+    find = pii.Finder()
+    for x in ("0" * 5000 + ".1.1.1", "1" * 100_000, "." * 100_000, "@" * 100_000, "a@" * 50_000, "+1 " * 40_000, "token " * 30_000, "://a:" * 30_000, "0" * 4999 + "7.1.1.1 x " + "é" * 9999 + " a@b.cd"):
+        assert [s for s in find.spans(x) if s[0] in pii.KINDS[:4]] == long_spans(x)
+
+
+def long_spans(x):
+    return [s for s in regex_spans(re.sub("0{2,}(?=[0-9])", lambda m: "0" * len(m[0]), x)) if s] if len(x) < 5000 else [s for s in _spans_by_regex(x)]
+
+
+def _spans_by_regex(x):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)] if "@" in x and "@@" not in x and x.count("@") < 9 else []
+    return out + [("ip", *m.span()) for m in re.finditer(r"(?<![0-9.])[0-9]+(?:\.[0-9]+){3}(?![0-9.])", x) if all(len(y.lstrip("0")) < 4 and int(y.lstrip("0") or 0) <= 255 for y in m[0].split("."))]
+
+
+def test_pii_recall_on_planted_spans():
+    rng, find, hit = random.Random(22), pii.Finder(), 0
+    word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(rng.randrange(2, 9)))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    makers = {
+        "account": lambda: (rng.choice(["token = ", "API_KEY: ", "account # ", "Password is ", "iban="]), "7" + "".join(rng.choice("abcdef0123456789") for _ in range(20))),
+        "login": lambda: ("https://", f"{word()}:{word()}{digits(3)}"),
+        "email": lambda: ("", f"{word()}.{digits(2)}@{word()}.example.com"),
+        "phone": lambda: ("", f"+1 ({digits(3)}) 555-{digits(4)}"),
+    }
+    for i in range(400):
+        kind = list(makers)[i % 4]
+        lead, value = makers[kind]()
+        before = " ".join(word() for _ in range(rng.randrange(1, 60))) + " " + lead
+        x = before + value + ("@host.example/x" if kind == "login" else " ") + " ".join(word() for _ in range(20))
+        hit += (kind, len(before), len(before) + len(value)) in find.spans(x)
+    assert hit >= 0.98 * 400
+
+
 def test_pii_frames(spark):
     df = docs(spark, [(0, "token = abcd1234efgh and https://me:pw@host/x mail a@b.co"), (1, None), (2, ""), (3, "plain")]).withColumn("pii", F.lit(1))
     got = {r["doc_id"]: r["text"] for r in pii.redact_pii(df).collect()}
@@ -297,6 +331,34 @@ def test_retrieval_fills_with_neighbours():
     assert [sorted(d for d, _, _ in s) for s in seqs] == [[0, 1], [2, 3], [4, 5], [6, 7]]
 
 
+def test_windows_are_filled_while_neighbours_are_left():
+    terms = [np.array([0, 9])] * 80 + [np.array([5])] * 3
+    seqs = packing.fill(np.array([8] * 80 + [100] * 3), terms, [np.array([1.0, 1.0])] * 80 + [np.array([1.0])] * 3, 640)
+    assert sorted(d for d, _, _ in seqs[0]) == list(range(80))
+
+
+def test_near_copies_meet_in_windows(spark):
+    """Of 300 documents with a near copy each, in 600 rows and 15 shards, nine in ten are packed beside their copy."""
+    rng, rows = random.Random(21), []
+    for i in range(300):
+        w = ["".join(map(rng.choice, ("bcdfgklmst", "aeiou", "lmnrst", "aeiou", "dgklmnst"))) for _ in range(60)]
+        for k in range(2):
+            rows.append((2 * i + k, " ".join(w)))
+            w[rng.randrange(60)] = "changed"
+    out = packing.pack(docs(spark, rows).withColumn("h", F.lit(1)).withColumn("near", F.lit(2)), window=2048, shard_docs=40).collect()
+    where = {}
+    for r in out:
+        where.setdefault(r["doc_id"], set()).add(r["sequence_id"])
+    assert sum(bool(where[2 * i] & where[2 * i + 1]) for i in range(300)) >= 270
+
+
+def test_packing_repeated_rows(spark):
+    rows = [(None, None)] * 50 + [(1, "same text")] * 40
+    out = packing.pack(docs(spark, rows), window=64, shard_docs=10).collect()
+    assert sum(r["length"] for r in out) == sum(r["doc_tokens"] for r in out if r["start"] == 0)
+    assert sorted((r["doc_id"] or 0, r["doc_tokens"]) for r in out if r["start"] == 0)[:50] == [(0, 1)] * 50
+
+
 # quality rules
 
 
