@@ -8,49 +8,62 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skein.llm import mixing, ngram_join, packing, pii, quality_rules
-from skein.llm.common import stash, table
+from skein.llm.common import discard, stash, table
 
 ORACLE_SQL = None  # signatures, word windows and packing have no SQL form; tests/llm holds them against brute force
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+    """Documents that the quality rules keep; a null text is rejected, a null language judged against all."""
+    judged = quality_rules.quality_rules(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text", "lang"))
+    return judged.where("kept").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles (Jaccard 0.8 or more), the document with the smallest id.
-
-    Documents without an id are in no group and stay; of rows with equal ids one stays."""
-    found = ngram_join.ngram_join(docs, "doc_id", "text", n=5, num=80, den=100)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
-    first = named.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1")
-    return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each group linked by five-word shingles (Jaccard 0.8 or more): the one with the smallest id.
+
+    Rows are told apart by id and text: rows of one id and unlike texts stay unless a link joins them; of rows with equal
+    ids and texts one stays. Documents without an id or without words are in no group and stay."""
+    tag = F.xxhash64(F.col("text"))
+    found = ngram_join.ngram_join(docs.select("doc_id", "text", tag.alias("tag")), "doc_id", "text", n=5, num=80, den=100, tag="tag")
+    counted = found.where("group_id is not null").groupBy("group_id", "doc_id", "tag").agg(F.count("*").alias("n"))
+    first = counted.groupBy("group_id").agg(F.min(F.struct("doc_id", "tag", "n")).alias("first"))
+    keep = stash(first.select(F.col("first.doc_id").alias("id"), F.col("first.tag").alias("tag"), F.col("first.n").alias("n")))
+    discard(found)
+    named = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), tag.alias("tag"), named.alias("named"))
+    chosen = rows.where("named").join(keep, ["id", "tag"])
+    once = chosen.where("n = 1")
+    if not keep.where("n > 1").isEmpty():
+        once = once.unionByName(chosen.where("n > 1").dropDuplicates(["id", "tag"]))
+    return once.select("row").unionByName(rows.where("not named").select("row")).select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind; null texts stay null."""
     return pii.redact_pii(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes; the last may be cut to its leading words."""
-    sized = docs.withColumn("_size", mixing.size_of(F.col("text"))).withColumn("_of", F.array("source"))
-    plan = stash(mixing.plan_mix(stash(sized.select("doc_id", "_size", "_of")), "_of", "_size", ["doc_id", "_size"]))
-    taken = mixing.apply_mix(sized, plan, "_of", "_size", ["doc_id", "_size"]).where("taken > 0")
-    copies = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("_size"))), lambda i: F.least(F.col("_size"), F.col("taken") - i * F.col("_size")))
-    rows = taken.withColumn("_words", F.explode(copies))
-    leading = F.array_join(F.slice(F.filter(F.split("text", quality_rules.SPACE), lambda w: w != ""), 1, F.col("_words").cast("int")), " ")
-    text = F.when(F.col("_words") < F.col("_size"), leading).otherwise(F.col("text"))
-    return rows.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """As many copies of each document as the mix takes; the last may be cut to its leading words.
+
+    Null and wordless texts take nothing and go; a null source is a source; equal rows are taken each alone."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    sized = docs.select(row, F.col("doc_id").alias("id"), mixing.size_of(F.col("text")).alias("size"), F.array("source").alias("of"))
+    plan = stash(mixing.plan_mix(stash(sized.select("id", "size", "of")), "of", "size", ["id", "size"]))
+    taken = mixing.apply_mix(sized, plan, "of", "size", ["id", "size"]).where("taken > 0")
+    copies = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size"))), lambda i: F.least(F.col("size"), F.col("taken") - i * F.col("size")))
+    rows = taken.withColumn("words", F.explode(copies))
+    leading = F.array_join(F.slice(F.filter(F.split("row.text", quality_rules.SPACE), lambda w: w != ""), 1, F.col("words").cast("int")), " ")
+    text = F.when(F.col("words") < F.col("size"), leading).otherwise(F.col("row.text"))
+    new = {"text": F.col("made"), "n_chars": F.char_length("made").cast("long")}
+    return rows.withColumn("made", text).select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
+    """Pieces of sequences of at most 2048 tokens; a null text is its end token alone."""
     return packing.pack(docs, "doc_id", "text")
 
 

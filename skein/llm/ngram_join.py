@@ -541,7 +541,8 @@ def _tile(t: pa.Table, bands: Bands, best: bool):
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, tag: str | None = None) -> DataFrame:
     """(id_col, n_shingles, component_id) for each row of df: shingle set size, and the smallest id reachable by links.
 
-    tag: a long column of df that is returned besides, so that rows can be told apart."""
+    tag: a long column of df that is returned besides, with group_id, a number of the component of its own: where ids
+    repeat, unlinked components may have the same smallest id."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), (F.col(tag) if tag else F.lit(0)).cast("long").alias("tag"))
     parts = max(64, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES))
@@ -588,9 +589,9 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
         discard(links)
     lowest = classes.join(comp.withColumnRenamed("id", "node"), "node", "left").select("h1", "h2", "rep", F.coalesce("component_id", "node").alias("comp"))
     smallest = lowest.groupBy("comp").agg(F.min("rep").alias("low"))
-    named = lowest.join(smallest, "comp").select("h1", "h2", "low")
+    named = lowest.join(smallest, "comp").select("h1", "h2", "low", "comp")
     out = sizes.join(named, ["h1", "h2"], "left")
-    out = stash(out.select(F.col("id").alias(id_col), "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("low")).otherwise(F.col("id")).alias("component_id"), *([F.col("tag").alias(tag)] if tag else [])))
+    out = stash(out.select(F.col("id").alias(id_col), "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("low")).otherwise(F.col("id")).alias("component_id"), *([F.col("tag").alias(tag), F.when(F.col("id").isNotNull(), F.col("comp")).alias("group_id")] if tag else [])))
     discard(found, classes, members, sketches, comp, *sets.written)
     return out
 

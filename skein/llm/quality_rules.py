@@ -5,11 +5,12 @@ are those histograms summed over all documents of a language. A document is reje
 distance (square root of the divergence, base 2, 0 to 1) of its histogram to its language's reference exceeds a
 threshold, and only if it is long enough for that histogram to mean something (min_chars; min_words, and min_hits
 common words both in the document and in its reference). With fewer, it is rejected only where its language's share of
-common words lets expect min_expected or more, and a tenth of them or less is there. Documents of unknown language, or of one beyond the max_references most frequent, are held against the sum of all.
-Base rules (too few words; too many words in repeated three-word windows) reject besides.
+common words lets expect min_expected or more, and a tenth of them or less is there. Documents of unknown language are
+held against the sum of all. Base rules (too few words; too many words in repeated three-word windows) reject besides.
 
-Defined results: null texts count as empty (no words: rejected by the base rule, distances null); each of
-several equal rows is judged alone; extra columns pass through.
+Defined results: null texts count as empty (no words: rejected by the base rule, distances null); very long texts are
+measured whole; each of several equal rows is judged alone; an empty table gives no rows; extra columns pass through,
+whatever they are called, but for those named like an output, which are replaced.
 """
 
 from __future__ import annotations
@@ -30,14 +31,27 @@ COMMON_WORDS = " ".join(COMMON).split()
 #: The character classes, in order; "beyond" is the bytes that non-ASCII characters take besides one each.
 CLASSES = ("upper", "digit", "beyond", "symbol", "space", "rest")
 
-MIN_CHARS, MIN_WORDS, MAX_CHAR_JS, MAX_WORD_JS, MAX_REFERENCES = 200, 50, 0.20, 0.65, 256
+MIN_CHARS, MIN_WORDS, MAX_CHAR_JS, MAX_WORD_JS = 200, 50, 0.20, 0.65
+#: So many references are broadcast (1 KB each); more are joined by a shuffle, to the same result.
+MAX_BROADCAST = 4096
 #: Of fewer common words than this the histogram is too coarse to be held against a reference.
 MIN_HITS, MIN_EXPECTED = 20, 8
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words")
+VERDICT = ("base_failed", "char_js", "word_js", "kept")
+
+
+def _row(df: DataFrame, without: tuple[str, ...]) -> tuple[Column, list[str]]:
+    """The columns of df but these, as one struct: names inside it can clash with nothing."""
+    kept = [c for c in df.columns if c not in without]
+    return F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), kept
+
+
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars and words (the two histograms)."""
-    df = df.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_w", F.filter(F.split("_t", SPACE), lambda x: x != ""))
+    row, kept = _row(df, MEASURES)
+    df = df.select(row, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t")).withColumn("_w", F.filter(F.split("_t", SPACE), lambda x: x != ""))
     df = df.withColumn("n_words", F.size("_w").cast("long"))
     # 3-word windows as hashes; where some are equal, each is joined with its place in one long, and sorted
     grams = F.when(F.col("n_words") >= 4, F.transform(F.slice("_w", 1, F.size("_w") - 2), lambda x, i: F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2)))).otherwise(F.array().cast("array<bigint>"))
@@ -66,68 +80,85 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     )
     rest = F.greatest(F.lit(0), (F.col("word_chars") - F.col("n_symbols")).cast("int") - F.col("_upper") - F.col("_digit") - F.col("_beyond"))
     chars = F.array("_upper", "_digit", "_beyond", F.col("n_symbols").cast("int"), (F.col("_n") - F.col("word_chars")).cast("int"), rest)
-    df = df.withColumn("_hits", F.filter(F.transform("_w", lambda w: F.lower(w)), lambda w: w.isin(COMMON_WORDS)))
-    words = F.array(*map(_count_of, COMMON_WORDS))
+    # each common word between two blanks, so that the length that its removal takes counts it
+    hits = F.filter(F.transform("_w", lambda w: F.lower(w)), lambda w: w.isin(COMMON_WORDS))
+    df = df.withColumn("_hits", F.array_join(F.transform(hits, lambda w: F.concat(F.lit(" "), w, F.lit(" "))), ""))
+    words = F.array(*(((F.octet_length("_hits") - F.octet_length(F.replace("_hits", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int") for w in COMMON_WORDS))
     # _fence is not deterministic for the optimizer: no filter is pushed below it, which would repeat the expressions
-    return df.withColumn("chars", chars).withColumn("words", words).withColumn("_fence", F.spark_partition_id()).drop("_t", "_w", "_g", "_bits", "_k", "_at", "_lines", "_n", "_s", "_s2", "_upper", "_digit", "_beyond", "_hits")
-
-
-def _count_of(word: str) -> Column:
-    return F.size(F.filter("_hits", lambda w: w == word))
-
+    df = df.withColumn("chars", chars).withColumn("words", words).withColumn("_fence", F.spark_partition_id())
+    return df.where("_fence >= 0").select(*(F.col(f"_row.`{c}`") for c in kept), *MEASURES)
 
-def references(measured: DataFrame, lang: str = "lang", max_references: int = MAX_REFERENCES) -> DataFrame:
-    """A row for each of the most frequent languages, and one (ref_lang null) for all: summed histograms.
 
-    At most max_references + 1 rows, so that joining them by broadcast is safe."""
+def references(measured: DataFrame, lang: str = "lang") -> DataFrame:
+    """A row for each language, and one (ref_lang null) for all: summed histograms."""
     n_c, n_w = len(CLASSES), len(COMMON_WORDS)
     sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(n_c)] + [F.sum(F.col("words")[i]).alias(f"w{i}") for i in range(n_w)]
-    by = measured.groupBy(F.col(lang).alias("ref_lang")).agg(F.count("*").alias("n"), F.sum("n_words").alias("ref_n_words"), *sums)
+    by = measured.groupBy(F.col(f"`{lang}`").alias("ref_lang")).agg(F.sum("n_words").alias("ref_n_words"), *sums)
     every = by.agg(*(F.sum(c).alias(c) for c in by.columns[1:])).select(F.lit(None).cast("string").alias("ref_lang"), *by.columns[1:])
-    top = by.where("ref_lang is not null").orderBy(F.desc("n"), "ref_lang").limit(max_references)
     pack = lambda p, n: F.array(*(F.coalesce(F.col(f"{p}{i}"), F.lit(0)).cast("double") for i in range(n)))
-    return top.unionByName(every).select("ref_lang", pack("c", n_c).alias("ref_chars"), pack("w", n_w).alias("ref_words"), "ref_n_words")
+    return by.where("ref_lang is not null").unionByName(every).select("ref_lang", pack("c", n_c).alias("ref_chars"), pack("w", n_w).alias("ref_words"), "ref_n_words")
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two count arrays, base 2; null if either is all zero."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    tp, tq = total(p), total(q)
+def js_distance(p: Column, q: Column, n: int | None = None) -> Column:
+    """Jensen-Shannon distance of two count arrays, base 2; null if either is all zero. n: their length, where known,
+    for an expression without loops."""
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
+    if n is None:
+        total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    else:
+        total = lambda a: _sum([a[i].cast("double") for i in range(n)])
+    tp, tq = total(p), total(q)
 
     def term(x, y):
         a, b = x.cast("double") / tp, y.cast("double") / tq
         m = (a + b) / 2
         return part(a, m) + part(b, m)
 
-    div = F.aggregate(F.zip_with(p, q, term), F.lit(0.0), lambda s, x: s + x) / 2
+    div = (F.aggregate(F.zip_with(p, q, term), F.lit(0.0), lambda s, x: s + x) if n is None else _sum([term(p[i], q[i]) for i in range(n)])) / 2
     return F.when((tp > 0) & (tq > 0), F.sqrt(F.greatest(div, F.lit(0.0))))
 
 
+def _sum(columns: list[Column]) -> Column:
+    out = columns[0]
+    for c in columns[1:]:
+        out = out + c
+    return out
+
+
 def judge(measured: DataFrame, refs: DataFrame, lang: str = "lang", min_chars=MIN_CHARS, min_words=MIN_WORDS, max_char_js=MAX_CHAR_JS, max_word_js=MAX_WORD_JS, min_hits=MIN_HITS, min_expected=MIN_EXPECTED) -> DataFrame:
-    """Adds base_failed, char_js, word_js and kept."""
-    known = refs.where("ref_lang is not null")
-    every = refs.where("ref_lang is null").select(F.col("ref_chars").alias("_rc"), F.col("ref_words").alias("_rw"), F.col("ref_n_words").alias("_rn"), F.lit(1).alias("_one"))
-    df = measured.join(F.broadcast(known), F.col(lang) == known.ref_lang, "left").withColumn("_one", F.lit(1)).join(F.broadcast(every), "_one", "left")
-    df = df.withColumn("char_js", js_distance(F.col("chars"), F.coalesce("ref_chars", "_rc"))).withColumn("word_js", js_distance(F.col("words"), F.coalesce("ref_words", "_rw")))
-    df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    n = F.aggregate("chars", F.lit(0), lambda s, x: s + x)
+    """Adds base_failed, char_js, word_js and kept to measured documents. refs: a written table."""
+    row, kept = _row(measured, VERDICT)
+    d = measured.select(row, F.col(f"`{lang}`").alias("lang"), *MEASURES)
+    n_c, n_w = len(CLASSES), len(COMMON_WORDS)
+    known, every = refs.where("ref_lang is not null"), refs.where("ref_lang is null").first()
+    if known.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        known = F.broadcast(known)
+    d = d.join(known, d.lang == known.ref_lang, "left")
+    of = lambda c, values: F.coalesce(F.col(c), F.array(*map(F.lit, values)).cast("array<double>"))
+    d = d.select(
+        "_row", *MEASURES, of("ref_chars", every["ref_chars"]).alias("ref_chars"), of("ref_words", every["ref_words"]).alias("ref_words"),
+        F.coalesce("ref_n_words", F.lit(every["ref_n_words"]).cast("long")).alias("ref_n_words"),
+    )
+    d = d.withColumn("char_js", js_distance(F.col("chars"), F.col("ref_chars"), n_c)).withColumn("word_js", js_distance(F.col("words"), F.col("ref_words"), n_w))
+    d = d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    n = _sum([F.col("chars")[i] for i in range(n_c)])
     odd = (n >= min_chars) & (F.coalesce("char_js", F.lit(0.0)) > max_char_js)
-    hits, known_hits = (F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) for a in (F.col("words"), F.coalesce("ref_words", "_rw")))
-    expected = F.col("n_words") * known_hits / F.greatest(F.coalesce("ref_n_words", "_rn"), F.lit(1))
+    hits, known_hits = (_sum([F.col(c)[i].cast("double") for i in range(n_w)]) for c in ("words", "ref_words"))
+    expected = F.col("n_words") * known_hits / F.greatest(F.col("ref_n_words"), F.lit(1))
     enough = (hits >= min_hits) & (known_hits >= min_hits)
     far = F.when(enough, F.coalesce("word_js", F.lit(0.0)) > max_word_js).otherwise((expected >= min_expected) & (10 * hits <= expected))
     odd |= (F.col("n_words") >= min_words) & F.coalesce(far, F.lit(False))
-    return df.withColumn("kept", ~F.col("base_failed") & ~odd & (F.col("_fence") >= 0)).drop("_fence", "ref_lang", "ref_chars", "ref_words", "ref_n_words", "_rc", "_rw", "_rn", "_one")
+    return d.withColumn("kept", ~F.col("base_failed") & ~odd).select(*(F.col(f"_row.`{c}`") for c in kept), *VERDICT)
 
 
 def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", **limits) -> DataFrame:
-    """df with its measures and verdict; the references come from all rows of df. Null-safe; see the module."""
+    """df with its measures and verdict; the references come from all rows of df. Null-safe; see the module.
+
+    The measures are made once and written with the rows."""
     from skein.llm.common import stash
 
-    measured = measures(df, text)
-    refs = stash(references(stash(measured.select(F.col(lang), "n_words", "chars", "words")), lang))
-    return judge(measured, refs, lang, **limits)
+    measured = stash(measures(df, text))
+    return judge(measured, stash(references(measured, lang)), lang, **limits)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
@@ -160,8 +191,10 @@ jc as (select doc_id, sqrt(greatest(0, sum(case when p > 0 then p * log2(p / ((p
   from (select doc_id, ec.x / tc.t as p, rc.x / zc.t as q from ec join tc using (doc_id) join rc on rc.i = ec.i and rc.lang is not distinct from ec.lang join zc on zc.lang is not distinct from ec.lang where tc.t > 0 and zc.t > 0) group by doc_id),
 jw as (select doc_id, sqrt(greatest(0, sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2)) as js
   from (select doc_id, ew.x / tw.t as p, rw.x / zw.t as q from ew join tw using (doc_id) join rw on rw.i = ew.i and rw.lang is not distinct from ew.lang join zw on zw.lang is not distinct from ew.lang where tw.t > 0 and zw.t > 0) group by doc_id)
+q as (select lang, sum(n_words) as n from h where lang is not null group by lang union all select null, sum(n_words) from h)
 select h.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (list_sum(chars) >= 200 and coalesce(jc.js, 0) > 0.2) and not (n_words >= 50 and coalesce(jw.js, 1) > 0.65) as kept,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (list_sum(chars) >= 200 and coalesce(jc.js, 0) > 0.2) and not (n_words >= 50 and case when tw.t >= 20 and zw.t >= 20 then coalesce(jw.js, 0) > 0.65
+    else n_words * zw.t / greatest(q.n, 1) >= 8 and 10 * tw.t <= n_words * zw.t / greatest(q.n, 1) end) as kept,
   round(jc.js, 6) as char_js, round(jw.js, 6) as word_js
-from h left join jc using (doc_id) left join jw using (doc_id)
+from h left join jc using (doc_id) left join jw using (doc_id) join tw using (doc_id) join zw on zw.lang is not distinct from h.lang join q on q.lang is not distinct from h.lang
 """.replace("COMMON", "[" + ", ".join(f"'{w}'" for w in COMMON_WORDS) + "]")

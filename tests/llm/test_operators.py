@@ -387,6 +387,15 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(docs(spark, [])).count() == 0
 
 
+def test_quality_rules_keep_other_columns(spark):
+    names = ("ref_lang", "ref_chars", "_one", "chars", "words", "_t", "_row", "row", "_rc", "_fence", "kept")
+    df = docs(spark, [(0, "the " * 3), (1, None)]).select("*", *(F.lit(f"own {c}").alias(c) for c in names))
+    out = quality_rules.quality_rules(df)
+    assert set(out.columns) == {*df.columns, *quality_rules.MEASURES, *quality_rules.VERDICT} and len(out.columns) == len(set(out.columns))
+    for r in out.collect():
+        assert all(r[c] == f"own {c}" for c in names if c not in (*quality_rules.MEASURES, *quality_rules.VERDICT))
+
+
 def test_word_distance_needs_common_words(spark):
     rng = random.Random(31)
     some = lambda pool, n: [rng.choice(pool) + rng.choice(["", "s", "er", "ing", "ed"]) for _ in range(n)]
@@ -445,6 +454,18 @@ def test_chat(spark):
     assert sum(r["chars"] for r in got[0]["loss_runs"]) == len(got[0]["formatted"])
 
 
+def test_loss_is_read_through_its_mask(spark):
+    rows = [(0, 0, "user", "q|~"), (0, 1, "assistant", "\ufeffa😀~|b"), (0, 2, "gpt", "no loss"), (0, 3, "assistant", ""), (0, 3, "assistant", ""), (0, 4, "assistant", "z" * 200_000), (None, None, None, None)]
+    df = chat_format.format_chat(chat_format.rows_to_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    read = lambda d: {r["conv_id"]: r["under"] for r in d.withColumn("under", chat_format.under_mask(F.col("formatted"), F.col("loss_runs"))).collect()}
+    assert read(df) == {0: ["\ufeffa😀~|b", "", "", "z" * 200_000], None: []}
+    back = df.withColumn("back", chat_format.read_back(F.col("formatted"), F.col("loss_runs"))).where("conv_id = 0").first()["back"]
+    assert [t["role"] for t in back][:3] == ["user", "assistant", "gpt"]
+    wrong = df.withColumn("loss_runs", F.transform("loss_runs", lambda x: F.struct(F.lit(1).alias("chars"), x["loss"].alias("loss"))))
+    assert read(wrong)[0] != read(df)[0]
+    assert chat_format.format_chat(chat_format.rows_to_records(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
 def test_layouts(spark):
     records = {
         "messages": '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}',

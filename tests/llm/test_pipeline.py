@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from skein.llm.common import stash
 
@@ -29,3 +31,26 @@ def test_stages(spark):
         if name == "pii":
             assert docs.where("doc_id = 104").first()["text"].endswith("write to [EMAIL] now")
     assert docs.count() > 0 and {"sequence_id", "offset"} <= set(docs.columns)
+
+
+def test_dedup_tells_rows_apart(spark):
+    rng = random.Random(12)
+    one, two, three = (" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(99)) for _ in range(60)) for _ in range(3))
+    rows = [(1, one), (1, two), (2, three), (3, two), (4, three), (4, three), (5, None), (5, ""), (None, one), (6, "x"), (6, "x")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0, "e") for i, t in rows], SCHEMA).withColumn("id", F.lit(1)).withColumn("tag", F.lit(2)).withColumn("n", F.lit(3)).withColumn("row", F.lit(4))
+    got = corpus_pipeline.dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert kept == sorted([(1, one), (1, two), (2, three), (5, None), (5, ""), (None, one), (6, "x")], key=str)
+
+
+def test_stages_on_odd_tables(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    odd = spark.createDataFrame([(None, None, None, None, None, None), (1, "", None, None, 0, "x"), (1, "word " * 5000, "xx", None, 0, "x")] * 2, SCHEMA)
+    clash = [F.lit(7).alias(c) for c in ("row", "size", "taken", "kept", "chars", "_row", "rounds", "targets", "left", "ref_lang", "h")]
+    for docs in (empty, odd.select("*", *clash)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "")
+            assert name == "pack" or out.columns == docs.columns
+            n = out.count()
+            assert n >= (0 if name in ("quality_rules", "mix") or docs is empty else 3), name
