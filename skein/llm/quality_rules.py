@@ -190,7 +190,7 @@ zc as (select lang, sum(x) as t from rc group by lang), zw as (select lang, sum(
 jc as (select doc_id, sqrt(greatest(0, sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2)) as js
   from (select doc_id, ec.x / tc.t as p, rc.x / zc.t as q from ec join tc using (doc_id) join rc on rc.i = ec.i and rc.lang is not distinct from ec.lang join zc on zc.lang is not distinct from ec.lang where tc.t > 0 and zc.t > 0) group by doc_id),
 jw as (select doc_id, sqrt(greatest(0, sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2)) as js
-  from (select doc_id, ew.x / tw.t as p, rw.x / zw.t as q from ew join tw using (doc_id) join rw on rw.i = ew.i and rw.lang is not distinct from ew.lang join zw on zw.lang is not distinct from ew.lang where tw.t > 0 and zw.t > 0) group by doc_id)
+  from (select doc_id, ew.x / tw.t as p, rw.x / zw.t as q from ew join tw using (doc_id) join rw on rw.i = ew.i and rw.lang is not distinct from ew.lang join zw on zw.lang is not distinct from ew.lang where tw.t > 0 and zw.t > 0) group by doc_id),
 q as (select lang, sum(n_words) as n from h where lang is not null group by lang union all select null, sum(n_words) from h)
 select h.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (list_sum(chars) >= 200 and coalesce(jc.js, 0) > 0.2) and not (n_words >= 50 and case when tw.t >= 20 and zw.t >= 20 then coalesce(jw.js, 0) > 0.65
