@@ -28,21 +28,26 @@ def fold_edges(rows: DataFrame, seq: str = "seq") -> DataFrame:
     d = d.withColumn("_from", F.max(F.when(F.col("conflict") & (F.col("_n") > 1), F.col("_n"))).over(Window.partitionBy("id")))
     d = d.withColumn("_from", F.coalesce("_from", F.lit(1)))
     late = F.col("_n") >= F.col("_from")
-    item = F.struct("_n", "evidence", "sources", "confidence")
+    d = d.withColumn("_late", late).withColumn("_items", F.count(F.when(late, 1)).over(Window.partitionBy("id")))
     agg = d.groupBy("id").agg(
         F.max_by("type", "_n").alias("type"), F.min_by("src", "_n").alias("src"), F.min_by("dst", "_n").alias("dst"),
-        F.sort_array(F.collect_list(F.when(late, item))).alias("_items"),
-        F.max(F.when(late, F.col("confidence"))).alias("confidence"), F.bool_or("conflict").alias("conflict"),
+        F.max(F.when(F.col("_late"), F.col("confidence"))).alias("confidence"), F.bool_or("conflict").alias("conflict"),
         *(F.max_by(c, "_n").alias(c) for c in extra),
     )
-    every = F.flatten(F.transform("_items", lambda x: x["evidence"]))
-    keyed = F.transform(every, lambda e: F.struct(F.concat_ws(":", e["file"], e["line"].cast("string")).alias("k"), e.alias("e")))
-    keys = F.transform(keyed, lambda x: x["k"])
-    first = F.filter(keyed, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
-    evidence = F.when(F.size("_items") > 1, F.transform(first, lambda x: x["e"])).otherwise(every)
-    sources = F.array_distinct(F.flatten(F.transform("_items", lambda x: x["sources"])))
-    sources = F.when(F.size("_items") > 1, sources).otherwise(F.flatten(F.transform("_items", lambda x: x["sources"])))
-    return agg.withColumn("evidence", evidence).withColumn("sources", sources).drop("_items")
+    out = agg
+    for name, key in (("evidence", F.concat_ws(":", F.col("x.file"), F.col("x.line").cast("string"))), ("sources", F.col("x"))):
+        out = out.join(_firsts(d, name, key), "id", "left")
+    empty = {n: F.array().cast(dict(rows.dtypes)[n]) for n in ("evidence", "sources")}
+    return out.select(*agg.columns, *(F.coalesce(n, e).alias(n) for n, e in empty.items()))
+
+
+def _firsts(d: DataFrame, name: str, key) -> DataFrame:
+    """(id, name): the first item of each key in the array column, in order; all items of an edge folded from one row."""
+    items = d.where("_late").select("id", "_n", "_items", F.posexplode(name).alias("at", "x"))
+    by = F.when(F.col("_items") > 1, key).otherwise(F.concat_ws("|", "_n", "at"))
+    place = F.struct("_n", "at")
+    first = items.groupBy("id", by.alias("k")).agg(F.min(place).alias("place"), F.min_by("x", place).alias("x"))
+    return first.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda y: y["x"]).alias(name))
 
 
 def with_edge_ids(ends: DataFrame) -> DataFrame:

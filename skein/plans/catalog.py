@@ -93,6 +93,16 @@ def _affected(spark, sf_dir):
     return T.impact(n, e, _starts(n, "O0")).groupBy("kind").agg(F.count(F.when(F.col("depth") > 0, 1)).alias("items"), F.count("*").alias("n"))
 
 
+#: Customers of one country: some have tests, and their orders' other customers have some, too.
+_TESTED = "kind = 'Function' and path = 'customer/N3'"
+
+
+def _tests_to_run(spark, sf_dir):
+    n, e = graph(spark, sf_dir)
+    starts = n.where(_TESTED).select(F.col("id").alias("source"), "id")
+    return T.impact(n, e, starts, "downstream", 3).where("kind = 'Test'").select("source", "id")
+
+
 def _impact_edges(spark, sf_dir):
     n, e = graph(spark, sf_dir)
     return T.impact_edges(n, e, T.reach(n, e, _starts(n, "O0"), max_depth=2)).select(F.col("edge_id").alias("id"), "type", "to", "depth")
@@ -223,9 +233,9 @@ def _edge_fold(spark, sf_dir):
     return f.select("id", "type", "src", "dst", F.array_join(line, ",").alias("evidence"), F.array_join("sources", ",").alias("sources"), "confidence", "conflict")
 
 
-_FOLD_SQL = """with o as (select 'table:P' || (l_partkey % 50) as dst, l_linenumber as line, l_returnflag as flag, l_quantity / 100 as confidence, l_orderkey % 97 = 0 as conflict, l_orderkey * 10 + l_linenumber as seq
-   from lineitem join orders on l_orderkey = o_orderkey where l_orderkey % 4 = 0),
- n as (select *, row_number() over (partition by dst order by seq) as n from o),
+_FOLD_SQL = """with o as (select 'table:P' || (l_partkey % 50) as dst, l_linenumber as line, l_returnflag as flag, l_quantity / 100 as confidence, l_orderkey % 97 = 0 as conflict, l_orderkey as k1, l_linenumber as k2, l_quantity as k3
+   from lineitem join orders on l_orderkey = o_orderkey),
+ n as (select *, row_number() over (partition by dst order by k1, k2, flag, k3) as n from o),
  k as (select dst, coalesce(max(case when conflict and n > 1 then n end), 1) as k, bool_or(conflict) as any_conflict from n group by dst),
  l as (select n.*, any_conflict from n join k using (dst) where n.n >= k.k),
  e as (select dst, line, arg_min(flag, n) as flag, min(n) as n from l group by dst, line),
@@ -280,7 +290,7 @@ def _calls(spark, sf_dir):
 
 
 _CALLS_SQL = """with d as (select 's' || (p_partkey % 1700) as name, 'src/f' || (p_partkey % 90) || '.ts' as path, 'fn:' || p_partkey as id from part),
- c as (select distinct 'fn:o' || l_orderkey as caller, 'src/f' || (l_suppkey % 90) || '.ts' as path, 's' || (l_partkey % 1800) as name from lineitem where l_orderkey % 20 = 0),
+ c as (select distinct 'fn:o' || l_orderkey as caller, 'src/f' || (l_suppkey % 90) || '.ts' as path, 's' || (l_partkey % 1800) as name from lineitem),
  i as (select distinct 'src/f' || (s_suppkey % 90) || '.ts' as path, 'src/f' || ((s_suppkey + 7) % 90) || '.ts' as file from supplier),
  l as (select path, name, max(id) as l from d group by all), m as (select i.path, d.name, max(d.id) as i from i join d on d.path = i.file group by all),
  g as (select name, max(id) as g from d group by name having count(distinct path) = 1)
@@ -310,7 +320,7 @@ _ALL = {
     "impact_depth_zero": (_impact("downstream", 0), _walk(_START, 0) + "select source, id, kind, name, depth from met join nodes using (id)"),
     "multi_source_impact": (_impact("downstream", 3, *_MANY_NAMES), _walk(_MANY, 3) + "select source, id, kind, name, depth from met join nodes using (id)"),
     "impact_counts": (_affected, _walk(_START, 5) + "select kind, count(case when depth > 0 then 1 end) as items, count(*) as n from met join nodes using (id) group by kind"),
-    "impact_tests": (lambda s, d: _impact("downstream", 3, *_MANY_NAMES)(s, d).where("kind = 'Test'").select("source", "id"), _walk(_MANY, 3) + "select source, id from met join nodes using (id) where kind = 'Test'"),
+    "impact_tests": (_tests_to_run, _walk(_TESTED, 3) + "select source, id from met join nodes using (id) where kind = 'Test'"),
     "impact_edges": (_impact_edges, _walk(_START, 2) + _RISKS_SQL + f""", ie as (select distinct {EDGE_ID_SQL} as id, e.type, case when e.src = l.id then e.dst else e.src end as to_id, l.depth from live l join edges e on
       (e.src = l.id and (e.type = 'EXPOSES' or (l.depth = 0 and (e.type in ('WRITES','PUBLISHES') or (e.type = 'CALLS' and e.dst in (select id from nodes where kind in ('External','API','Event')))))))
       or (e.dst = l.id and e.type in ('CALLS','CONSUMES','SUBSCRIBES','TESTS'))) select id, type, to_id as "to", depth from ie"""),
@@ -369,10 +379,10 @@ _ALL = {
     "symbol_uniqueness": (lambda s, d: M.unique_symbols(_definitions(s, d)), "select 's' || (p_partkey % 1700) as symbol, max('fn:' || p_partkey) as id from part group by p_partkey % 1700 having count(distinct p_partkey % 90) = 1"),
     "journal_recent": (_journal, "select * from (select event_id as seq, event_type as event from events order by event_id desc limit 1000) where event = 'click' order by seq desc limit 25"),
     "circuit_streaks": (_streaks, "with e as (select user_id % 5 as repo, event_id as seq, event_type = (select min(event_type) from events) as c from events), g as (select *, sum(case when c then 0 else 1 end) over (partition by repo order by seq) as g from e) select repo, seq, cast(sum(c::int) over (partition by repo, g order by seq) as bigint) as streak from g"),
-    "debate_scores": (_debate, WITH + "select cast(o_orderkey as varchar) as id, cast(1 + case when o_orderkey in (select p_partkey from part) then 1 else 0 end as bigint) as present, cast(1 + case when o_orderkey in (select p_partkey from part) then 0 else 1 end as bigint) as missing, cast(1 + case when o_orderkey in (select p_partkey from part) then 1 else 0 end - 2 * (1 + case when o_orderkey in (select p_partkey from part) then 0 else 1 end) as bigint) as score from orders where o_orderkey % 50 = 0"),
+    "debate_scores": (_debate, WITH + "select cast(o_orderkey as varchar) as id, cast(1 + case when o_orderkey in (select p_partkey from part) then 1 else 0 end as bigint) as present, cast(1 + case when o_orderkey in (select p_partkey from part) then 0 else 1 end as bigint) as missing, cast(1 + case when o_orderkey in (select p_partkey from part) then 1 else 0 end - 2 * (1 + case when o_orderkey in (select p_partkey from part) then 0 else 1 end) as bigint) as score from orders"),
 }
 for _m in ("height", "call", "db"):
-    _ALL[f"view_{_m}"] = (_view(_m), WITH + f"select id, kind, name from nodes where kind in {_kinds(_m)} order by kind, name, id limit 60")
+    _ALL[f"view_{_m}"] = (_view(_m), WITH + f"select id, kind, name from nodes where kind in {_kinds(_m)}")
 
 
 def _impact_full(spark, sf_dir):

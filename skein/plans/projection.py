@@ -78,14 +78,14 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw WRITES edges, one for each line of an order, in arrival order (seq), with evidence; every seventh conflicts."""
+    """Raw WRITES edges, one for each line of an order, in arrival order (seq; rows of equal seq are equal), with evidence; some conflict."""
     relations(spark, sf_dir)
     d = spark.sql(_sql(f"select l_orderkey, l_linenumber, l_returnflag, l_quantity, {_ORDER} as src, 'table:P' || (l_partkey % 50) as dst from lineitem join orders on l_orderkey = o_orderkey"))
     return d.select(
         edge_id(F.lit("table:L"), F.col("dst"), F.lit("WRITES")).alias("id"), F.lit("WRITES").alias("type"), F.lit("table:L").alias("src"), "dst",
         F.array(F.struct(F.lit("lineitem").alias("file"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("snippet"))).alias("evidence"),
         F.array(F.concat(F.lit("s"), F.col("l_returnflag"))).alias("sources"), (F.col("l_quantity") / 100).alias("confidence"),
-        (F.col("l_orderkey") % 97 == 0).alias("conflict"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("seq"),
+        (F.col("l_orderkey") % 97 == 0).alias("conflict"), F.struct("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity").alias("seq"),
     )
 
 
