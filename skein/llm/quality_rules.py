@@ -99,37 +99,30 @@ def references(measured: DataFrame, lang: str = "lang") -> DataFrame:
     return by.where("ref_lang is not null").unionByName(every).select("ref_lang", pack("c", n_c).alias("ref_chars"), pack("w", n_w).alias("ref_words"), "ref_n_words")
 
 
-def js_distance(p: Column, q: Column, n: int | None = None) -> Column:
-    """Jensen-Shannon distance of two count arrays, base 2; null if either is all zero. n: their length, where known,
-    for an expression without loops."""
-    part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    if n is None:
-        total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    else:
-        total = lambda a: _sum([a[i].cast("double") for i in range(n)])
-    tp, tq = total(p), total(q)
-
-    def term(x, y):
-        a, b = x.cast("double") / tp, y.cast("double") / tq
-        m = (a + b) / 2
-        return part(a, m) + part(b, m)
-
-    div = (F.aggregate(F.zip_with(p, q, term), F.lit(0.0), lambda s, x: s + x) if n is None else _sum([term(p[i], q[i]) for i in range(n)])) / 2
-    return F.when((tp > 0) & (tq > 0), F.sqrt(F.greatest(div, F.lit(0.0))))
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
+
+
+def js_distance(p: Column, q: Column, total_p: Column | None = None, total_q: Column | None = None) -> Column:
+    """Jensen-Shannon distance of two count arrays, base 2; null if either is all zero.
 
+    Where p has nothing, a share b of q adds b; as all shares of q add up to 1, only the places are visited where p
+    has something. The totals are best given as columns: a loop would make them anew in each step."""
+    tp, tq = (_total(p) if total_p is None else total_p), (_total(q) if total_q is None else total_q)
+    some = F.filter(F.zip_with(p, q, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))), lambda v: v["x"] > 0)
 
-def _sum(columns: list[Column]) -> Column:
-    out = columns[0]
-    for c in columns[1:]:
-        out = out + c
-    return out
+    def term(v):
+        a, b = v["x"] / tp, v["y"] / tq
+        return a * F.log2(2 * a / (a + b)) + F.when(b > 0, b * F.log2(2 * b / (a + b))).otherwise(0.0) - b
+
+    div = (F.aggregate(some, F.lit(0.0), lambda s, v: s + term(v)) + 1) / 2
+    return F.when((tp > 0) & (tq > 0), F.sqrt(F.greatest(div, F.lit(0.0))))
 
 
 def judge(measured: DataFrame, refs: DataFrame, lang: str = "lang", min_chars=MIN_CHARS, min_words=MIN_WORDS, max_char_js=MAX_CHAR_JS, max_word_js=MAX_WORD_JS, min_hits=MIN_HITS, min_expected=MIN_EXPECTED) -> DataFrame:
     """Adds base_failed, char_js, word_js and kept to measured documents. refs: a written table."""
     row, kept = _row(measured, VERDICT)
     d = measured.select(row, F.col(f"`{lang}`").alias("lang"), *MEASURES)
-    n_c, n_w = len(CLASSES), len(COMMON_WORDS)
     known, every = refs.where("ref_lang is not null"), refs.where("ref_lang is null").first()
     if known.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         known = F.broadcast(known)
@@ -139,11 +132,13 @@ def judge(measured: DataFrame, refs: DataFrame, lang: str = "lang", min_chars=MI
         "_row", *MEASURES, of("ref_chars", every["ref_chars"]).alias("ref_chars"), of("ref_words", every["ref_words"]).alias("ref_words"),
         F.coalesce("ref_n_words", F.lit(every["ref_n_words"]).cast("long")).alias("ref_n_words"),
     )
-    d = d.withColumn("char_js", js_distance(F.col("chars"), F.col("ref_chars"), n_c)).withColumn("word_js", js_distance(F.col("words"), F.col("ref_words"), n_w))
+    for c in ("chars", "words", "ref_chars", "ref_words"):
+        d = d.withColumn(f"sum_{c}", _total(F.col(c)))
+    for name, c in (("char_js", "chars"), ("word_js", "words")):
+        d = d.withColumn(name, js_distance(F.col(c), F.col(f"ref_{c}"), F.col(f"sum_{c}"), F.col(f"sum_ref_{c}")))
     d = d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    n = _sum([F.col("chars")[i] for i in range(n_c)])
-    odd = (n >= min_chars) & (F.coalesce("char_js", F.lit(0.0)) > max_char_js)
-    hits, known_hits = (_sum([F.col(c)[i].cast("double") for i in range(n_w)]) for c in ("words", "ref_words"))
+    odd = (F.col("sum_chars") >= min_chars) & (F.coalesce("char_js", F.lit(0.0)) > max_char_js)
+    hits, known_hits = F.col("sum_words"), F.col("sum_ref_words")
     expected = F.col("n_words") * known_hits / F.greatest(F.col("ref_n_words"), F.lit(1))
     enough = (hits >= min_hits) & (known_hits >= min_hits)
     far = F.when(enough, F.coalesce("word_js", F.lit(0.0)) > max_word_js).otherwise((expected >= min_expected) & (10 * hits <= expected))
