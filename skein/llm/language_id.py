@@ -6,12 +6,13 @@ proportions of the languages in it, with the units' languages hidden. The set of
 penalised likelihood: starting with all, the least of them goes as long as that raises log-likelihood minus
 `penalty` * log(units) for each language held. The prediction is the largest proportion; the score is it.
 
-Fitting counts trigrams on a bounded sample: about max_train labelled rows, drawn by a hash of the text (all, if
-there are fewer). Languages beyond the max_langs most frequent in the sample are not learned. The model is
-n_langs * 2^hash_bits floats, bounded whatever the input.
+Fitting counts trigrams on a bounded sample: about max_train distinct labelled texts, as many of each language (all,
+where there are fewer), drawn by a hash of the text. Every language is learned. The model is n_langs * 2^hash_bits
+floats; more than max_langs languages raise an error.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without training labels every text
-is `und`; null labels are not learned from; equal rows get equal answers; extra columns pass through.
+is `und`; null labels are not learned from; equal texts count once in the fit and get equal answers; very long texts
+are read whole; an empty table gives no rows; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import words as W
 
-HASH_BITS, MAX_TRAIN, MAX_LANGS, UNIT_WORDS, ROUNDS, PENALTY = 15, 20_000, 64, 6, 8, 1.0
+HASH_BITS, MAX_TRAIN, MAX_LANGS, UNIT_WORDS, ROUNDS, PENALTY = 15, 20_000, 1024, 6, 8, 1.0
 _A, _B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 #: Everything in ASCII that is no letter ends a word; bytes of other characters belong to words.
 STOPS = bytes(c for c in range(128) if not (65 <= c <= 90 or 97 <= c <= 122))
@@ -152,11 +153,15 @@ def count_trigrams(df: DataFrame, langs: list[str], bits: int) -> np.ndarray:
 def fit(labelled: DataFrame, max_train=MAX_TRAIN, max_langs=MAX_LANGS, bits=HASH_BITS, unit_words=UNIT_WORDS, rounds=ROUNDS, penalty=PENALTY) -> Model | None:
     """A model from rows (text, lang); None without labels."""
     d = labelled.where("lang is not null and text is not null")
-    by = {r[0]: r[1] for r in d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    h = F.xxhash64("text")
+    by = {r[0]: r[1] for r in d.select("lang", h.alias("h")).distinct().groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
     if not by:
         return None
-    share = min(1.0, max_train / sum(by.values()))
-    drawn = d if share == 1.0 else d.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    if len(by) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
+    quota = max(1, max_train // len(by))
+    cuts = d.sparkSession.createDataFrame([(k, min(1 << 20, -(-quota * (1 << 20) // n))) for k, n in by.items()], "lang string, cut long")
+    drawn = d.select("text", "lang").join(F.broadcast(cuts), "lang").where(F.pmod(h, F.lit(1 << 20)) < F.col("cut")).dropDuplicates(["lang", "text"])
     langs = sorted(by)
     return Model(langs, count_trigrams(drawn, langs, bits), bits, unit_words, rounds, penalty)
 

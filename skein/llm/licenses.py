@@ -6,8 +6,9 @@ errors + 1 pieces, at least one piece stands unchanged (pigeonhole): an Aho-Cora
 finds candidates, and the regex library's bounded-error matching verifies the window around each and reports
 its span. Exact occurrences at word boundaries (the base) are found apart and always kept.
 
-Defined results: null, empty and wordless texts have no words and no labels; each of equal rows is scanned
-alone; extra columns pass through, and columns named like an output are replaced.
+Defined results: null, empty and wordless texts have no words and no labels; very long texts are scanned whole; each of
+equal rows is scanned alone; ties between notices are all reported; an empty table gives no rows; extra columns pass
+through, and columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 # Notices looked for with errors, and their labels.
 NOTICES = {
+    "under the mit license": "mit",
+    "apache license version 2": "apache-2",
     "released under the mit license": "mit",
     "licensed under the apache license version 2 0": "apache-2",
     "licensed under cc by nc 4 0": "cc-by-nc",
@@ -52,7 +55,7 @@ class Finder:
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, (p, label) in enumerate(sorted(notices.items())):
             e = min(max_errors, len(p) // chars_per_error)
-            self.notices.append((p, label, e, regex.compile(rf"(?b)(?:{regex.escape(p, literal_spaces=True)}){{e<={e}}}")))
+            self.notices.append((p, label, e, regex.compile(rf"(?e)(?:{regex.escape(p, literal_spaces=True)}){{e<={e}}}")))
             cuts = [len(p) * i // (e + 1) for i in range(e + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 seeds.setdefault(p[a:b], []).append((k, a))
@@ -71,7 +74,8 @@ class Finder:
         return sorted(out)
 
     def fuzzy(self, text: str) -> list[tuple[int, int, str, int]]:
-        """(start, end, label, errors) in characters of the joined text, best non-overlapping of each notice."""
+        """(start, end, label, errors) in characters of the joined text: of each notice, from the left, without overlaps, each
+        drawn to its nearest best fit."""
         windows: dict[int, list[list[int]]] = {}
         for end, (n, at) in self.auto.iter(text):
             for k, a in at:

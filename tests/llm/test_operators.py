@@ -169,6 +169,21 @@ def test_language(spark):
     assert none is None and language_id.identify(test, none).first()["lang_pred"] == "und"
 
 
+def test_language_held_out_accuracy(spark):
+    """On sf0.01, learned from the documents outside the fold: 97 % of the labels of the fold are met."""
+    out = language_id.op2(spark, "/root/testdata/sf0.01").where("held_out").select("doc_id", "lang_pred")
+    labels = common.table(spark, "/root/testdata/sf0.01", "documents").where("lang is not null and text is not null").select("doc_id", "lang")
+    got = [(r["lang"], r["lang_pred"]) for r in out.join(labels, "doc_id").collect() if r["lang_pred"] != "und"]
+    assert len(got) > 100 and sum(a == b for a, b in got) >= 0.97 * len(got)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(f"{k} " * 8 + " ".join(f"{c}{k}{c}" for c in "abcdefgh"), f"l{i:03}") for i, k in enumerate(a + b + a for a in "bcdfghjklm" for b in "aeiouynr")]
+    rows += [("common words here again", "big")] * 900
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"), max_train=400)
+    assert len(model.langs) == 81 and (np.abs(model.ll - model.ll.mean(axis=0)).max(axis=0) > 0).all()
+
+
 # licences
 
 
@@ -185,6 +200,29 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_fuzzy_spans_equal_unseeded_search():
+    """Seeds lose no notice: the labels of 300 edited texts are those of the same patterns run over whole texts."""
+    rng, find = random.Random(23), licenses.Finder()
+    phrases, letters = list(licenses.NOTICES), "abcdefghijklmnopqrstuvwxyz 0"
+    labels = lambda spans: {x[2] for x in spans}
+    hit = edited = 0
+    for _ in range(300):
+        p = rng.choice(phrases)
+        x = list(p)
+        e = rng.randrange(0, min(licenses.MAX_ERRORS, len(p) // licenses.CHARS_PER_ERROR) + 1)
+        for _ in range(e):
+            at = rng.randrange(len(x))
+            x[at : at + 1] = rng.choice([[], [rng.choice(letters)], [x[at], rng.choice(letters)]])
+        text = "".join(rng.choice(letters) for _ in range(60)) + " " + "".join(x) + " " + "".join(rng.choice(letters) for _ in range(60))
+        whole = {label for q, label, _, rx in find.notices if rx.search(text)}
+        assert labels(find.fuzzy(text)) == whole
+        edited += 1
+        hit += licenses.NOTICES[p] in whole
+    assert hit >= 0.98 * edited
+    two = "relesed under the mit licence released under the mit license"
+    assert len([x for x in find.fuzzy(two) if x[1] - x[0] > 24]) == 2
+
+
 # personal data
 
 
