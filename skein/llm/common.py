@@ -110,8 +110,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     for _ in range(max_rounds):
         live = held.where("a <> b").select("a", "b")
         low = live.groupBy("a").agg(F.min("b").alias("m"))
-        more = live.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"), F.lit(True).alias("more")).distinct()
-        before, held = held, stash(low.select("a", F.col("m").alias("b"), F.lit(False).alias("more")).unionByName(more))
+        lowest = F.col("b") == F.col("m")
+        step = live.join(low, "a").select(F.when(lowest, F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"), (~lowest).alias("more"))
+        before, held = held, stash(step.distinct())
         if before is not first:
             discard(before)
         if held.where("more").isEmpty():
@@ -128,3 +129,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     out = stash(rows.groupBy("id").agg(F.min("b").alias("component_id")))
     discard(first, held)
     return out
+
+
+def join_components(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp, as components() returns it, after further links (a, b) between any nodes, written.
+
+    Only links between the components travel in the rounds, not the components' members."""
+    for end in ("a", "b"):
+        links = links.join(comp.select(F.col("id").alias(end), F.col("component_id").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    top = components(links)
+    moved = comp.join(top.select(F.col("id").alias("component_id"), F.col("component_id").alias("to")), "component_id", "left")
+    out = stash(moved.select("id", F.coalesce("to", "component_id").alias("component_id")).union(top).distinct())
+    discard(top)
+    return out

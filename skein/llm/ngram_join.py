@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import words as W
-from skein.llm.common import components, discard, release, ship, stash
+from skein.llm.common import components, discard, join_components, release, ship, stash
 
 SPARE, TILE, SMALL, SKETCH_BYTES = 4, 4096, 8, 1024
 #: Members of large buckets are linked to their nearest ones first where so many pairs of them would meet.
@@ -584,7 +584,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
         links = sets.verify(tested)
         discard(tested)
         if not links.isEmpty():
-            before, comp = comp, components(comp.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(links))
+            before, comp = comp, join_components(comp, links)
             discard(before)
         discard(links)
     lowest = classes.join(comp.withColumnRenamed("id", "node"), "node", "left").select("h1", "h2", "rep", F.coalesce("component_id", "node").alias("comp"))

@@ -41,6 +41,9 @@ def test_components(spark):
     got = {r["id"]: r["component_id"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: u.find(x) for x in u.p}
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    later = {r["id"]: r["component_id"] for r in common.join_components(common.components(frame(edges[::2])), frame(edges[1::2])).collect()}
+    assert later == got
 
 
 # n-gram join
