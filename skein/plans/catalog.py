@@ -390,11 +390,15 @@ def _impact_full(spark, sf_dir):
     return T.impact(n, e, _starts(n, *_MANY_NAMES), "downstream", 3)
 
 
-def queries() -> dict:
-    return {k: q for k, (q, _) in _ALL.items()}
+def _every() -> dict:
+    from skein.plans import more
 
+    return _ALL | more.ALL
 
-def oracle_sql() -> dict:
-    return {k: s for k, (_, s) in _ALL.items() if s}
 
+def queries() -> dict:
+    return {k: q for k, (q, _) in _every().items()}
 
+
+def oracle_sql() -> dict:
+    return {k: s for k, (_, s) in _every().items() if s}
