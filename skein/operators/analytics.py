@@ -11,6 +11,10 @@ from skein.operators.loops import settle
 from skein.operators.store import dangling, validate
 from skein.schema import STRUCTURAL, SYMBOLS, UNSCORED, VIEWS
 
+# With fewer nodes than this, a view shows code-level kinds, too.
+FEW = 5
+FEW_KINDS = ("Function", "Method", "Class", "Interface", "Module", "Package", "API", "Route", "Table", "External", "Service", "Repo", "Event", "Job", "Contract", "Test")
+
 
 def degrees(edges: DataFrame, types=STRUCTURAL) -> DataFrame:
     """(id, n_in, n_out, total) of every end of edges of these types; a self-loop counts at both ends."""
@@ -123,9 +127,14 @@ def clusters(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def view(nodes: DataFrame, edges: DataFrame, mode: str = "height", max_nodes: int | None = 250) -> tuple[DataFrame, DataFrame]:
-    """Nodes of the mode's kinds (by kind and name, cut at max_nodes) and the mode's edges among them."""
+    """Nodes of the mode's kinds (by kind and name, cut at max_nodes) and the mode's edges among them.
+
+    A graph with fewer than FEW such nodes shows those of FEW_KINDS, 200 at most where there is a cut."""
     kinds, types = VIEWS[mode]
-    n = nodes.where(F.col("kind").isin(*kinds)).orderBy("kind", "name", "id")
+    n = nodes.where(F.col("kind").isin(*kinds))
+    if n.limit(FEW).count() < FEW:
+        n, max_nodes = nodes.where(F.col("kind").isin(*FEW_KINDS)), max_nodes and min(200, max_nodes)
+    n = n.orderBy("kind", "name", "id")
     n = settle(n.limit(max_nodes)) if max_nodes else n
     ids = n.select("id")
     e = edges.where(F.col("type").isin(*types)) if types else edges

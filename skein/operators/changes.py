@@ -11,6 +11,10 @@ from skein.operators.mining import contract_deltas, symbol_diff
 from skein.operators.store import page, resolve, search_like
 from skein.operators.traverse import flow, impact
 
+# Where reports of coverage lie, their names elsewhere, branches that a change is held against.
+COVERAGE_PATHS = ("coverage/lcov.info", "coverage/coverage-final.json", ".coverage/lcov.info", "test/coverage/lcov.info", "tmp/coverage/lcov.info")
+COVERAGE_NAMES = ("lcov.info", "coverage-final.json")
+BASES = ("main", "master", "origin/main", "HEAD")
 # Kinds that a change of files is told by.
 CHANGEABLE = ("Function", "Method", "Class", "Interface", "API", "Route", "Table", "Test", "Event", "Job")
 
@@ -110,3 +114,35 @@ def flow_from(nodes: DataFrame, edges: DataFrame, query: str) -> DataFrame:
     """The flow from the node that a query names; no rows if none does."""
     hit = resolve(nodes, query).first()
     return flow(nodes, edges, hit["id"] if hit else "")
+
+
+def coverage_files(files: DataFrame) -> DataFrame:
+    """(path, place) of the reports of coverage among files (path): the usual places first, then any but those of packages."""
+    usual = F.array_position(F.array(*map(F.lit, COVERAGE_PATHS)), F.col("path"))
+    named = F.endswith("path", F.lit(COVERAGE_NAMES[0])) | F.endswith("path", F.lit(COVERAGE_NAMES[1]))
+    place = F.when(usual > 0, usual).when(named & ~F.contains("path", F.lit("node_modules")), len(COVERAGE_PATHS) + 1)
+    return files.select("path", place.cast("int").alias("place")).where("place is not null").distinct()
+
+
+def base_ref(refs: DataFrame) -> DataFrame:
+    """One row (ref): the first of the usual branches among refs (ref); HEAD where there is none."""
+    place = F.array_position(F.array(*map(F.lit, BASES)), F.col("ref"))
+    return refs.where(place > 0).agg(F.coalesce(F.min_by("ref", place), F.lit(BASES[-1])).alias("ref"))
+
+
+def chain_of(lines: DataFrame, name: str, max_depth: int = 5, max_rows: int | None = 30) -> DataFrame:
+    """(depth, callee, caller, path, line_no): who mentions a call of `name` in lines (path, line_no, text, caller), then
+    who calls those, and so on; a caller is followed once. caller: the function that a line lies in, or null."""
+    calls = lines.select("path", "line_no", "caller", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_]\w*)\s*\("), 1))).alias("callee"))
+    calls = settle(calls.where(~F.col("callee").eqNullSafe(F.col("caller"))))
+    front = seen = settle(lines.sparkSession.createDataFrame([(name,)], "callee string"))
+    found = None
+    for depth in range(1, max_depth + 1):
+        hit = settle(calls.join(front, "callee").select(F.lit(depth).alias("depth"), "callee", "caller", "path", "line_no"))
+        found = hit if found is None else found.unionByName(hit)
+        front = settle(hit.where("caller is not null").select(F.col("caller").alias("callee")).distinct().join(seen, "callee", "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+    out = found.orderBy("depth", "path", "line_no", "callee")
+    return out.limit(max_rows) if max_rows is not None else out

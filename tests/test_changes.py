@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from skein.operators import analytics as A
 from skein.operators import changes as C
 from skein.operators import paths as P
 from skein.operators import snapshot as N
+from skein.operators.composite import target_of
 
 NODES = "id string, kind string, name string, path string, tags array<string>"
 EDGES = "id string, type string, src string, dst string"
@@ -115,3 +117,21 @@ def test_snapshots(spark, small, tmp_path):
     old = spark.createDataFrame([("a", "1", 1), ("b", "1", 1), ("c", "1", 1)], "path string, hash string, size long")
     new = spark.createDataFrame([("a", "1", 1), ("b", "2", 2), ("d", "1", 4)], "path string, hash string, size long")
     assert sorted(map(tuple, N.update_manifest(old, new).collect())) == sorted(map(tuple, new.collect()))
+
+
+def test_finders(spark):
+    one = lambda col, *v: spark.createDataFrame([(x,) for x in v], f"{col} string")
+    files = one("path", "a/lcov.info", "coverage/coverage-final.json", "node_modules/x/lcov.info", "src/a.ts")
+    assert {tuple(r) for r in C.coverage_files(files).collect()} == {("coverage/coverage-final.json", 2), ("a/lcov.info", 6)}
+    assert C.base_ref(one("ref", "HEAD", "master", "dev")).first()[0] == "master" and C.base_ref(one("ref", "dev")).first()[0] == "HEAD"
+    rows = [("f", 1, "function a() {", "a"), ("f", 2, "  b(); c()", "a"), ("g", 1, "a()", "main"), ("g", 2, "main()", None)]
+    lines = spark.createDataFrame(rows, "path string, line_no int, text string, caller string")
+    assert [(r["depth"], r["callee"], r["caller"]) for r in C.chain_of(lines, "b").collect()] == [(1, "b", "a"), (2, "a", "main"), (3, "main", None)]
+
+
+def test_small_views_and_targets(spark, small):
+    n, e = small
+    nodes, _ = A.view(n, e, "api")
+    assert {r["kind"] for r in nodes.collect()} == {"Function", "Table", "Test"}
+    d = spark.createDataFrame([("please modify checkout.total today",)], "q string")
+    assert d.select(target_of(F.col("q"))).first()[0] == "checkout.total"
