@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import chat_format, embed_dedup, language_id, licenses, mixing, ngram_join, packing, pii, quality_model, quality_rules
+from skein.llm import additive_ann, chat_format, embed_dedup, hard_negatives, language_id, licenses, mixing, ngram_join, packing, pii, quality_model, quality_rules, spelling
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8,
         "op9_pii": pii.op9,
         "op10_chat_format": chat_format.op10,
+        "op11_additive_ann": additive_ann.op11,
+        "op12_spelling_variants": spelling.op12,
+        "op13_hard_negatives": hard_negatives.op13,
     }
 
 
@@ -26,4 +29,5 @@ def oracle_sql() -> dict:
         "op5_embedding_dedup": embed_dedup.ORACLE_SQL,
         "op8_quality_rules": quality_rules.ORACLE_SQL,
         "op10_chat_format": chat_format.ORACLE_SQL,
+        "op13_hard_negatives": hard_negatives.ORACLE_SQL,
     }
