@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skein.functions.ids import edge_id
+from skein.operators import intervals
 from skein.operators.loops import settle
-from skein.operators.mining import resolve_calls, resolve_imports
+from skein.operators.mining import resolve_imports
 from skein.operators.store import close_graph
+from skein.sources import binding
 from skein.sources.files import evidence, is_test, language, lines, masked
+from skein.sources.spans import brace_ends, indent_ends
 
 # Fixed values: (languages, kind, pattern with the name as its first group, confidence); the first that matches a line counts.
 DEFINITIONS = (
@@ -63,6 +65,7 @@ NOT_CALLS = (
     "Set", "RegExp", "Number", "String", "Boolean", "parseInt", "parseFloat", "isNaN", "undefined", "null", "true", "false", "this", "super",
     "async", "await", "yield", "def", "elif", "print", "len", "not", "and", "or", "with", "lambda",
 )
+# Routes, access to tables, events and tests in a line.
 ROUTE = r"(?i)(?:app|router|route)\.(get|post|put|delete|patch|options)\s*\(\s*['\"]([^'\"]+)['\"]\s*,\s*(\w+)"
 DECORATOR = r"(?i)@(?:app|router|blueprint)\.(get|post|put|patch|delete|route)\s*\(\s*['\"]([^'\"]+)['\"]"
 WRITES = r"(?i)['\"`].*?\b(?:INSERT\s+INTO\s+['\"`]?(\w+)|UPDATE\s+['\"`]?(\w+)\s+SET|DELETE\s+FROM\s+['\"`]?(\w+))"
@@ -70,6 +73,8 @@ READS = r"(?i)['\"`].*?\bSELECT\b.+?\bFROM\s+['\"`]?(\w+)"
 PRISMA = r"prisma\.(\w+)\.(create|update|delete|upsert|findMany|findUnique|findFirst)"
 EVENT = r"\.(emit|publish|subscribe)\s*\(\s*['\"`]([^'\"`]+)['\"`]"
 TEST = r"(?:\b(?:it|test|describe)\s*\(\s*['\"`]([^'\"`]+)['\"`])|(?:^\s*(?:async\s+)?def\s+(test_\w+)\s*\()|(?:void\s+(test\w+)\s*\()"
+# Languages whose definitions end with a brace; the others end by indentation.
+BRACED = ("typescript", "javascript", "java", "go", "rust", "php", "swift", "kotlin", "scala", "csharp", "c", "cpp", "shell", "prisma")
 PREFIX = {"Function": "fn", "Method": "fn", "Class": "cls", "Interface": "iface", "Table": "table"}
 
 
@@ -78,26 +83,22 @@ def source_lines(files: DataFrame) -> DataFrame:
     return lines(masked(files)).withColumn("lang", language(F.col("path")))
 
 
-def definitions(src: DataFrame) -> DataFrame:
+def definitions(src: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """(id, kind, symbol, path, lang, start_line, end_line, signature, confidence) of functions, methods, classes and tables.
 
-    The end is the last line before the next one that is indented as little as the definition and is no closing bracket."""
+    raw: the lines (path, line_no, text) before embedded texts were blanked, in which braces are looked for."""
     hit = F.lit(None).cast("struct<kind:string,symbol:string,confidence:double>")
     for langs, kind, rx, conf in reversed(DEFINITIONS):
         name = F.regexp_extract("text", rx, 1)
         ok = F.col("lang").isin(*langs.split()) & (name != "") & ~name.isin(*NOT_CALLS)
         hit = F.when(ok, F.struct(F.lit(kind).alias("kind"), name.alias("symbol"), F.lit(conf).alias("confidence"))).otherwise(hit)
-    d = settle(src.withColumn("d", hit))
-    depth = F.length(F.regexp_extract("text", r"^(\s*)", 1))
-    d = d.withColumn("_in", depth).withColumn("_real", (F.trim("text") != "") & ~F.rlike("text", F.lit(r"^\s*[\]})]")))
-    own = d.where("d is not null").select("path", "lang", "line_no", "text", "_in", "d.*")
-    after = d.where("_real").select("path", F.col("line_no").alias("_n"), F.col("_in").alias("_m"))
-    last = src.groupBy("path").agg(F.max("line_no").alias("_last"))
-    ends = own.select("path", "line_no", "_in").join(after, "path").where("_n > line_no and _m <= _in").groupBy("path", "line_no").agg((F.min("_n") - 1).alias("end_line"))
-    d = own.join(ends, ["path", "line_no"], "left").join(last, "path")
+    d = settle(src.withColumn("d", hit).where("d is not null").select("path", "lang", "line_no", "text", "d.*"))
+    braced = F.col("lang").isin(*BRACED)
+    ends = brace_ends(src if raw is None else raw, d.where(braced)).unionByName(indent_ends(src, d.where(~braced)))
+    d = d.join(settle(ends), ["path", "line_no"])
     prefix = F.create_map(*(F.lit(x) for kv in PREFIX.items() for x in kv))[F.col("kind")]
     id_ = F.when(F.col("kind") == "Table", F.concat(F.lit("table:"), "symbol")).otherwise(F.concat(prefix, F.lit(":"), "path", F.lit(":"), "symbol"))
-    return d.select(id_.alias("id"), "kind", "symbol", "path", "lang", F.col("line_no").alias("start_line"), F.coalesce("end_line", "_last").alias("end_line"), F.trim("text").alias("signature"), "confidence")
+    return d.select(id_.alias("id"), "kind", "symbol", "path", "lang", F.col("line_no").alias("start_line"), "end_line", F.trim("text").alias("signature"), "confidence")
 
 
 def import_targets(src: DataFrame) -> DataFrame:
@@ -115,23 +116,25 @@ def import_targets(src: DataFrame) -> DataFrame:
     d = d.withColumn("raw", F.col("target")).withColumn("target", F.when(F.startswith("target", F.lit(".")) & (F.col("lang") != "python"), full).when(F.col("lang").isin("python", "java"), module).otherwise(F.col("target")))
     files = src.groupBy("path").agg(F.lit(0).alias("seq")).withColumn("seq", F.col("path"))
     js = resolve_imports(d, files)
-    py = files.select(F.regexp_replace("path", r"(/__init__)?\.(py|java)$", "").alias("_k"), F.col("path").alias("_f"))
-    return js.join(py, (F.col("target") == F.col("_k")), "left").withColumn("file", F.coalesce("file", "_f")).drop("_k", "_f")
+    java = files.select(F.regexp_replace("path", r"\.java$", "").alias("_k"), F.col("path").alias("_f"))
+    other = js.where("lang <> 'python'").join(java, F.col("target") == F.col("_k"), "left").withColumn("file", F.coalesce("file", "_f")).drop("_k", "_f")
+    python = binding.suffix_modules(js.where("lang = 'python'").drop("file").withColumn("_tail", F.concat("target", F.lit(".py"))), files, "_tail").drop("_tail")
+    return other.unionByName(python)
 
 
 def calls(src: DataFrame, defs: DataFrame) -> DataFrame:
-    """(caller, path, name, line_no, text): names called in the lines of each function; nested spans both scan."""
-    fn = defs.where("kind in ('Function', 'Method')").select(F.col("id").alias("caller"), "path", "symbol", "start_line", "end_line")
-    d = src.select("path", "line_no", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_]\w*)\s*\("), 1))).alias("name"))
-    d = d.where(~F.col("name").isin(*NOT_CALLS))
-    return d.join(fn, "path").where("line_no between start_line and end_line and name <> symbol").select("caller", "path", "name", "line_no", "text")
+    """(caller, path, receiver, name, line_no, text): calls in the lines of each function, from one line above it on, as
+    surveyed; nested functions both scan."""
+    fn = defs.where("kind in ('Function', 'Method')").select(F.col("id").alias("caller"), "path", "symbol", F.greatest(F.col("start_line") - 1, F.lit(1)).alias("low"), F.col("end_line").alias("high"))
+    d = binding.called(src).where(~F.col("name").isin(*NOT_CALLS)).withColumn("at", F.col("line_no"))
+    return intervals.stab(d, fn, ["path"]).where("name <> symbol").select("caller", "path", "receiver", "name", "line_no", "text")
 
 
 def tests(src: DataFrame) -> DataFrame:
     """(id, name, path, line_no) of tests in test files."""
     name = F.coalesce(*(F.nullif(F.regexp_extract("text", TEST, i), F.lit("")) for i in (1, 2, 3)))
     d = src.where(is_test(F.col("path"))).withColumn("name", name).where("name is not null")
-    return d.select(F.concat(F.lit("test:"), "path", F.lit(":"), "name").alias("id"), "name", "path", "line_no")
+    return d.select(F.concat(F.lit("test:"), "path", F.lit(":"), F.regexp_replace("name", r"\s+", "_")).alias("id"), "name", "path", "line_no")
 
 
 def _edges(d: DataFrame, kind, src, dst, confidence) -> DataFrame:
@@ -141,17 +144,25 @@ def _edges(d: DataFrame, kind, src, dst, confidence) -> DataFrame:
 
 def _enclosing(src: DataFrame, defs: DataFrame) -> DataFrame:
     """Lines with the innermost function around them (owner), or the file."""
-    fn = defs.where("kind in ('Function', 'Method')").select(F.col("id").alias("owner"), "path", "start_line", "end_line")
-    j = src.join(fn, "path").where("line_no between start_line and end_line")
-    w = Window.partitionBy("path", "line_no").orderBy(F.desc("start_line"), "owner")
-    best = j.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("path", "line_no", "owner")
+    fn = defs.where("kind in ('Function', 'Method')").select(F.col("id").alias("owner"), "path", F.col("start_line").alias("low"), F.col("end_line").alias("high"))
+    best = intervals.innermost(src.select("path", F.col("line_no").alias("at")), fn, ["path"], "owner").withColumnRenamed("at", "line_no")
     return src.join(best, ["path", "line_no"], "left").withColumn("owner", F.coalesce("owner", F.concat(F.lit("file:"), "path")))
 
 
+def bound(src: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(names, modules, instances) that the files bind, as binding.resolve() takes them; imports is import_targets()."""
+    every = settle(binding.bindings(src).withColumn("seq", F.struct("line_no", "pos")))
+    to = imports.groupBy("path", "line_no").agg(F.min("file").alias("file"))
+    known = every.where("way <> 'instance'").join(to, ["path", "line_no"], "left").withColumn("package", F.when(F.col("file").isNull() & ~F.startswith("target", F.lit(".")), F.col("target")))
+    known = settle(known.withColumn("package", F.regexp_extract("package", r"^(@[^/]+/[^/]+|[^/]+)", 1)))
+    names = known.where("way = 'named'").select("path", "local", "name", "file", "package", "seq")
+    return names, known.where("way = 'space'").select("path", "local", "file", "package", "seq"), every.where("way = 'instance'").select("path", "local", F.col("name").alias("class"), "seq")
+
+
 def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of source files (path, content): one closed graph, the first evidence of each edge."""
     src = settle(source_lines(files))  # written between the passes, as each is read many times
-    defs = settle(definitions(src))
+    defs = settle(definitions(src, settle(lines(files))))
     named = lambda d, kind: d.select("id", F.lit(kind).alias("kind"), "name", "path")
     nodes = files.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("File").alias("kind"), F.substring_index("path", "/", -1).alias("name"), "path", language(F.col("path")).alias("lang"))
     nodes = nodes.unionByName(defs.select("id", "kind", F.col("symbol").alias("name"), "path", "lang", "signature", "start_line", "end_line"), allowMissingColumns=True)
@@ -166,12 +177,16 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     away = imp.where("file is null and lang <> 'python' and not startswith(raw, '.')")
     package = F.regexp_extract("raw", r"^(@[^/]+/[^/]+|[^/]+)", 1)
     edges = edges.unionByName(_edges(away, F.lit("IMPORTS"), at(away), F.concat(F.lit("ext:"), package), 1.0))
-    found = settle(calls(src, defs))
-    solved = settle(resolve_calls(found.select("caller", "path", "name").distinct(), defs.where("kind in ('Function', 'Method', 'Class')").select("symbol", "path", "id"), local.select("path", "file").distinct()))
-    where = found.groupBy("caller", "name").agg(F.min_by(F.struct("path", "text"), "line_no").alias("e"), F.min("line_no").alias("line_no")).select("caller", "name", "e.path", "line_no", "e.text")
-    c = solved.join(where, ["caller", "name"])
-    kind = F.when(is_test(F.col("path")), "TESTS").otherwise("CALLS")
-    edges = edges.unionByName(_edges(c, kind, F.col("caller"), F.col("callee"), 1.0).drop("confidence").join(solved.select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "confidence").groupBy("src", "dst").agg(F.max("confidence").alias("confidence")), ["src", "dst"]).select(*edges.columns))
+    scripts = src.where(F.col("lang").isin("typescript", "javascript", "python"))
+    found = settle(calls(scripts, defs.where(F.col("lang").isin("typescript", "javascript", "python"))))
+    known = defs.where("kind in ('Function', 'Method', 'Class')").select("symbol", "path", "id", F.col("start_line").alias("seq"))
+    c = settle(binding.resolve(found, known, *bound(scripts, imp)))
+    first = c.groupBy("caller", "callee").agg(F.min_by(F.struct("path", "line_no", "text", "confidence"), F.struct("line_no", F.col("name"), F.coalesce("receiver", F.lit("")))).alias("e")).select("caller", "callee", "e.*")
+    edges = edges.unionByName(_edges(first, F.lit("CALLS"), F.col("caller"), F.col("callee"), 1.0).drop("confidence").join(first.select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "confidence"), ["src", "dst"]).select(*edges.columns))
+    checks = intervals.first_before(c.where(is_test(F.col("path")) & ~F.startswith("callee", F.lit("ext:"))).withColumn("at", F.col("line_no")), t.select("path", F.col("line_no").alias("at"), F.col("id").alias("test")), ["path"], "test")
+    checks = checks.withColumn("test", F.coalesce("test", F.concat(F.lit("test:"), "path", F.lit(":file"))))
+    nodes = nodes.unionByName(checks.where("test = concat('test:', path, ':file')").select(F.col("test").alias("id"), F.lit("Test").alias("kind"), F.substring_index("path", "/", -1).alias("name"), "path").distinct(), allowMissingColumns=True)
+    edges = edges.unionByName(_edges(checks, F.lit("TESTS"), F.col("test"), F.col("callee"), 0.85))
     body = settle(_enclosing(src, defs))
     x = lambda rx, i: F.nullif(F.regexp_extract("text", rx, i), F.lit(""))
     route = body.withColumn("_h", x(ROUTE, 3)).where("_h is not null").withColumn("api", F.concat(F.lit("api:"), F.upper(x(ROUTE, 1)), F.lit(":"), x(ROUTE, 2)))

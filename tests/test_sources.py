@@ -42,11 +42,11 @@ def test_parse(spark):
     n, e = {r["id"]: r["kind"] for r in nodes.collect()}, {(r["type"], r["src"], r["dst"]) for r in edges.collect()}
     assert n["fn:src/shop/cart.ts:addItem"] == n["fn:src/shop/cart.ts:list"] == "Function" and n["table:carts"] == "Table"
     assert "fn:src/shop/sum.ts:hidden" not in n and n["cls:py/util.py:Base"] == "Class" and n["fn:py/util.py:run"] == "Method"
-    assert n["ext:axios"] == "External" and n["test:tests/cart.test.ts:adds items"] == "Test" and n["event:cart.added"] == "Event"
+    assert n["ext:axios"] == "External" and n["test:tests/cart.test.ts:adds_items"] == "Test" and n["event:cart.added"] == "Event"
     want = {
         ("IMPORTS", "file:src/shop/cart.ts", "file:src/shop/sum.ts"), ("IMPORTS", "file:src/shop/cart.ts", "ext:axios"), ("IMPORTS", "file:tests/cart.test.ts", "file:src/shop/cart.ts"),
         ("IMPORTS", "file:py/app.py", "file:py/util.py"), ("CALLS", "fn:src/shop/cart.ts:addItem", "fn:src/shop/sum.ts:total"), ("CALLS", "fn:src/routes.ts:boot", "fn:src/shop/cart.ts:addItem"),
-        ("TESTS", "fn:tests/cart.test.ts:check", "fn:src/shop/cart.ts:addItem"), ("WRITES", "fn:src/shop/cart.ts:addItem", "table:carts"), ("READS", "fn:src/shop/cart.ts:list", "table:carts"),
+        ("TESTS", "test:tests/cart.test.ts:adds_items", "fn:src/shop/cart.ts:addItem"), ("CALLS", "fn:tests/cart.test.ts:check", "fn:src/shop/cart.ts:addItem"), ("WRITES", "fn:src/shop/cart.ts:addItem", "table:carts"), ("READS", "fn:src/shop/cart.ts:list", "table:carts"),
         ("PUBLISHES", "fn:src/shop/cart.ts:addItem", "event:cart.added"), ("CONTAINS", "file:src/routes.ts", "fn:src/routes.ts:boot"), ("EXPOSES", "fn:py/app.py:ping", "api:GET:/ping"), ("CALLS", "fn:py/app.py:ping", "fn:py/util.py:helper"),
     }
     assert want <= e, want - e
