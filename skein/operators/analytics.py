@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.operators import traverse
+from skein.operators.cyclic import strong_components
 from skein.operators.loops import settle
 from skein.operators.store import dangling, validate
 from skein.schema import STRUCTURAL, SYMBOLS, UNSCORED, VIEWS
@@ -73,21 +74,23 @@ def most_connected(nodes: DataFrame, edges: DataFrame, limit: int = 5) -> DataFr
     return _top(nodes.join(degrees(edges, None), "id"), F.col("total"), limit)
 
 
-def cycle_members(edges: DataFrame, max_length: int = 6, types=("CALLS", "IMPORTS", "DEPENDS_ON")) -> DataFrame:
-    """(id, length): nodes on a cycle of at most max_length edges (two nodes at least), with its smallest length.
+def _cyclic_edges(edges: DataFrame, types) -> DataFrame:
+    """Distinct edges (src, dst) of the types whose ends lie in the same strongly connected component."""
+    e = edges.where(F.col("type").isin(*types)).select("src", "dst")
+    comp = strong_components(e)
+    end = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"_{c}"))
+    return settle(e.where("src <> dst").distinct().join(end("src"), "src").join(end("dst"), "dst").where("_src = _dst").select("src", "dst"))
 
-    Nodes without a way in or out are peeled first; what is left is walked from each node in one loop."""
-    e = settle(edges.where(F.col("type").isin(*types) & (F.col("src") != F.col("dst"))).select("src", "dst").distinct())
-    n = e.count()
-    while n:
-        e = settle(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-        m = e.count()
-        if m == n:
-            break
-        n = m
+
+def cycle_members(edges: DataFrame, max_length: int | None = None, types=("CALLS", "IMPORTS", "DEPENDS_ON")) -> DataFrame:
+    """(id, length): nodes on a cycle (two nodes at least, max_length edges at most), with its smallest length.
+
+    Walks stay inside a strongly connected component; without max_length they end when each has met all of its component."""
+    e = _cyclic_edges(edges, types)
     met = e.select(F.col("src").alias("start"), F.col("dst").alias("id"), F.lit(1).alias("length"))
-    front = met
-    for d in range(2, max_length + 1):
+    front, d = met, 1
+    while max_length is None or d < max_length:
+        d += 1
         nxt = front.where("id <> start").select("start", F.col("id").alias("src")).join(e, "src").select("start", F.col("dst").alias("id")).distinct()
         front = settle(nxt.join(met.select("start", "id"), ["start", "id"], "left_anti").withColumn("length", F.lit(d)))
         if front.isEmpty():
@@ -96,18 +99,20 @@ def cycle_members(edges: DataFrame, max_length: int = 6, types=("CALLS", "IMPORT
     return met.where("start = id").groupBy("id").agg(F.min("length").alias("length"))
 
 
-def cycles(edges: DataFrame, max_length: int = 6, limit: int | None = 12, types=("CALLS", "IMPORTS", "DEPENDS_ON")) -> DataFrame:
-    """(length, path): simple cycles, each once, beginning with its smallest id; shortest first."""
-    member = cycle_members(edges, max_length, types).select("id")
-    e = edges.where(F.col("type").isin(*types) & (F.col("src") != F.col("dst"))).select("src", "dst").distinct()
-    e = settle(e.join(member.withColumnRenamed("id", "src"), "src", "left_semi").join(member.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-    front, found = e.where("src < dst").select(F.array("src", "dst").alias("path")), None
-    for d in range(2, max_length + 1):
+def cycles(edges: DataFrame, max_length: int | None = None, limit: int | None = 12, types=("CALLS", "IMPORTS", "DEPENDS_ON")) -> DataFrame:
+    """(length, path): simple cycles, each once, beginning with its smallest id; shortest first.
+
+    Paths grow inside a component only. Without max_length and limit all simple cycles are listed, of which a dense component
+    has very many; with a limit the rounds end once that many are found."""
+    e = _cyclic_edges(edges, types)
+    front, found, d = e.where("src < dst").select(F.array("src", "dst").alias("path")), None, 1
+    while max_length is None or d < max_length:
+        d += 1
         step = front.withColumn("src", F.element_at("path", -1)).join(e, "src")
-        closed = step.where(F.col("dst") == F.col("path")[0]).select(F.lit(d).alias("length"), "path")
+        closed = settle(step.where(F.col("dst") == F.col("path")[0]).select(F.lit(d).alias("length"), "path"))
         found = closed if found is None else found.unionByName(closed)
         front = settle(step.where((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))
-        if limit is not None and found.limit(limit).count() >= limit:
+        if front.isEmpty() or (limit is not None and found.limit(limit).count() >= limit):
             break
     out = found.orderBy("length", "path")
     return out.limit(limit) if limit is not None else out

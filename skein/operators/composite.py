@@ -74,7 +74,7 @@ def file_statistics(lines: DataFrame) -> DataFrame:
     return lines.groupBy("path").agg(n(~blank & ~comment).alias("code"), n(comment & ~blank).alias("comment"), n(blank).alias("blank"), F.coalesce(F.sum(F.when(~comment, branch)), F.lit(0)).cast("long").alias("branches"), n(F.rlike("text", F.lit(r"^\s*export\b"))).alias("exports"))
 
 
-def import_cycles(imports: DataFrame, max_length: int = 6, limit: int = 11) -> DataFrame:
+def import_cycles(imports: DataFrame, max_length: int | None = None, limit: int = 11) -> DataFrame:
     """Cycles among files (path, file)."""
     e = imports.where("file is not null").select(F.lit("IMPORTS").alias("type"), F.col("path").alias("src"), F.col("file").alias("dst"))
     return cycles(e, max_length, limit)

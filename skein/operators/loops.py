@@ -24,4 +24,14 @@ def settle(df: DataFrame) -> DataFrame:
     """df, written under the shared folder and read back: any executor can be lost afterwards."""
     path = f"{shared_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def drop_settled(*frames: DataFrame) -> None:
+    """Delete what settle() wrote for these frames; only where everything needed of them has been written since."""
+    for df in frames:
+        if path := getattr(df, "_settled_at", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

@@ -141,10 +141,6 @@ _WHY_SQL = f"""{WITH}, r as (select {EDGE_ID_SQL} as eid, src, dst from edges wh
  union all select 3, count(*) from p3, ends where pos = b having count(*) > 0"""
 
 
-def _cycle_members(n, e):
-    return A.cycle_members(e, 8)
-
-
 def _clusters(n, e):
     return A.clusters(n, e)[1].select("a", "b", "n")
 
@@ -352,7 +348,6 @@ _ALL = {
     "flow_walk": (_flow, _FLOW_SQL),
     "why_path_lengths": (_why, _WHY_SQL),
     "depth_view_nodes": (_graph(lambda n, e: T.depth_view(n, e, "table:P7", 2)), WITH + ", b as (select src as a, dst as b from edges union all select dst, src from edges), v as (select 'table:P7' as id, 0 as depth union select b, depth + 1 from v join b on a = id where depth < 2) select id, min(depth) as depth from v group by id"),
-    "cycle_members": (_graph(_cycle_members), WITH + ", c as (select distinct src, dst from edges where type in ('CALLS','IMPORTS','DEPENDS_ON') and src <> dst), x as (select src as start, dst as id, 1 as length from c where src like 'fn:orders%' union select start, dst, length + 1 from x join c on src = id where length < 8 and id <> start) select id, min(length) as length from x where start = id group by id"),
     "cluster_projection": (_graph(_clusters), WITH + ", o as (select id, coalesce(path, '(' || kind || ')') as c from nodes) select x.c as a, y.c as b, count(*) as n from edges join o x on x.id = src join o y on y.id = dst where type <> 'CONTAINS' and x.c <> y.c group by all"),
     "view_api_edges": (_graph(_view_edges), WITH + f"select type, src, dst from edges where type in ('EXPOSES','CONSUMES','DEPENDS_ON') and src in (select id from nodes where kind in {_kinds('api')}) and dst in (select id from nodes where kind in {_kinds('api')})"),
     "co_change": (lambda s, d: M.co_change(_commits(s, d)), "with f as (select distinct l_orderkey as c, l_partkey as f from lineitem), k as (select c from f group by c having count(*) between 2 and 15), g as (select * from f join k using (c)) select x.f as a, y.f as b, count(*) as n, least(1.0::double, count(*) / 10.0::double) as confidence from g x join g y using (c) where x.f < y.f group by all having count(*) >= 3"),
@@ -391,9 +386,9 @@ def _impact_full(spark, sf_dir):
 
 
 def _every() -> dict:
-    from skein.plans import more
+    from skein.plans import more, source_plans
 
-    return _ALL | more.ALL
+    return _ALL | more.ALL | source_plans.ALL
 
 
 def queries() -> dict:

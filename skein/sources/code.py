@@ -11,8 +11,8 @@ from skein.operators.loops import settle
 from skein.operators.mining import resolve_imports
 from skein.operators.store import close_graph
 from skein.sources import binding
-from skein.sources.files import evidence, is_test, language, lines, masked
-from skein.sources.spans import brace_ends, indent_ends
+from skein.sources.files import evidence, is_test, language, lines
+from skein.sources.spans import brace_ends, indent_ends, masked_lines
 
 # Fixed values: (languages, kind, pattern with the name as its first group, confidence); the first that matches a line counts.
 DEFINITIONS = (
@@ -80,7 +80,7 @@ PREFIX = {"Function": "fn", "Method": "fn", "Class": "cls", "Interface": "iface"
 
 def source_lines(files: DataFrame) -> DataFrame:
     """(path, lang, line_no, text), embedded texts blanked."""
-    return lines(masked(files)).withColumn("lang", language(F.col("path")))
+    return masked_lines(lines(files)).withColumn("lang", language(F.col("path")))
 
 
 def definitions(src: DataFrame, raw: DataFrame | None = None) -> DataFrame:
@@ -123,9 +123,9 @@ def import_targets(src: DataFrame) -> DataFrame:
 
 
 def calls(src: DataFrame, defs: DataFrame) -> DataFrame:
-    """(caller, path, receiver, name, line_no, text): calls in the lines of each function, from one line above it on, as
+    """(caller, path, receiver, name, line_no, text): calls in the lines of each function, from two lines above it on, as
     surveyed; nested functions both scan."""
-    fn = defs.where("kind in ('Function', 'Method')").select(F.col("id").alias("caller"), "path", "symbol", F.greatest(F.col("start_line") - 1, F.lit(1)).alias("low"), F.col("end_line").alias("high"))
+    fn = defs.where("kind in ('Function', 'Method')").select(F.col("id").alias("caller"), "path", "symbol", F.greatest(F.col("start_line") - 2, F.lit(1)).alias("low"), F.col("end_line").alias("high"))
     d = binding.called(src).where(~F.col("name").isin(*NOT_CALLS)).withColumn("at", F.col("line_no"))
     return intervals.stab(d, fn, ["path"]).where("name <> symbol").select("caller", "path", "receiver", "name", "line_no", "text")
 

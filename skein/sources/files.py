@@ -68,16 +68,5 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split("content", "\r?\n")).alias("_p", "text")).select("path", (F.col("_p") + 1).alias("line_no"), "text")
 
 
-def masked(files: DataFrame) -> DataFrame:
-    """files with lines inside block comments and template literals of several lines blanked; their number stays.
-
-    A regular expression over the whole text finds each such region, and all but its newlines go."""
-    block = r"(?s)/\*.*?\*/|`[^`\n]*\n[^`]*`"
-    parts = F.split("content", block)
-    gone = F.transform(F.regexp_extract_all("content", F.lit(f"({block})"), 1), lambda r: F.regexp_replace(r, "[^\n]", ""))
-    whole = F.array_join(F.flatten(F.transform(F.arrays_zip(parts.alias("a"), gone.alias("b")), lambda z: F.array(F.coalesce(z["a"], F.lit("")), F.coalesce(z["b"], F.lit(""))))), "")
-    return files.withColumn("content", whole)
-
-
 def evidence(path: Column, line: Column, text: Column) -> Column:
     return F.array(F.struct(path.alias("file"), line.cast("int").alias("line"), F.substring(F.trim(text), 1, 120).alias("snippet")))

@@ -19,19 +19,22 @@ from pyspark.sql import functions as F
 
 from skein.operators.loops import settle
 
-_QUOTED = "|".join(rf"{q}[^{q}\\]*+(?:\\.[^{q}\\]*+)*+{q}" for q in ("'", '"', "`"))
+_SHORT, _TEMPLATE = "|".join(rf"{q}[^{q}\\]*+(?:\\.[^{q}\\]*+)*+{q}" for q in ("'", '"')), r"`[^`\\]*+(?:\\.[^`\\]*+)*+`"
 #: Whole constructs leave nothing; a line comment leaves //, an open construct its opener, and both end the line.
-LEXEME = rf"(?s)(//).*+|/\*(?:[^*/\\]++|\\.|/\*|/|\*(?!/))*+\*/|{_QUOTED}|(['\"`]|/\*).*+|\\.?"
+LEXEME = rf"(?s)(//).*+|/\*(?:[^*/\\]++|\\.|/\*|/|\*(?!/))*+\*/|{_SHORT}|{_TEMPLATE}|(['\"`]|/\*).*+|\\.?"
+#: The same for what embeds other texts: a comment's inner /* counts for nothing. In TEMPLATES any template is an open one.
+EMBEDDED = rf"(?s)(//).*+|/\*(?:[^*\\]++|\\.|\*(?!/))*+\*/|{_SHORT}|{_TEMPLATE}|(['\"`]|/\*).*+|\\.?"
+TEMPLATES = EMBEDDED.replace(f"|{_TEMPLATE}", "")
 OPENERS = ("", "'", '"', "`", "/*")
 IDENTITY = "0123456789"
 #: Lines that a span without a closing brace goes on for. Fixed value.
 OPEN_LINES = 100
 
 
-def stripped(text: Column, state: int) -> Column:
+def stripped(text: Column, state: int, lexeme: str = LEXEME) -> Column:
     """What is left of a line's text that begins in a state: code, then // or the opener of what stays open."""
     own = F.substring(text, F.lit(2), F.length(text)) if state >= 5 else text
-    return F.regexp_replace(F.concat(F.lit(OPENERS[state % 5]), own), LEXEME, "$1$2")
+    return F.regexp_replace(F.concat(F.lit(OPENERS[state % 5]), own), lexeme, " $1$2")  # the blank keeps apart what a construct stood between
 
 
 def after(text: Column, state: int) -> Column:
@@ -46,21 +49,41 @@ def after(text: Column, state: int) -> Column:
     return F.when(text == "", F.lit(str(state))).otherwise(out) if state >= 5 else out
 
 
-def line_states(src: DataFrame, restarts: DataFrame) -> DataFrame:
-    """src (path, line_no, text) with the state at each line's beginning; restarts (path, line_no) begin in code."""
-    plain = ~F.rlike("text", F.lit(r"[\\'\"`/]|\*/"))
-    same = F.when(F.col("text") == "", F.lit(IDENTITY)).otherwise(F.lit("0123401234"))
-    does = F.when(plain, same).otherwise(F.concat(*(after(F.col("text"), s) for s in range(10))))
-    begun = restarts.select("path", (F.col("line_no") - 1).alias("line_no"), F.lit(True).alias("_reset")).distinct()
-    d = src.withColumn("_m", does).join(begun, ["path", "line_no"], "left").withColumn("_m", F.when(F.col("_reset"), F.lit("0" * 10)).otherwise(F.col("_m")))
-    d = settle(d.drop("_reset"))
+def scan(d: DataFrame) -> DataFrame:
+    """d (path, line_no, does, ...) with `state`, at the beginning of each line, of a file that begins in state 0.
+
+    does: the states behind a line for each state before it, as a string of ten digits."""
+    d = settle(d)
     longest = d.agg(F.max("line_no")).first()[0] or 1
     w = Window.partitionBy("path").orderBy("line_no")
-    scan, step = d.withColumn("_s", F.lag("_m", 1, IDENTITY).over(w)), 1
+    out, step = d.withColumn("_s", F.lag("does", 1, IDENTITY).over(w)), 1
     while step < longest:
-        scan = scan.withColumn("_s", F.call_function("translate", F.lag("_s", step, IDENTITY).over(w), F.lit(IDENTITY), F.col("_s")))
+        out = out.withColumn("_s", F.call_function("translate", F.lag("_s", step, IDENTITY).over(w), F.lit(IDENTITY), F.col("_s")))
         step *= 2
-    return scan.withColumn("state", F.substring("_s", 1, 1).cast("int")).drop("_m", "_s")
+    return out.withColumn("state", F.substring("_s", 1, 1).cast("int")).drop("does", "_s")
+
+
+PLAIN = r"[\\'\"`/]|\*/"
+
+
+def line_states(src: DataFrame, restarts: DataFrame) -> DataFrame:
+    """src (path, line_no, text) with the state at each line's beginning; restarts (path, line_no) begin in code."""
+    same = F.when(F.col("text") == "", F.lit(IDENTITY)).otherwise(F.lit("0123401234"))
+    does = F.when(~F.rlike("text", F.lit(PLAIN)), same).otherwise(F.concat(*(after(F.col("text"), s) for s in range(10))))
+    begun = restarts.select("path", (F.col("line_no") - 1).alias("line_no"), F.lit(True).alias("_reset")).distinct()
+    d = src.join(begun, ["path", "line_no"], "left").withColumn("does", F.when(F.col("_reset"), F.lit("0" * 10)).otherwise(does))
+    return scan(d.drop("_reset"))
+
+
+def masked_lines(src: DataFrame) -> DataFrame:
+    """src (path, line_no, text) with the text blanked of lines that begin inside a template or a block comment, or open a template.
+
+    Quotes and backslashes end with their line here, as surveyed."""
+    behind = lambda s: F.when(F.endswith(stripped(F.col("text"), s, EMBEDDED), F.lit("`")), F.lit("3")).when(F.endswith(stripped(F.col("text"), s, EMBEDDED), F.lit("/*")), F.lit("4")).otherwise(F.lit("0"))
+    does = F.when(~F.rlike("text", F.lit(PLAIN)), F.lit("0003400034")).otherwise(F.concat(behind(0), F.lit("00"), behind(3), behind(4), F.lit("0" * 5)))
+    d = scan(src.withColumn("does", does))
+    hidden = F.col("state").isin(3, 4) | (F.contains("text", F.lit("`")) & F.endswith(stripped(F.col("text"), 0, TEMPLATES), F.lit("`")))
+    return d.withColumn("text", F.when(hidden, F.lit("")).otherwise(F.col("text"))).drop("state")
 
 
 def braces(states: DataFrame) -> DataFrame:
@@ -68,7 +91,7 @@ def braces(states: DataFrame) -> DataFrame:
     left = F.col("text")
     for s in range(10):
         left = F.when(F.col("state") == s, stripped(F.col("text"), s)).otherwise(left)
-    code = F.when(F.rlike("text", F.lit(r"[\\'\"`/]|\*/")) | (F.col("state") != 0), left).otherwise(F.col("text"))
+    code = F.when(F.rlike("text", F.lit(PLAIN)) | (F.col("state") != 0), left).otherwise(F.col("text"))
     kept = states.where(F.rlike("text", F.lit("[{}]"))).select("path", "line_no", F.regexp_replace(code, "[^{}]", "").alias("_b")).where("_b <> ''")
     each = kept.select("path", "line_no", F.posexplode(F.split("_b", "")).alias("pos", "_c"))
     return each.select("path", "line_no", "pos", F.when(F.col("_c") == "{", 1).otherwise(-1).alias("step"))
