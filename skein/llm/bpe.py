@@ -22,6 +22,8 @@ _PLAIN = re.compile(r"[\x20-~\t-\rÀ-ÖØ-öø-ÿ]*")
 _NONE = 0xFFFF
 #: Pieces kept, some 30 bytes each.
 CACHE = 1_000_000
+#: Longer pieces, in bytes, go through the library, whose time does not grow with the square of a piece.
+LONGEST = 256
 
 
 class Encoder:
@@ -89,7 +91,9 @@ class Encoder:
         """Ids of each piece (bytes, not empty), two bytes to an id."""
         out: list = [None] * len(parts)
         size = np.array([len(p) for p in parts])
-        order = np.argsort(size, kind="stable")
+        for i in np.flatnonzero(size > LONGEST).tolist():
+            out[i] = np.array(self.tok.encode(parts[i].decode(), add_special_tokens=False).ids, np.uint16).tobytes()
+        order = np.argsort(size, kind="stable")[: int((size <= LONGEST).sum())]
         cuts = [0, *(int(np.searchsorted(size[order], x, "right")) for x in (6, 10, 16, 32, 64)), len(order)]
         for lo, hi in zip(cuts, cuts[1:]):
             for at in range(lo, hi, 1 << 15):

@@ -4,7 +4,8 @@ Words are lower-cased runs of ASCII letters, digits and non-ASCII characters, jo
 of length m may differ from a phrase in up to `errors` characters (inserted, deleted or replaced). Split into
 errors + 1 pieces, at least one piece stands unchanged (pigeonhole): an Aho-Corasick automaton of all pieces
 finds candidates, and the regex library's bounded-error matching verifies the window around each and reports
-its span. Exact occurrences at word boundaries (the base) are found apart and always kept.
+its span. The words that tell a notice from its look-alikes (names, `nc`, versions) must stand unchanged among the words
+of the span. Exact occurrences at word boundaries (the base) are found apart and always kept.
 
 Defined results: null, empty and wordless texts have no words and no labels; very long texts are scanned whole; each of
 equal rows is scanned alone; ties between notices are all reported; an empty table gives no rows; extra columns pass
@@ -24,15 +25,25 @@ NOTICES = {
     "apache license version 2": "apache-2",
     "released under the mit license": "mit",
     "licensed under the apache license version 2 0": "apache-2",
+    "apache license version 1 1": "apache-1",
+    "apache license version 1 0": "apache-1",
     "licensed under cc by nc 4 0": "cc-by-nc",
+    "licensed under cc by sa 4 0": "cc-by-sa",
+    "licensed under cc by nd 4 0": "cc-by-nd",
+    "creative commons attribution non commercial": "cc-by-nc",
+    "creative commons attribution share alike": "cc-by-sa",
+    "creative commons attribution no derivatives": "cc-by-nd",
     "licensed under the gnu general public license": "gpl",
     "gnu lesser general public license": "lgpl",
+    "gnu affero general public license": "agpl",
     "mozilla public license version 2 0": "mpl-2",
+    "mozilla public license version 1 1": "mpl-1",
     "redistribution and use in source and binary forms": "bsd",
-    "creative commons attribution share alike": "cc-by-sa",
     "permission is hereby granted free of charge to any person": "mit",
     "dedicated to the public domain": "public-domain",
 }
+# The words that tell a notice from others like it. They must stand as they are, in order; errors lie elsewhere.
+TELLING = ("mit", "apache", "cc", "nc", "sa", "nd", "non", "commercial", "share", "derivatives", "gnu", "general", "lesser", "affero", "mozilla", "domain", "0", "1", "2", "4")
 #: Errors allowed: one in so many characters, four at most.
 CHARS_PER_ERROR, MAX_ERRORS = 10, 4
 STOPS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -46,7 +57,7 @@ def normalise(text: str | None) -> bytes:
 
 
 class Finder:
-    def __init__(self, notices=NOTICES, base=BASE, chars_per_error: int = CHARS_PER_ERROR, max_errors: int = MAX_ERRORS):
+    def __init__(self, notices=NOTICES, base=BASE, chars_per_error: int = CHARS_PER_ERROR, max_errors: int = MAX_ERRORS, telling=TELLING):
         import ahocorasick
         import regex
 
@@ -62,6 +73,12 @@ class Finder:
         for s, at in seeds.items():
             self.auto.add_word(s, (len(s), at))
         self.auto.make_automaton()
+        self.exact = [[w for w in p.split() if w in telling] for p, *_ in self.notices]
+
+    def agrees(self, k: int, text: str, start: int, end: int) -> bool:
+        """Whether the words that a span touches hold the notice's telling words, in order."""
+        words = iter(text[max(0, text.rfind(" ", 0, start + 1)) : text.find(" ", end - 1) % (len(text) + 1)].split())
+        return all(w in words for w in self.exact[k])
 
     def base_starts(self, joined: bytes) -> list[tuple[int, str]]:
         """(word index, label) of every place where a base phrase stands."""
@@ -91,7 +108,7 @@ class Finder:
         for k, spans in windows.items():
             _, label, _, rx = self.notices[k]
             for lo, hi in spans:
-                out += [(m.start(), m.end(), label, sum(m.fuzzy_counts)) for m in rx.finditer(text, lo, hi)]
+                out += [(m.start(), m.end(), label, sum(m.fuzzy_counts)) for m in rx.finditer(text, lo, hi) if self.agrees(k, text, m.start(), m.end())]
         return sorted(out)
 
 

@@ -5,10 +5,12 @@ separators and identifier cues. Around each, a deterministic local parser expand
 e-mail, address, card, phone number, account value or user-info of a URL, and validates it. Within a kind the
 spans are leftmost and do not overlap; a match that fails validation is consumed and not retried.
 
-Kinds, in order: email, ip, card, phone (the base), then account (a cue such as `token =` or `iban:` and a value
-of 8 characters or more with a digit) and login (user:password@ after ://). Spans are in code points, end
-exclusive. Defined results: null and empty texts have no spans; equal rows are scanned alone; extra columns pass
-through, and columns named like an output are replaced.
+Kinds, in order: email, ip, card, phone (the base), then account and login (user:password@ after ://). An account is an
+IBAN behind its cue, in groups or not (without a mark between its check digits must hold), or a value of 8 characters or more with a digit behind a cue. Cues are
+looked for in any case of ASCII letters; words such as `access`, `key` or `number` may follow one, joined by blanks, hyphens
+or underscores, before `:`, `=`, `#` or `is`, which may be missing behind `number`, `no.` and the like. Spans are in code points, end
+exclusive. Defined results: null and empty texts have no spans; very long texts are scanned whole; equal rows are scanned
+alone; an empty table gives no rows; extra columns pass through, and columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -19,8 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone", "account", "login")
-# Cues that stand before an account or a secret, in lower case.
-CUES = ("token", "account", "iban", "password", "passwd", "api_key", "api key", "secret", "ssn", "passport", "customer id", "user id")
+# Cues that stand before an account or a secret, in lower case; a blank stands for a blank, a hyphen, an underscore or nothing.
+CUES = (
+    "token", "account", "acct", "iban", "bic", "password", "passwd", "passcode", "passphrase", "pass phrase", "pwd", "api key", "access key", "private key", "secret", "credential", "bearer", "auth key",
+    "ssn", "social security", "passport", "national id", "tax id", "tax number", "routing", "sort code", "customer id", "user id", "client id", "member id", "employee id", "patient id", "session id",
+    "driver license", "drivers license", "driver licence", "drivers licence", "license key", "licence key", "policy number", "insurance number", "serial number",
+)
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -28,7 +34,14 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IP_RUN, _CARD_RUN = re.compile(r"[0-9.]+"), re.compile(r"[0-9\x20-]+")
-_ACCOUNT = re.compile(r"""[\x20\t]*(?:[:=#]|is\b)[\x20\t]*["']?([A-Za-z0-9_/+-]{8,})""")
+_WORD = r"(?:access|secret|private|public|api|auth|client|service|bank|account|licen[sc]e|security)"
+_NOUN = r"(?:numbers?|num\b\.?|no\b\.?|nr\b\.?|keys?|id|code|token|value)"
+_ACCOUNT = re.compile(
+    rf"""(?:[\x20\t_-]?{_WORD}\b|[_-]{_WORD})*(?:(?P<noun>[\x20\t_-]?{_NOUN})?["']?[\x20\t]*(?P<mark>[:=#]|is\b)?)[\x20\t]*["']?(?P<value>[A-Za-z0-9_/+-]{{8,}})""", re.I | re.A
+)
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_AFTER_IBAN = re.compile(r"""[\x20\t]*(?:number|no\.?|code)?[\x20\t]*(?P<mark>[:=#]|is\b)?[\x20\t]*["']?""", re.I)
+_UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _LOGIN = re.compile(r"[A-Za-z0-9._%+-]+:[^\s@/:]+(?=@[A-Za-z0-9])")
 
 
@@ -42,6 +55,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban(value: str) -> bool:
+    """Whether the check digits hold."""
+    x = value.replace(" ", "")
+    return 15 <= len(x) <= 34 and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
 class Finder:
     def __init__(self, cues=CUES):
         import ahocorasick
@@ -51,8 +70,8 @@ class Finder:
             self.auto.add_word(ch, ch)
         self.auto.add_word("://", "://")
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                self.auto.add_word(form, "cue")
+            for join in (" ", "-", "_", ""):
+                self.auto.add_word(cue.replace(" ", join), "iban" if cue == "iban" else "cue")
         self.auto.make_automaton()
 
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
@@ -62,18 +81,16 @@ class Finder:
         found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
         past = dict.fromkeys(KINDS, 0)  # each kind's end of what is consumed
         run = {"ip": 0, "card": 0}
-        for end, what in self.auto.iter(text):
+        low = text.translate(_UP) if text.isascii() is False else text.lower()
+        for end, what in self.auto.iter(low):
             if what == "@":
                 self._email(text, end, found, past)
             elif what == "+":
                 m = _PHONE.match(text, end)
                 if m and 8 <= sum(c.isdigit() for c in m[0]) <= 15:
                     found["phone"].append(m.span())
-            elif what == "cue":
-                m = _ACCOUNT.match(text, end + 1)
-                if m and m.start(1) >= past["account"] and any("0" <= c <= "9" for c in m[1]):
-                    found["account"].append(m.span(1))
-                    past["account"] = m.end(1)
+            elif what in ("cue", "iban"):
+                self._account(text, end + 1, what, found, past)
             elif what == "://":
                 if m := _LOGIN.match(text, end + 1):
                     found["login"].append(m.span())
@@ -84,6 +101,21 @@ class Finder:
                     run["card"] = self._digits(text, end, _CARD_RUN, _CARD, found["card"], self._card)
         return [(k, a, b) for k in KINDS for a, b in found[k]]
 
+    @staticmethod
+    def _account(text, at, what, found, past) -> None:
+        if at < past["account"]:
+            return
+        if what == "iban" and (m := _IBAN.match(text, (to := _AFTER_IBAN.match(text, at)).end())) and (to["mark"] or iban(m[0])):
+            span = m.span()
+        elif (m := _ACCOUNT.match(text, at)) and (m["mark"] or m["noun"]) and any("0" <= c <= "9" for c in m["value"]):
+            span = m.span("value")
+            if not m["mark"] and not ("0" <= m["value"][0] <= "9"):
+                return  # behind a bare noun only what begins with a digit
+        else:
+            return
+        found["account"].append(span)
+        past["account"] = span[1]
+
     @staticmethod
     def _card(s: str) -> bool:
         digits = s.replace(" ", "").replace("-", "")
