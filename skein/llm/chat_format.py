@@ -30,7 +30,7 @@ RECORD = (
     "data struct<messages:array<struct<role:string,content:string>>>"
 )
 #: Levels of nesting that a fingerprint descends.
-DEPTH = 3
+DEPTH = 4
 #: Runs that are summed up at once.
 BLOCK = 512
 # What the from-value layout calls the roles. In layouts of role and text, roles stay as they are.
