@@ -597,7 +597,7 @@ def test_layouts(spark):
         else:
             assert r["layout"] is None and r["formatted"] == "" and r["back"] == []
     deep = df.sparkSession.createDataFrame([('{"a":{"b":[{"c":1,"e":"[x"},{"d":{"z":1}}]},"f":[1,"{"],"g":"{no"}',)], "record string")
-    assert sorted(deep.select(chat_format.field_paths(F.col("record"))).first()[0]) == ["a", "a.b", "a.b[].c", "a.b[].d", "a.b[].e", "f", "g"]
+    assert sorted(deep.select(chat_format.field_paths(F.col("record"))).first()[0]) == ["a", "a.b", "a.b[].c", "a.b[].d", "a.b[].d.z", "a.b[].e", "f", "g"]
     clash = df.withColumns({c: F.lit("own") for c in ("_parsed", "_turns", "_esc", "fingerprint", "parsed")})
     kept = chat_format.format_chat(clash)
     assert kept.where("_parsed = 'own' and _turns = 'own' and _esc = 'own' and parsed = 'own'").count() == df.count() and kept.where("fingerprint = 'own'").count() == 0
