@@ -51,8 +51,9 @@ def verify_work(nodes: DataFrame, edges: DataFrame, claims: DataFrame | None = N
         some = touched.agg((F.count("*") == 0).alias("passed"))
         out = out.unionByName(some.where("not passed").select(F.lit("envelope_required").alias("name"), "passed", F.lit("files without a plan").alias("message")))
     if claims is not None:
-        names = nodes.select(F.col("id").alias("claim")).union(nodes.select("name")).union(nodes.select(F.substring_index("id", ":", -1))).union(nodes.select(F.substring_index("id", "/", -1)))
-        c = claims.select("claim").distinct().join(names.distinct().withColumn("_ok", F.lit(True)), "claim", "left")
+        asked = claims.select("claim").distinct()
+        names = nodes.select(F.explode(F.array("id", "name", F.substring_index("id", ":", -1), F.substring_index("id", "/", -1))).alias("claim"))
+        c = asked.join(names.join(asked, "claim", "left_semi").distinct().withColumn("_ok", F.lit(True)), "claim", "left")  # of the names only those claimed
         ok = F.col("_ok").isNotNull()
         out = out.unionByName(c.select(F.concat(F.lit("claim_"), "claim").alias("name"), ok.alias("passed"), F.when(ok, "in the graph").otherwise("not in the graph").alias("message")))
     if "conflict" in edges.columns:

@@ -21,7 +21,8 @@ def first_paths(walk: DataFrame, starts: DataFrame, max_depth: int | None = None
     all of them; without max_depth it goes on while anything new is met. Each round is written."""
     front = settle(starts.select("source", "id", F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path")).distinct())
     met, depth = front, 0
-    wanted = settle(starts.select("source").distinct().crossJoin(F.broadcast(goals.select("id").distinct()))) if goals is not None else None
+    wanted = settle(goals.select("id").distinct()) if goals is not None else None
+    most = wanted.count() * starts.select("source").distinct().count() if wanted is not None else None
     while max_depth is None or depth < max_depth:
         depth += 1
         live = front.join(stop.select("id"), "id", "left_anti") if stop is not None else front
@@ -32,7 +33,7 @@ def first_paths(walk: DataFrame, starts: DataFrame, max_depth: int | None = None
         if front.isEmpty():
             break
         met = met.unionByName(front)
-        if wanted is not None and wanted.join(met, ["source", "id"], "left_anti").isEmpty():
+        if wanted is not None and met.join(wanted, "id", "left_semi").count() == most:  # a source meets an id once
             break
     return met
 

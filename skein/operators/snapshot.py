@@ -1,14 +1,14 @@
-"""Versions of a graph with commits that hold in whole or not at all (K5, K7), and written snapshots."""
+"""Replacing a stored graph (K5, K7), and written snapshots."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import analytics as A
+from skein.operators.loops import drop_settled, settle
 from skein.operators.mining import manifest_diff
 from skein.operators.store import page
 from skein.operators.traverse import impact
@@ -18,69 +18,24 @@ Graph = tuple[DataFrame, DataFrame]
 LISTED = ("Service", "Table", "API", "External", "Test", "Infra")
 
 
-class Versions:
-    """A graph below a folder of shared storage. A version counts once its marker file exists, which is made last and
-    can be made once only and names the data; readers take the highest marker that holds a name, so that a failed commit
-    leaves what was there."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._open = False
-
-    def _at(self, name: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), at
-
-    def _marks(self) -> list[tuple[int, bool]]:
-        fs, at = self._at("marks")
-        return [(int(s.getPath().getName()), s.getLen() > 0) for s in fs.listStatus(at) if s.getPath().getName().isdigit()] if fs.exists(at) else []
-
-    def version(self) -> int:
-        """The current version; 0 where there is none."""
-        return max((v for v, named in self._marks() if named), default=0)
-
-    def read(self, version: int | None = None) -> Graph:
-        v = self.version() if version is None else version
-        fs, mark = self._at(f"marks/{v}")
-        if not v or not fs.exists(mark):
-            raise ValueError(f"no version {v}")
-        told = fs.open(mark)
-        name = told.readLine()
-        told.close()
-        return self.spark.read.parquet(f"{self.path}/{name}/nodes"), self.spark.read.parquet(f"{self.path}/{name}/edges")
-
-    def replace(self, nodes: DataFrame, edges: DataFrame, over: int | None = None) -> int:
-        """The graph becomes these tables (they may read the version before). Fails if another commit came between."""
-        over = self.version() if over is None else over
-        v = max([over, *(v for v, _ in self._marks())]) + 1
-        name = f"data-{uuid.uuid4().hex}"
-        try:
-            nodes.write.parquet(f"{self.path}/{name}/nodes")
-            edges.write.parquet(f"{self.path}/{name}/edges")
-            if self.version() != over:
-                raise RuntimeError(f"version {over} is not the current one any more")
-            fs, mark = self._at(f"marks/{v}")
-            out = fs.create(mark, False)
-            out.writeBytes(name + "\n")
-            out.close()
-        except Exception:
-            fs, data = self._at(name)
-            fs.delete(data, True)
-            raise
-        return v
-
-    def transaction(self, work: Callable[[Graph], Graph]) -> int:
-        """Commits what work makes of the current graph; an error leaves it as it was. No transaction within another:
-        compose the functions."""
-        if self._open:
-            raise RuntimeError("a transaction is open: compose the functions")
-        self._open = True
-        try:
-            v = self.version()
-            nodes, edges = work(self.read(v))
-            return self.replace(nodes, edges, over=v)
-        finally:
-            self._open = False
+def replace(path: str, nodes: DataFrame, edges: DataFrame) -> Graph:
+    """The graph in the folder `path` becomes these tables, which may read what it holds: they are written beside it first.
+
+    Each table is replaced by Spark's own overwrite; what fails while it is being made leaves the folder as it was."""
+    nodes, edges = settle(nodes), settle(edges)
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+    drop_settled(nodes, edges)
+    return read(nodes.sparkSession, path)
+
+
+def read(spark: SparkSession, path: str) -> Graph:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def transaction(spark: SparkSession, path: str, work: Callable[[Graph], Graph]) -> Graph:
+    """The folder's graph becomes what work makes of it; an error in work leaves it as it was."""
+    return replace(path, *work(read(spark, path)))
 
 
 def update_manifest(old: DataFrame, new: DataFrame) -> DataFrame:

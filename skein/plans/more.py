@@ -105,18 +105,18 @@ def _budgets(spark, sf_dir):
 
 
 def _replaced(spark, sf_dir):
-    """Versions of the graph: a commit, a transaction on it, and a failed one, which leaves the second."""
+    """A stored graph after a replacement, a transaction on it, and one whose work fails, which changes nothing."""
     n, e = graph(spark, sf_dir)
-    v = N.Versions(spark, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}")
-    v.replace(n, e)
-    v.transaction(lambda g: (g[0].where("kind <> 'Doc'"), g[1].where("type <> 'CONTAINS'")))
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    N.replace(path, n, e)
+    N.transaction(spark, path, lambda g: (g[0].where("kind <> 'Doc'"), g[1].where("type <> 'CONTAINS'")))
     try:
-        v.transaction(lambda g: (g[0].limit(0), g[1].select(F.raise_error(F.lit("no")).alias("x"))))
+        N.transaction(spark, path, lambda g: (g[0].limit(0), g[1].select(F.raise_error(F.lit("no")).alias("x"))))
     except Exception:  # noqa: BLE001  the failure is the point: nothing of it may be seen
         pass
-    nodes, edges = v.read()
-    row = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("item"), "n", F.lit(v.version()).alias("version"))
-    return row(nodes, "nodes").unionByName(row(edges, "edges"))
+    nodes, edges = N.read(spark, path)
+    by = lambda df, name, key: df.groupBy(key).agg(F.count("*").alias("n")).select(F.lit(name).alias("item"), F.col(key).alias("of"), "n")
+    return by(nodes, "nodes", "kind").unionByName(by(edges, "edges", "type"))
 
 
 def _manifest_update(spark, sf_dir):
@@ -154,6 +154,13 @@ _CONTEXT_SQL = f"""{_DOWN_SQL}{_FOCUS_SQL}
  union all select 'verification', 'not_empty', 1 union all select 'verification', 'no_dangling', 1
  union all select 'focus', kind, count(*) from fmet join nodes using (id) where depth > 0 group by kind"""
 
+_VERIFY_SQL = """, t as (select distinct path from nodes where kind = 'Function' and path like 'orders/%'), c as (select unnest(['table:P7', 'O12', 'nowhere']) as claim),
+  dangling as (select count(*) as n from edges where src not in (select id from nodes) or dst not in (select id from nodes))
+  select 'not_empty' as name, count(*) > 0 as passed from nodes union all select 'no_dangling', n = 0 from dangling
+  union all select 'inside_plan', (select count(*) from t where path not in (select path from t where path <> 'orders/F')) = 0
+  union all select 'claim_' || claim, exists (select 1 from nodes where id = claim or name = claim or regexp_extract(id, '[^:]*$') = claim or regexp_extract(id, '[^/]*$') = claim) from c
+  union all select 'no_unexplained_conflicts', count(*) = 0 from edges where type = 'PUBLISHES'"""
+
 ALL = {
     "impact_paths": (_impact_paths, _chains(_MANY, 3) + "select source, id, depth, array_to_string(chain, ',') as path from f join nodes using (id) where kind in ('Table','API','External','Service','Event','Test')"),
     "shortest_paths": (_shortest, f"""{WITH}, ee as (select *, {EDGE_ID_SQL} as eid from edges), b as (select src as a, dst as b, eid from ee union all select dst, src, eid from ee where src <> dst),
@@ -171,13 +178,13 @@ ALL = {
     "diff_impact_fallback": (_diff("symbols", True), f"select 'fn:customer/N' || c_nationkey || ':C' || c_custkey as id, 'body_only' as change from customer where c_nationkey in (select c_nationkey from customer where {_DEBT})"),
     "impact_conflicts": (_conflicts, _walk(_MANY, 3) + _RISKS_SQL + "select distinct source, 'conflict' as kind, to_id as node_id from chip where type = 'WRITES'"),
     "policy_api_contract": (_graph(_api_policy), WITH + "select 'public-api-requires-contract' as policy, id as node_id from nodes where kind = 'API' and not (name < 'f') and id in (select dst from edges where type = 'CONSUMES')"),
-    "verify_work": (_graph(_verify_work), "select unnest(['not_empty','no_dangling','inside_plan','claim_table:P7','claim_O12','claim_nowhere','no_unexplained_conflicts']) as name, unnest([true,true,false,true,true,false,false]) as passed"),
+    "verify_work": (_graph(_verify_work), WITH + _VERIFY_SQL),
     "budget_sums": (_budgets, "with c as (select conv_id as run, turn as seq, sum(coalesce(length(text), 0)) as i from conversations group by all), s as (select run, seq, count(*) over w as calls, sum(i) over w as input, 10 * count(*) over w as output from c window w as (partition by run order by seq)) select run, seq, calls, cast(input as bigint) as input, output, calls >= 6 or input >= 500 as blocked from s"),
     "find_node": (_graph(lambda n, e: C.find(n, "O12").unionByName(C.find(n, "table:P7")).select("id", "name")), WITH + ", h as (select id, name from nodes where name ilike '%O12%' or path ilike '%O12%' or id ilike '%O12%' order by name, id limit 1) select * from h union all select id, name from nodes where id = 'table:P7'"),
     "list_search": (_graph(lambda n, e: C.list_search(n, "ORDERS/f", "Function", None).select("id", "name")), WITH + "select id, name from nodes where kind = 'Function' and (contains(lower(name), 'orders/f') or contains(lower(id), 'orders/f') or contains(lower(path), 'orders/f'))"),
     "quick_pick": (_graph(lambda n, e: C.quick_pick(n, "3").unionByName(C.quick_pick(n)).select("id", "name")), WITH + ", o as (select id, name, row_number() over (order by name, id) as r from nodes where kind <> 'File') select id, name from o where r = 3 union all select id, name from o where r <= 20"),
     "degree_once": (_graph(lambda n, e: C.degree_once(e.unionByName(e.where("type = 'DEPENDS_ON'").withColumn("dst", F.col("src"))))), WITH + ", x as (select src, dst from edges union all select src, src from edges where type = 'DEPENDS_ON') select id, count(*) as degree from (select src as id from x union all select dst from x where src <> dst) group by id"),
-    "replaced_graph": (_replaced, WITH + "select 'nodes' as item, count(*) as n, 2 as version from nodes where kind <> 'Doc' union all select 'edges', count(*), 2 from edges where type <> 'CONTAINS'"),
+    "replaced_graph": (_replaced, WITH + "select 'nodes' as item, kind as of, count(*) as n from nodes where kind <> 'Doc' group by kind union all select 'edges', type, count(*) from edges where type <> 'CONTAINS' group by type"),
     "manifest_update": (_manifest_update, "select 'p' || p_partkey as path, case when p_size < 20 then 'x' else cast(p_size as varchar) end as hash, cast(p_size as bigint) as size from part where p_size > 5"),
     "context_snapshot": (_context, _CONTEXT_SQL),
 }

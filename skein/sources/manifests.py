@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from skein.sources.files import lines
 
+# Fixed value: paths that are no sources.
 SKIP_PATH = r"(?i)(?:^|/)(?:package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|Cargo\.lock|Gemfile\.lock)$|\.(?:map|min\.js)$"
 
 
@@ -39,11 +40,20 @@ def istanbul(files: DataFrame) -> DataFrame:
     return d.select("file", F.try_element_at("statementMap", "k")["start"]["line"].alias("line"), "hits").where("line is not null")
 
 
-def git_log(log: DataFrame) -> DataFrame:
-    """(commit, file) of a log (line_no, text) in which COMMIT_<hash> lines stand before their files' names."""
+def git_log(log: DataFrame, most: int | None = None, block: int = 100_000) -> DataFrame:
+    """(commit, file) of a log (line_no, text) in which COMMIT_<hash> lines stand before their files' names; of the first `most` commits.
+
+    The last commit of each block of lines is carried into the blocks after it: one row a block, so that no task reads the log."""
     head = F.startswith(F.trim("text"), F.lit("COMMIT_"))
-    d = log.withColumn("commit", F.last(F.when(head, F.substring(F.trim("text"), 8, 1 << 30)), True).over(Window.orderBy("line_no")))
-    return d.where(~head & (F.trim("text") != "") & F.col("commit").isNotNull()).select("commit", F.trim("text").alias("file"))
+    d = log.withColumn("_b", F.floor(F.col("line_no") / block)).withColumn("_c", F.when(head, F.substring(F.trim("text"), 8, 1 << 30)))
+    ends = d.groupBy("_b").agg(F.max_by("_c", F.when(F.col("_c").isNotNull(), F.col("line_no"))).alias("_c"), F.count("_c").alias("_n"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_b", F.last("_c", True).over(before).alias("_from"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_seen"))
+    inside = Window.partitionBy("_b").orderBy("line_no")
+    d = d.join(carried, "_b").withColumn("commit", F.coalesce(F.last("_c", True).over(inside), F.col("_from"))).withColumn("_k", F.col("_seen") + F.count("_c").over(inside))
+    if most is not None:
+        d = d.where(F.col("_k") <= most)
+    return d.where(F.col("_c").isNull() & (F.trim("text") != "") & F.col("commit").isNotNull()).select("commit", F.trim("text").alias("file"))
 
 
 def name_status(rows: DataFrame) -> DataFrame:

@@ -88,21 +88,17 @@ def test_budgets(spark):
     assert got == {("r", 1): (10, False), ("r", 2): (100, True), ("q", 1): (1, True)}
 
 
-def test_versions(spark, small, tmp_path):
+def test_replace_and_transaction(spark, small, tmp_path):
     n, e = small
-    v = N.Versions(spark, f"file://{tmp_path}/g")
-    assert v.version() == 0
-    with pytest.raises(ValueError):
-        v.read()
-    assert v.replace(n, e) == 1
-    assert v.transaction(lambda g: (g[0].where("kind = 'Function'"), g[1])) == 2
+    at = f"file://{tmp_path}/g"
+    N.replace(at, n, e)
+    assert N.read(spark, at)[0].count() == n.count() and N.read(spark, at)[1].count() == e.count()
+    N.transaction(spark, at, lambda g: (g[0].where("kind = 'Function'"), g[1]))
     with pytest.raises(ZeroDivisionError):
-        v.transaction(lambda g: 1 / 0)
-    with pytest.raises(RuntimeError):  # another commit came between
-        v.replace(n, e, over=1)
-    with pytest.raises(RuntimeError):
-        v.transaction(lambda g: (v.transaction(lambda h: h), g)[1])
-    assert v.version() == 2 and v.read()[0].count() == 3 and v.read(1)[0].count() == 6
+        N.transaction(spark, at, lambda g: 1 / 0)
+    with pytest.raises(Exception, match="no such"):
+        N.transaction(spark, at, lambda g: (g[0].limit(0), g[1].select(F.raise_error(F.lit("no such")))))
+    assert N.read(spark, at)[0].count() == n.where("kind = 'Function'").count() and N.read(spark, at)[1].count() == e.count()
 
 
 def test_snapshots(spark, small, tmp_path):

@@ -64,6 +64,8 @@ def test_manifests(spark):
     assert [tuple(r) for r in manifests.istanbul(one(cov)).collect()] == [("a.ts", 4, 2)]
     log = spark.createDataFrame(list(enumerate(["COMMIT_a", "f1", "f2", "", "COMMIT_b", "f1"])), "line_no int, text string")
     assert {tuple(r) for r in manifests.git_log(log).collect()} == {("a", "f1"), ("a", "f2"), ("b", "f1")}
+    assert {tuple(r) for r in manifests.git_log(log, block=2).collect()} == {("a", "f1"), ("a", "f2"), ("b", "f1")}
+    assert {tuple(r) for r in manifests.git_log(log, most=1, block=1).collect()} == {("a", "f1"), ("a", "f2")}
     st = spark.createDataFrame([("M\ta.ts",), ("R100\told\\x.ts\tnew.ts",), ("A\tyarn.lock",), ("",)], "text string")
     assert {tuple(r) for r in manifests.name_status(st).collect()} == {("M", "a.ts", None), ("R", "new.ts", "old/x.ts")}
     own = manifests.owners(one("# c\n*.ts @a @b\n\ndocs/ @c x"))
