@@ -361,11 +361,11 @@ _ALL = {
     "symbol_diff": (lambda s, d: M.symbol_diff(*_parts(s, d)), _DIFF_SQL),
     "manifest_diff": (_manifest_diff, "select 'table:P' || p_partkey as path, case p_partkey % 10 when 0 then 'removed' else 'changed' end as change from part where p_partkey % 10 in (0, 1, 2) union all select 'table:P' || (p_partkey + 10000000), 'added' from part where p_partkey % 10 = 5"),
     "policy_violations": (_graph(A.policies), WITH + "select 'critical-must-have-tests' as policy, id as node_id from nodes where critical and id not in (select dst from edges where type = 'TESTS')"),
-    "health": (_graph(A.health), WITH + """select 'graph' as category, 'nodes' as item, count(*) as n from nodes union all select 'graph', 'edges', count(*) from edges union all select 'validation', 'errors', 0
+    "health": (_graph(A.health), WITH + """select 'graph' as category, 'nodes' as item, count(*) as n from nodes union all select 'graph', 'edges', count(*) from edges union all select 'validation', 'errors', (select count(*) from edges where src not in (select id from nodes) or dst not in (select id from nodes))
       union all select 'edges', type, count(*) from edges where type in ('CONTAINS','IMPORTS','CALLS','EXPOSES','CONSUMES','READS','WRITES','TESTS','DEPENDS_ON','DOCUMENTS','CO_CHANGED') group by type
       union all select 'orphans', 'nodes', count(*) from nodes where id not in (select src from edges) and id not in (select dst from edges)
       union all select 'coverage', kind, count(*) from nodes where kind in ('Service','Function','API','Table','Test','External','Class') group by kind"""),
-    "verify_graph": (_graph(A.verify), WITH + "select 'not_empty' as name, true as passed, count(*) || ' nodes' as message from nodes union all select 'no_dangling', true, '0 dangling edges'"),
+    "verify_graph": (_graph(A.verify), WITH + "select 'not_empty' as name, count(*) > 0 as passed, count(*) || ' nodes' as message from nodes union all select 'no_dangling', (select count(*) from edges where src not in (select id from nodes) or dst not in (select id from nodes)) = 0, (select count(*) from edges where src not in (select id from nodes) or dst not in (select id from nodes)) || ' dangling edges'"),
     "explain_node": (_graph(lambda n, e: A.explain_node(e, "table:P7").union(A.explain_node(e, "svc:N3"))), WITH + ", t as (select unnest(['table:P7','svc:N3']) as id) select count(case when type='CALLS' and dst=id then 1 end) as callers, count(case when type='CALLS' and src=id then 1 end) as callees, count(case when type='READS' and src=id then 1 end) as reads, count(case when type='WRITES' and src=id then 1 end) as writes, count(case when type='EXPOSES' and src=id then 1 end) as apis, count(case when type='TESTS' and dst=id then 1 end) as tests from t join edges on src = id or dst = id group by id"),
     "plan_files": (lambda s, d: A.plan_files(_impact_full(s, d)), _walk(_MANY, 3) + "select distinct path from met join nodes using (id) where path is not null and (depth = 0 or kind in ('Function','Method','Class','File','Test'))"),
     "identify_services": (_identify, f"with f as (select {_PATHS} as path from part), m as (select regexp_extract(path, '^(apps|services|packages|src)/([^/]+)/', 1) as a, regexp_extract(path, '^(apps|services|packages|src)/([^/]+)/', 2) as name from f where regexp_matches(path, '^(apps|services|packages|src)/([^/]+)/')) select 'svc:' || name as service_id, name, a || '/' || name as bucket, count(*) as files from m group by a, name"),

@@ -133,6 +133,7 @@ def _context(spark, sf_dir):
 
 
 _LISTED = " union all ".join(f"select '{k}', name, 1 from (select name from nodes where kind = '{k}' order by name, id limit 100)" for k in N.LISTED)
+_DANGLING = "(select count(*) from edges where src not in (select id from nodes) or dst not in (select id from nodes))"
 _EDGE_KINDS = "('CONTAINS','IMPORTS','CALLS','EXPOSES','CONSUMES','READS','WRITES','TESTS','DEPENDS_ON','DOCUMENTS','CO_CHANGED')"
 _FOCUS_SQL = _walk(_START, 5)[len(WITH) :].replace(" w as", " fw as").replace("from w ", "from fw ").replace(" met as", " fmet as").replace(", s as", ", fs as").replace("join s on", "join fs on")
 _CONTEXT_SQL = f"""{_DOWN_SQL}{_FOCUS_SQL}
@@ -146,12 +147,12 @@ _CONTEXT_SQL = f"""{_DOWN_SQL}{_FOCUS_SQL}
  union all select 'hubs', name, total from (select * from sc order by total desc, name, id limit 8)
  union all select 'isolated', name, 0 from (select * from sc where total = 0 and kind in ('Function','Method','Class','Module') order by name, id limit 8)
  union all select 'hotspots', name, downstream + total from (select * from dd where downstream >= 5 or (total >= 6 and downstream >= 2) order by downstream + total desc, name, id limit 8)
- union all select 'health', 'graph/nodes', count(*) from nodes union all select 'health', 'graph/edges', count(*) from edges union all select 'health', 'validation/errors', 0
+ union all select 'health', 'graph/nodes', count(*) from nodes union all select 'health', 'graph/edges', count(*) from edges union all select 'health', 'validation/errors', {_DANGLING}
  union all select 'health', 'edges/' || type, count(*) from edges where type in {_EDGE_KINDS} group by type
  union all select 'health', 'orphans/nodes', count(*) from nodes where id not in (select src from edges) and id not in (select dst from edges)
  union all select 'health', 'coverage/' || kind, count(*) from nodes where kind in ('Service','Function','API','Table','Test','External','Class') group by kind
  union all select 'policies', 'critical-must-have-tests', count(*) from nodes where critical and id not in (select dst from edges where type = 'TESTS')
- union all select 'verification', 'not_empty', 1 union all select 'verification', 'no_dangling', 1
+ union all select 'verification', 'not_empty', (count(*) > 0)::int from nodes union all select 'verification', 'no_dangling', ({_DANGLING} = 0)::int
  union all select 'focus', kind, count(*) from fmet join nodes using (id) where depth > 0 group by kind"""
 
 _VERIFY_SQL = """, t as (select distinct path from nodes where kind = 'Function' and path like 'orders/%'), c as (select unnest(['table:P7', 'O12', 'nowhere']) as claim),
