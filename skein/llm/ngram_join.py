@@ -54,6 +54,8 @@ NEAREST_FROM = 1_000_000
 CROWD, SHARED = 100, 0.3
 #: Bytes of text for each chunk of signatures, signatures packed at once, places of the id filter at most.
 CHUNK_BYTES, FLUSH, FILTER_BITS = 8 << 20, 400_000, 26
+#: Signatures that a member carries to tell where it has met another before.
+LOWS = 8
 
 
 class Bands:
@@ -441,10 +443,12 @@ def tile_pairs(members: DataFrame, sketches: DataFrame, num: int, den: int, best
 
     members: (sig, id, comp, n), n the size of the bucket. A bucket of more than `tile` members is cut into blocks by
     a hash of the id; a member goes to the tiles of its block with every block, so that a task holds two blocks at
-    most. Sketches travel folded to SKETCH_BYTES."""
+    most. Sketches travel folded to SKETCH_BYTES. Similar members meet in many buckets: each carries its LOWS smallest
+    signatures, and a pair is told only where neither shares a smaller one with the other."""
+    lows = members.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, LOWS).alias("low"))
     d = members.withColumn("_k", F.ceil(F.col("n") / tile).cast("int")).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
     d = d.select("sig", "id", "comp", "_b", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_o"))
-    d = d.select("sig", F.least("_b", "_o").alias("t1"), F.greatest("_b", "_o").alias("t2"), "_b", "id", "comp").join(sketches.select("id", "size", F.col("short").alias("sketch")), "id")
+    d = d.select("sig", F.least("_b", "_o").alias("t1"), F.greatest("_b", "_o").alias("t2"), "_b", "id", "comp").join(sketches.select("id", "size", F.col("short").alias("sketch")).join(lows, "id"), "id")
     d = d.repartition("sig", "t1", "t2").sortWithinPartitions("sig", "t1", "t2", "size", "id")
 
     def run(batches):
@@ -452,7 +456,7 @@ def tile_pairs(members: DataFrame, sketches: DataFrame, num: int, den: int, best
         for t in key_runs(batches, 3):
             yield from _tile(t, bands, best)
 
-    found = d.select("sig", "t1", "t2", "_b", "id", "comp", "size", "sketch").mapInArrow(run, "a long, b long, apart long")
+    found = d.select("sig", "t1", "t2", "_b", "id", "comp", "size", "sketch", "low").mapInArrow(run, "a long, b long, apart long")
     if best:  # of all buckets
         found = found.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -501,8 +505,9 @@ def _changes(t: pa.Table, n_keys: int) -> np.ndarray:
 
 
 def _tile(t: pa.Table, bands: Bands, best: bool):
-    """Pairs of each group of (sig, t1, t2, block, id, comp, size, sketch), sorted by size in a group."""
-    t1, t2, block, ids, comp, size = (t.column(i).to_numpy() for i in range(1, 7))
+    """Pairs of each group of (sig, t1, t2, block, id, comp, size, sketch, low), sorted by size in a group."""
+    sig, t1, t2, block, ids, comp, size = (t.column(i).to_numpy() for i in range(7))
+    low = low_signatures(t.column(8))
     sketches = t.column(7).to_pylist()
     cuts = [0, *np.flatnonzero(_changes(t, 3)).tolist(), t.num_rows]
     num, den, a, b, d = bands.num, bands.den, [], [], []
@@ -528,6 +533,9 @@ def _tile(t: pa.Table, bands: Bands, best: bool):
             hit = np.flatnonzero(near)
             if best and len(hit) > 1:
                 hit = hit[[apart[hit].argmin()]]
+            if len(hit):
+                mine = low[i][low[i] < sig[i]]  # the rest of the row is filled with the largest number
+                hit = hit[~(low[z][hit][:, :, None] == mine[None, None, :]).any(axis=(1, 2))]
             a += [ids[i]] * len(hit)
             b += ids[z][hit].tolist()
             d += apart[hit].tolist()
@@ -538,6 +546,16 @@ def _tile(t: pa.Table, bands: Bands, best: bool):
         yield out()
 
 
+def low_signatures(column) -> np.ndarray:
+    """(rows, LOWS) of a column of sorted lists, filled up with the largest number."""
+    lists = column.combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    n = np.diff(lists.offsets.to_numpy())
+    out = np.full((len(n), LOWS), np.iinfo(np.int64).max, np.int64)
+    out[np.repeat(np.arange(len(n)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)] = lists.flatten().to_numpy()
+    return out
+
+
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, tag: str | None = None) -> DataFrame:
     """(id_col, n_shingles, component_id) for each row of df: shingle set size, and the smallest id reachable by links.
 
