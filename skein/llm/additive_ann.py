@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import discard, ship, stash
 
 TOP, BOOKS, WORDS, WIDTH, MARGIN = 20, 16, 128, 4, 2.0
+ROUNDING = 1e-5  # of estimates in single precision, for unit vectors
 SAMPLE, SWEEPS = 8_192, 1  # rows to fit on; rounds of least squares
 BLOCK, QUERY_BLOCK, STEP = 16_384, 8_192, 256
 MAX_BOOKS, MAX_DIMS, SAMPLE_BYTES = 4, 4_096, 1 << 26
@@ -148,7 +149,9 @@ def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, cod
             known = np.where(np.take_along_axis(est, first, axis=1) > -np.inf, np.einsum("ij,ikj->ik", own, x[first]), -np.inf)
             bound = np.partition(known, few - top, axis=1)[:, few - top]  # no more than the true k-th best
             error = (margin / np.sqrt(x.shape[1])) * np.sqrt((own * own).sum(axis=1))[:, None] * rest[None, :]
-            r, c = np.nonzero((est + error >= bound[:, None]) & (est > -np.inf))
+            may = est + error + ROUNDING * np.sqrt((own * own).sum(axis=1))[:, None] * gain[None, :] >= bound[:, None]
+            np.put_along_axis(may, first, True, axis=1)
+            r, c = np.nonzero(may & (est > -np.inf))
         score = np.empty(len(r))
         for j in range(0, len(r), 1 << 16):
             score[j : j + (1 << 16)] = np.einsum("ij,ij->i", own[r[j : j + (1 << 16)]], x[c[j : j + (1 << 16)]])

@@ -68,6 +68,18 @@ def test_ann_recall(spark, blocks):
     assert hits >= 0.95 * want
 
 
+def test_ann_returns_all_that_there_are(spark):
+    """Few vectors, all of them fitted: estimates are nearly exact, and every query has its 20, or all others."""
+    for n in (15, 300):
+        x, label = clustered(n, 16, 3)
+        df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))], VECS)
+        got = additive_ann.ann_search(df, F.col("id") % 20 == 0).collect()
+        s = x[::20].astype(float) @ x.astype(float).T
+        for q in range(0, n, 20):
+            order = [int(i) for i in np.lexsort((np.arange(n), -s[q // 20])) if i != q][:20]
+            assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == order
+
+
 def test_ann_odd_rows(spark):
     rows = [(0, [1.0, 0.0], 1), (1, None, 1), (2, [0.0, 0.0], 1), (3, [float("nan"), 1.0], 1), (4, [None, 1.0], 1), (5, [], 1), (None, [1.0, 1.0], 1),
             (7, [1.0, 0.5], 1), (8, [1.0, 0.5], 1), (9, [2.0] * 3, 1), (20, [-1.0, 0.0], 1), (20, [-1.0, 0.0], 1), (40, [1.0] * 3, 1), (60, [1.0] * 5000, 2)]
