@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skein.operators import analytics as A
-from skein.operators import cyclic, intervals
-from skein.plans.catalog import _graph, _read
+from skein.operators import cyclic, intervals, search_index
+from skein.operators.loops import shared_dir
+from skein.plans.catalog import _QUERY, _TOKENS_SQL, _graph, _read
 from skein.plans.projection import WITH
 from skein.sources import binding, code
 
@@ -108,6 +111,18 @@ def _first_tests(spark, sf_dir):
     return intervals.first_before(points, marks, ["file"], "test")
 
 
+def _search_stored(spark, sf_dir):
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    search_index.write_index(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), path)
+    return search_index.search_stored(spark, path, _QUERY, 20)
+
+
+_STORED_SQL = f"""with q as (select {_TOKENS_SQL.format("'" + _QUERY + "'")} as l), u as (select unnest(l) as token, unnest(range(len(l))) as pos from q),
+ t as (select doc_id, unnest(list_distinct({_TOKENS_SQL.format("coalesce(text, '')")})) as token from documents),
+ h as (select doc_id, count(*) as n, min(pos) as pos from t join u using (token) group by 1)
+ select cast(row_number() over (order by n desc, pos, doc_id) as integer) as rank, doc_id as chunk_id, n / (select len(l) from q)::double as score, substring(coalesce(text, ''), 1, 200) as snippet
+ from h join documents using (doc_id) qualify rank <= 20"""
+
 _CALL_TYPES = "type in ('CALLS','IMPORTS','DEPENDS_ON')"
 #: Orders alone lie on cycles here; no cycle is as long as the bound.
 _REACH_SQL = f", c as (select distinct src, dst from edges where {_CALL_TYPES} and src <> dst), x as (select src as start, dst as id from c where src like 'fn:orders%' union select start, dst from x join c on src = id)"
@@ -118,6 +133,7 @@ ALL = {
     "module_suffixes": (_module_suffixes, "with f as (select 'src' || (p_partkey % 3) || '/p' || (p_partkey % 60) || '/m' || (p_partkey % 40) || '.py' as path, min(p_partkey) as seq from part group by all), t as (select distinct 'p' || (c_custkey % 70) || '/m' || (c_custkey % 41) || '.py' as target from customer), g as (select target, arg_min(path, seq) as file from t join f on ends_with(path, target) group by all) select c_custkey as id, 'p' || (c_custkey % 70) || '/m' || (c_custkey % 41) || '.py' as target, file from customer left join g on target = 'p' || (c_custkey % 70) || '/m' || (c_custkey % 41) || '.py'"),
     "innermost_span": (_innermost, "with q as (select distinct l_suppkey % 90 as file, l_partkey % 900 as \"at\" from lineitem) select file, \"at\", arg_min('P' || p_partkey, (-p_size, 'P' || p_partkey)) as owner from q join part on p_partkey % 90 = file and \"at\" between p_size * 10 and p_size * 10 + p_partkey % 300 group by file, \"at\""),
     "first_enclosing_test": (_first_tests, "with m as (select s_suppkey % 450 as file, min(s_suppkey % 89) as a, arg_min('test:S' || s_suppkey, (s_suppkey % 89, 'test:S' || s_suppkey)) as t from supplier group by 1) select o_orderkey as id, o_custkey % 500 as file, o_orderkey % 97 as \"at\", case when a <= o_orderkey % 97 then t end as test from orders left join m on m.file = o_custkey % 500"),
+    "search_stored": (_search_stored, _STORED_SQL),
     "cycle_components": (_graph(lambda n, e: cyclic.strong_components(e.where(_CALL_TYPES))), WITH + _REACH_SQL + ", m as (select x.start as id, x.id as other from x join x y on y.start = x.id and y.id = x.start) select id, min(other) as component, count(*) as size from m group by id"),
     "cycle_members": (_graph(lambda n, e: A.cycle_members(e)), WITH + f", c as (select distinct src, dst from edges where {_CALL_TYPES} and src <> dst), x as (select src as start, dst as id, 1 as length from c where src like 'fn:orders%' union select start, dst, length + 1 from x join c on src = id where length < 200 and id <> start) select id, min(length) as length from x where start = id group by id"),
 }
