@@ -89,10 +89,14 @@ def secrets(lines: DataFrame) -> DataFrame:
     return grep(lines, SECRET)
 
 
+# Fixed value: a verb of change and what it is about.
+CHANGE_OF = r"(?i)(?:change|impact|modify|edit|touch|break)\s+(?:of\s+)?([A-Za-z_][A-Za-z0-9_.]*)"
+
+
 def target_of(request: Column) -> Column:
     """What a free request is about: its quoted part, else what follows a verb of change, else the last word longer than
     three characters."""
-    after = F.regexp_extract(request, r"(?i)(?:change|impact|modify|edit|touch|break)\s+(?:of\s+)?([A-Za-z_][A-Za-z0-9_.]*)", 1)
+    after = F.regexp_extract(request, CHANGE_OF, 1)
     quoted = F.regexp_extract(request, r"[\"'`]([^\"'`]+)[\"'`]", 1)
     words = F.filter(F.split(F.regexp_replace(request, r"[^\w./:-]+", " "), " "), lambda w: F.length(w) > 3)
     return F.coalesce(F.nullif(quoted, F.lit("")), F.nullif(after, F.lit("")), F.try_element_at(words, F.lit(-1)))

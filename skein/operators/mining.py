@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 from skein.functions.ids import dirname, tokens
 
 
+# Fixed value: paths that look like contracts.
+CONTRACT_PATH = r"(?i)(?:openapi|swagger|asyncapi|\.proto$|\.prisma$|\.sql$|/migrations/)"
+
+
 def co_change(commits: DataFrame, min_count: int = 3, least: int = 2, most: int = 15) -> DataFrame:
     """(a, b, n, confidence): files changed together in min_count commits; commits of least..most files count."""
     f = commits.select("commit", "file").distinct()
@@ -135,7 +139,7 @@ def contract_deltas(contracts: DataFrame, changed: DataFrame) -> DataFrame:
     """(contract_id): contracts whose path is, holds or lies in a changed path, and changed files that look like one."""
     c = contracts.where("path is not null").select("id", F.col("path").alias("cp"))
     hit = c.join(changed.select("path"), F.contains("path", "cp") | F.contains("cp", "path"), "left_semi").select(F.col("id").alias("contract_id"))
-    alike = changed.where(F.rlike("path", F.lit(r"(?i)(?:openapi|swagger|asyncapi|\.proto$|\.prisma$|\.sql$|/migrations/)"))).select(F.concat(F.lit("contract:"), "path").alias("contract_id"))
+    alike = changed.where(F.rlike("path", F.lit(CONTRACT_PATH))).select(F.concat(F.lit("contract:"), "path").alias("contract_id"))
     return hit.union(alike).distinct()
 
 
