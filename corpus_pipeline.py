@@ -73,5 +73,6 @@ STAGES = [("quality_rules", quality), ("ngram_join", dedup), ("pii", private), (
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir))
+        before, docs = docs, stash(stage(spark, docs, sf_dir))
+        discard(before)  # each stage reads what the one before it wrote, and nothing older
     return STAGES[-1][1](spark, docs, sf_dir)
