@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.operators import analytics as A
 from skein.operators import cyclic, intervals, search_index
-from skein.operators.loops import shared_dir
+from skein.operators.loops import settle, shared_dir
 from skein.plans.catalog import _QUERY, _TOKENS_SQL, _graph, _read
 from skein.plans.projection import WITH
-from skein.sources import binding, code
+from skein.sources import binding, code, versions
+from skein.sources.files import lines
 
 # One function for each order; each kind of line holds braces that are no braces, or more lines than one.
 _BODY = {
@@ -29,22 +31,61 @@ def _c(text: str, *cols):
     return F.concat(*out)
 
 
-def order_files(spark, sf_dir):
-    """(path, content): a file for each customer with a function for each order, a line or two for each item."""
+def _functions(spark, sf_dir):
+    """(o_custkey, o_orderkey, t): the text of a function for each order, a line or two for each item."""
     kinds = F.create_map(*(x for k, v in _BODY.items() for x in (F.lit(k), F.lit(v))))
     items = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     one = items.groupBy("o_custkey", "o_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("l"))
     body = F.array_join(F.transform("l", lambda x: kinds[x % 6]), "\n")
     one = one.select("o_custkey", "o_orderkey", F.concat(_c("export function o{}(x) {\n".replace("(x) {", "(x) \x01"), "o_orderkey"), body, F.lit("\n}")).alias("t"))
-    one = one.withColumn("t", F.regexp_replace("t", "\x01", "{"))
-    every = one.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "t"))).alias("f"))
-    return every.select(_c("src/c{}.ts", "o_custkey").alias("path"), F.array_join(F.transform("f", lambda x: x["t"]), "\n").alias("content"))
+    return one.withColumn("t", F.regexp_replace("t", "\x01", "{"))
 
 
-def _definition_spans(spark, sf_dir):
-    from skein.operators.loops import settle
-    from skein.sources.files import lines
+def _joined(functions):
+    """(o_custkey, content): a customer's functions in order."""
+    every = functions.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "t"))).alias("f"))
+    return every.select("o_custkey", F.array_join(F.transform("f", lambda x: x["t"]), "\n").alias("content"))
+
+
+def order_files(spark, sf_dir):
+    """(path, content): a file for each customer."""
+    return _joined(_functions(spark, sf_dir)).select(_c("src/c{}.ts", "o_custkey").alias("path"), "content")
+
+
+def order_versions(spark, sf_dir):
+    """Both versions of the customers' files: orders are added and taken away, signatures and bodies change, files are renamed."""
+    every, k = _functions(spark, sf_dir), F.col("o_orderkey")
+    text = F.when(k % 7 == 0, F.replace("t", F.lit("(x) {"), F.lit("(x, y) {"))).when(k % 5 == 0, F.replace("t", F.lit("(x) {"), F.lit("(x) {\n  y += 1;"))).otherwise(F.col("t"))
+    old = _joined(every.where(k % 11 != 0)).select("o_custkey", F.col("content").alias("old"))
+    new = _joined(every.where(k % 13 != 0).withColumn("t", text)).select("o_custkey", F.col("content").alias("new"))
+    was, moved = _c("src/c{}.ts", "o_custkey"), F.col("o_custkey") % 10 == 0
+    renamed = moved & F.col("old").isNotNull() & F.col("new").isNotNull()
+    status = F.when(F.col("old").isNull(), "A").when(F.col("new").isNull(), "D").when(moved, "R").otherwise("M")
+    path = F.when(moved & F.col("new").isNotNull(), _c("src/r{}.ts", "o_custkey")).otherwise(was)
+    both = old.join(new, "o_custkey", "full").select(status.alias("status"), path.alias("path"), F.when(renamed, was).alias("old_path"), "old", "new")
+    return both.unpivot(["status", "path", "old_path"], ["old", "new"], "side", "content").where("content is not null")
 
+
+def _diff_versions(part):
+    def run(spark, sf_dir):
+        f = _functions(spark, sf_dir).select(F.concat(_c("fn:src/c{}.ts", "o_custkey"), _c(":o{}", "o_orderkey")).alias("id"), "o_custkey", "o_orderkey")
+        nodes = f.select("id", F.lit("Function").alias("kind"), _c("o{}", "o_orderkey").alias("name"), _c("src/c{}.ts", "o_custkey").alias("path"))
+        calls = f.select(F.col("id").alias("src"), F.lead("id").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("dst")).where("dst is not null")
+        edges = calls.select(F.sha2(F.concat("src", "dst"), 256).alias("id"), F.lit("CALLS").alias("type"), "src", "dst", F.lit(1.0).alias("confidence"))
+        found = versions.diff_versions(settle(nodes), settle(edges), order_versions(spark, sf_dir), max_depth=2)[part]
+        return found.select("id", "change") if part == "symbols" else found.select("id", "depth")
+
+    return run
+
+
+_CHANGED_SQL = """with o as (select distinct o_custkey as c, o_orderkey as k from orders join lineitem on l_orderkey = o_orderkey),
+ s as (select *, 'fn:src/c' || c || '.ts:o' || k as was, 'fn:src/' || case when c % 10 = 0 then 'r' else 'c' end || c || '.ts:o' || k as id, k % 11 <> 0 as a, k % 13 <> 0 as b from o),
+ d as (select was as id, 'removed' as change from s where a and (not b or c % 10 = 0)
+   union all select id, 'added' from s where b and (not a or c % 10 = 0)
+   union all select id, case when k % 7 = 0 then 'signature_changed' else 'body_only' end from s where a and b and c % 10 <> 0 and (k % 7 = 0 or k % 5 = 0))"""
+
+
+def _definition_spans(spark, sf_dir):
     files = settle(order_files(spark, sf_dir))
     return code.definitions(settle(code.source_lines(files)), settle(lines(files))).select("path", "symbol", "kind", F.col("start_line").cast("long"), F.col("end_line").cast("long"))
 
@@ -128,6 +169,8 @@ _CALL_TYPES = "type in ('CALLS','IMPORTS','DEPENDS_ON')"
 _REACH_SQL = f", c as (select distinct src, dst from edges where {_CALL_TYPES} and src <> dst), x as (select src as start, dst as id from c where src like 'fn:orders%' union select start, dst from x join c on src = id)"
 
 ALL = {
+    "diff_versions": (_diff_versions("symbols"), _CHANGED_SQL + " select id, change from d"),
+    "diff_versions_impact": (_diff_versions("impact"), _CHANGED_SQL + ", w as (select was as id, was in (select id from d) as own, lead(own) over p as one, lead(own, 2) over p as two from (select was, c, k, was in (select id from d) as own from s) window p as (partition by c order by k)) select id, case when own then 0 when one then 1 else 2 end as depth from w where own or one or two"),
     "definition_spans": (_definition_spans, _SPANS_SQL),
     "call_cascade": (_call_cascade, _CASCADE_SQL),
     "module_suffixes": (_module_suffixes, "with f as (select 'src' || (p_partkey % 3) || '/p' || (p_partkey % 60) || '/m' || (p_partkey % 40) || '.py' as path, min(p_partkey) as seq from part group by all), t as (select distinct 'p' || (c_custkey % 70) || '/m' || (c_custkey % 41) || '.py' as target from customer), g as (select target, arg_min(path, seq) as file from t join f on ends_with(path, target) group by all) select c_custkey as id, 'p' || (c_custkey % 70) || '/m' || (c_custkey % 41) || '.py' as target, file from customer left join g on target = 'p' || (c_custkey % 70) || '/m' || (c_custkey % 41) || '.py'"),
