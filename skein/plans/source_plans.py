@@ -12,7 +12,7 @@ from skein.operators import cyclic, intervals, search_index
 from skein.operators.loops import settle, shared_dir
 from skein.plans.catalog import _QUERY, _TOKENS_SQL, _graph, _read
 from skein.plans.projection import WITH
-from skein.sources import binding, code, versions
+from skein.sources import binding, code, specs, versions
 from skein.sources.files import lines
 
 # One function for each order; each kind of line holds braces that are no braces, or more lines than one.
@@ -95,6 +95,59 @@ _SPANS_SQL = """with o as (select o_custkey, o_orderkey, 2 + count(*) + count(ca
  select 'src/c' || o_custkey || '.ts' as path, 'o' || o_orderkey as symbol, 'Function' as kind, cast(e - n + 1 as bigint) as start_line, cast(e as bigint) as end_line from s"""
 
 
+def compose_files(spark, sf_dir):
+    """(path, content): a Compose file for each nation, a service for each supplier; dependencies written in four ways."""
+    k = F.col("s_suppkey")
+    image = F.when(k % 3 == 0, _c('    image: "i{}:1"  # told\n', k % 11)).when(k % 3 == 1, _c("    image: i{}:1\n", k % 11)).otherwise("    environment: {A: 1, B: 'x # y'}\n")
+    ways = F.when(k % 4 == 0, _c("    depends_on:\n    - s{}\n    - 's{}'\n", k + 1, k + 2)).when(k % 4 == 1, _c("    depends_on:\n      - s{}\n\n      # none\n      - s{}\n", k + 1, k + 2))
+    ways = ways.when(k % 4 == 2, _c("    depends_on: [s{}, \"s{}\"]\n", k + 1, k + 2)).otherwise(_c("    depends_on:\n        s{}: {condition: up}\n        s{}:\n          condition: up\n", k + 1, k + 2))
+    text = F.concat(_c("  s{}:\n", k), image, F.lit("    command: |\n      depends_on:\n        - nothing\n"), ways)
+    every = _read(spark, sf_dir, "supplier").select("s_nationkey", k.alias("k"), text.alias("t")).groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("f"))
+    return every.select(_c("n{}/docker-compose.yml", "s_nationkey").alias("path"), F.concat(F.lit("version: '3'\nservices:\n"), F.array_join(F.transform("f", lambda x: x["t"]), "")).alias("content"))
+
+
+_COMPOSE_SQL = """select 'CONTAINS' as type, 'infra:n' || s_nationkey || '/docker-compose.yml' as src, 'svc:s' || s_suppkey as dst, 'service: s' || s_suppkey as snippet, 1.0::double as confidence from supplier
+ union all select 'DEPENDS_ON', 'svc:s' || s_suppkey, 'svc:s' || (s_suppkey + d), 'depends_on: s' || (s_suppkey + d), 1.0::double from supplier, (values (1), (2)) v(d)
+ union all select 'DEPENDS_ON', 'svc:s' || s_suppkey, 'ext:i' || (s_suppkey % 11) || ':1', 'image: i' || (s_suppkey % 11) || ':1', 1.0::double from supplier where s_suppkey % 3 < 2"""
+
+
+def api_files(spark, sf_dir):
+    """(path, content): a specification for each size, YAML or JSON, with an operation for each part."""
+    k = F.col("p_partkey")
+    yaml = F.when(k % 2 == 0, _c("  /p{}:\n    get:\n      summary: 'Part {}'\n      tags: [a, b]\n      responses:\n        '200':\n          content:\n            application/json:\n              schema:\n                properties:\n                  id: {type: string}\n                  t{}_id:\n                    type: string\n                  name:\n                    type: string\n".replace("{type: string}", "\x01"), k, k, k % 7))
+    yaml = yaml.otherwise(_c('  "/p{}":\n      parameters:\n      - name: k\n      post:\n          requestBody:\n              content:\n                  application/json:\n                      schema:\n                          properties:\n                              t{}_id:\n                                  type: string\n', k, k % 7))
+    got = F.concat(_c('"/p{}":\x02"get":\x02"summary":"Part {}","tags":["a","b"],"responses":\x02"200":\x02"content":\x02"application/json":\x02"schema":\x02"properties":\x02"id":\x02\x03,"t', k, k), _c('{}_id":\x02\x03,"name":\x02\x03\x03\x03\x03\x03\x03\x03\x03\x03', k % 7))
+    put = F.concat(_c('"/p{}":\x02"parameters":[\x02"name":"k"\x03],"post":\x02"requestBody":\x02"content":\x02"application/json":\x02"schema":\x02"properties":\x02"t', k), _c('{}_id":\x02\x03\x03\x03\x03\x03\x03\x03\x03', k % 7))
+    one = F.when(F.col("p_size") % 2 == 0, F.replace(yaml, F.lit("\x01"), F.lit("{type: string}"))).otherwise(F.translate(F.when(k % 2 == 0, got).otherwise(put), "\x02\x03", "{}"))
+    every = _read(spark, sf_dir, "part").select("p_size", k.alias("k"), one.alias("t")).groupBy("p_size").agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("f"))
+    texts = F.transform("f", lambda x: x["t"])
+    yaml_file = F.concat(_c("openapi: 3.0.1\ninfo:\n  title: Size {}\npaths:\n", "p_size"), F.array_join(texts, ""))
+    json_file = F.concat(F.translate(_c('\x02"swagger":"2.0","info":\x02"title":"Size {}"\x03,"paths":\x02', "p_size"), "\x02\x03", "{}"), F.array_join(texts, ","), F.lit("}}"))
+    even = F.col("p_size") % 2 == 0
+    return every.select(F.when(even, _c("api/openapi{}.yaml", "p_size")).otherwise(_c("api/swagger{}.json", "p_size")).alias("path"), F.when(even, yaml_file).otherwise(json_file).alias("content"))
+
+
+def _spec_edges(files, part):
+    def run(spark, sf_dir):
+        nodes, edges = specs.all_specs(settle(files(spark, sf_dir)))
+        if part == "nodes":
+            return nodes.select("id", "kind", "name", "path", "signature", F.col("metadata")["format"].alias("format"), F.col("metadata")["tags"].alias("tags"))
+        return edges.select("type", "src", "dst", F.col("evidence")[0]["snippet"].alias("snippet"), "confidence")
+
+    return run
+
+
+_API_WITH = """with p as (select p_partkey as k, p_size as z, case when p_size % 2 = 0 then 'api/openapi' || p_size || '.yaml' else 'api/swagger' || p_size || '.json' end as path, case when p_partkey % 2 = 0 then 'GET' else 'POST' end as m from part),
+ a as (select *, 'api:' || m || ':/p' || k as id, m || ' /p' || k as name from p)"""
+_API_EDGES_SQL = _API_WITH + """ select 'DOCUMENTS' as type, 'contract:' || path as src, id as dst, name as snippet, 1.0::double as confidence from a
+ union all select 'CONSUMES', id, 'table:t' || (k % 7), 'requestBody.t' || (k % 7) || '_id', 0.7::double from a where m = 'POST'
+ union all select 'READS', id, 'table:t' || (k % 7), 'response.200.t' || (k % 7) || '_id', 0.6::double from a where m = 'GET'
+ union all select 'READS', id, 'table:id', 'response.200.id', 0.6::double from a where m = 'GET'"""
+_API_NODES_SQL = _API_WITH + """ select distinct 'contract:' || path as id, 'Contract' as kind, 'Size ' || z as name, path, null as signature, case when z % 2 = 0 then 'openapi' else 'swagger' end as format, null as tags from a
+ union all select distinct 'doc:' || path, 'Doc', 'Size ' || z, path, null, null, null from a
+ union all select id, 'API', name, path, case when m = 'GET' then 'Part ' || k else name end, null, case when m = 'GET' then 'a,b' end from a"""
+
+
 def _call_cascade(spark, sf_dir):
     line, s = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "supplier")
     of = lambda c: _c("src/f{}.ts", c)
@@ -171,6 +224,9 @@ _REACH_SQL = f", c as (select distinct src, dst from edges where {_CALL_TYPES} a
 ALL = {
     "diff_versions": (_diff_versions("symbols"), _CHANGED_SQL + " select id, change from d"),
     "diff_versions_impact": (_diff_versions("impact"), _CHANGED_SQL + ", w as (select was as id, was in (select id from d) as own, lead(own) over p as one, lead(own, 2) over p as two from (select was, c, k, was in (select id from d) as own from s) window p as (partition by c order by k)) select id, case when own then 0 when one then 1 else 2 end as depth from w where own or one or two"),
+    "compose_edges": (_spec_edges(compose_files, "edges"), _COMPOSE_SQL),
+    "api_edges": (_spec_edges(api_files, "edges"), _API_EDGES_SQL),
+    "api_nodes": (_spec_edges(api_files, "nodes"), _API_NODES_SQL),
     "definition_spans": (_definition_spans, _SPANS_SQL),
     "call_cascade": (_call_cascade, _CASCADE_SQL),
     "module_suffixes": (_module_suffixes, "with f as (select 'src' || (p_partkey % 3) || '/p' || (p_partkey % 60) || '/m' || (p_partkey % 40) || '.py' as path, min(p_partkey) as seq from part group by all), t as (select distinct 'p' || (c_custkey % 70) || '/m' || (c_custkey % 41) || '.py' as target from customer), g as (select target, arg_min(path, seq) as file from t join f on ends_with(path, target) group by all) select c_custkey as id, 'p' || (c_custkey % 70) || '/m' || (c_custkey % 41) || '.py' as target, file from customer left join g on target = 'p' || (c_custkey % 70) || '/m' || (c_custkey % 41) || '.py'"),
