@@ -386,9 +386,9 @@ def _impact_full(spark, sf_dir):
 
 
 def _every() -> dict:
-    from skein.plans import more, source_plans
+    from skein.plans import more, scan_plans, source_plans
 
-    return _ALL | more.ALL | source_plans.ALL
+    return _ALL | more.ALL | source_plans.ALL | scan_plans.ALL
 
 
 def queries() -> dict:
