@@ -63,12 +63,14 @@ def called(src: DataFrame) -> DataFrame:
 def suffix_modules(targets: DataFrame, files: DataFrame, target: str = "target") -> DataFrame:
     """targets with `file`: the first file (by seq) of files (path, seq) whose path ends with the target, else null.
 
-    Each path is written once for each of its tails, and meets the targets that are asked for by an equi-join; the first
-    is a minimum, combined before the shuffle. A null or empty target has no file."""
+    Each distinct path is written once for each of its tails, and meets the targets that are asked for by an equi-join; the
+    first is a minimum, combined before the shuffle. Tails are many times what their table's size tells, so both joins are
+    merges: neither side is ever sent through the driver. A null or empty target has no file."""
     asked = targets.where(F.col(target) != "").select(F.col(target).alias("_t")).distinct()
-    tails = files.select("path", "seq", F.explode(F.transform(F.sequence(F.lit(1), F.length("path")), lambda i: F.substring(F.col("path"), i, F.length("path")))).alias("_t")).where("path <> ''")
-    first = tails.join(asked, "_t").groupBy("_t").agg(F.min(F.struct("seq", "path")).alias("_f")).select("_t", F.col("_f.path").alias("file"))
-    return targets.join(first, targets[target] == first["_t"], "left").drop("_t")
+    once = files.groupBy("path").agg(F.min(F.struct("seq"))["seq"].alias("seq"))
+    tails = once.select("path", "seq", F.explode(F.transform(F.sequence(F.lit(1), F.length("path")), lambda i: F.substring(F.col("path"), i, F.length("path")))).alias("_t")).where("path <> ''")
+    first = tails.hint("merge").join(asked, "_t").groupBy("_t").agg(F.min(F.struct("seq", "path")).alias("_f")).select("_t", F.col("_f.path").alias("file"))
+    return targets.join(first.hint("merge"), targets[target] == first["_t"], "left").drop("_t")
 
 
 def _function(path: Column, name: Column) -> Column:

@@ -207,3 +207,12 @@ def test_cycles_of_any_length(spark):
     assert {r["id"] for r in A.cycle_members(e, 5).collect()} == {"r03", "r04", "r05"}
     assert [(r["length"], r["path"][0]) for r in A.cycles(e).collect()] == [(3, "r03"), (20, "r00")]
     assert A.cycles(e.where("type = 'READS'")).count() == 0
+
+
+def test_suffix_tails_are_not_broadcast(spark):
+    """The files' table is small and its tails are not: the driver holds neither them nor the files found."""
+    files = spark.createDataFrame([("src/a/m.py", 2), ("lib/a/m.py", 1), ("lib/a/m.py", 3)], "path string, seq long")
+    targets = spark.range(200_000).select(F.concat(F.lit("a/m"), F.when(F.col("id") % 2 == 0, "").otherwise(F.col("id").cast("string")), F.lit(".py")).alias("target"))
+    found = binding.suffix_modules(targets, files)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.groupBy("file").count().collect()), key=str) == sorted([("lib/a/m.py", 100_000), (None, 100_000)], key=str)
