@@ -8,6 +8,7 @@ from skein.operators import changes as C
 from skein.operators import paths as P
 from skein.operators import snapshot as N
 from skein.operators.composite import target_of
+from skein.plans import catalog
 
 NODES = "id string, kind string, name string, path string, tags array<string>"
 EDGES = "id string, type string, src string, dst string"
@@ -101,6 +102,33 @@ def test_replace_and_transaction(spark, small, tmp_path):
     assert N.read(spark, at)[0].count() == n.where("kind = 'Function'").count() and N.read(spark, at)[1].count() == e.count()
 
 
+def test_versions_of_a_stored_graph(spark, small, tmp_path):
+    n, e = small
+    at = f"file://{tmp_path}/v"
+    assert N.version(spark, at) == 0
+    N.replace(at, n, e)
+    N.transaction(spark, at, lambda g: (g[0].where("kind = 'Function'"), g[1]))
+    with pytest.raises(ZeroDivisionError):
+        N.transaction(spark, at, lambda g: 1 / 0)
+    assert N.version(spark, at) == 2
+
+    def overtaken(g):
+        N.replace(at, n, e)
+        return g[0].limit(0), g[1]
+
+    with pytest.raises(RuntimeError, match="version 2"):
+        N.transaction(spark, at, overtaken)
+    assert N.version(spark, at) == 3 and N.read(spark, at)[0].count() == n.count()
+
+
+def test_replaced_graph_tells_sizes_and_version(spark):
+    rows = catalog.queries()["replaced_graph"](spark, "/root/testdata/sf0.001").collect()
+    for item in ("nodes", "edges"):
+        own = [r for r in rows if r["item"] == item]
+        assert [r["n"] for r in own if r["of"] is None] == [sum(r["n"] for r in own if r["of"] is not None)]
+    assert {r["version"] for r in rows} == {2}
+
+
 def test_snapshots(spark, small, tmp_path):
     n, e = small
     at = f"file://{tmp_path}/context"
