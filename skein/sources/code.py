@@ -11,8 +11,8 @@ from skein.operators.loops import settle
 from skein.operators.mining import resolve_imports
 from skein.operators.store import close_graph
 from skein.sources import binding
-from skein.sources.files import evidence, is_test, language, lines
-from skein.sources.spans import brace_ends, indent_ends, masked_lines
+from skein.sources.files import evidence, is_test, language
+from skein.sources.spans import brace_ends, indent_ends, masked_files
 
 # Fixed values: (languages, kind, pattern with the name as its first group, confidence); the first that matches a line counts.
 DEFINITIONS = (
@@ -80,21 +80,27 @@ PREFIX = {"Function": "fn", "Method": "fn", "Class": "cls", "Interface": "iface"
 
 def source_lines(files: DataFrame) -> DataFrame:
     """(path, lang, line_no, text), embedded texts blanked."""
-    return masked_lines(lines(files)).withColumn("lang", language(F.col("path")))
+    return masked_files(files.select("path", language(F.col("path")).alias("lang"), "content")).select("path", "lang", "line_no", "text")
 
 
-def definitions(src: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+def definitions(src: DataFrame, raw: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """(id, kind, symbol, path, lang, start_line, end_line, signature, confidence) of functions, methods, classes and tables.
 
-    raw: the lines (path, line_no, text) before embedded texts were blanked, in which braces are looked for."""
-    hit = F.lit(None).cast("struct<kind:string,symbol:string,confidence:double>")
-    for langs, kind, rx, conf in reversed(DEFINITIONS):
-        name = F.regexp_extract("text", rx, 1)
-        ok = F.col("lang").isin(*langs.split()) & (name != "") & ~name.isin(*NOT_CALLS)
-        hit = F.when(ok, F.struct(F.lit(kind).alias("kind"), name.alias("symbol"), F.lit(conf).alias("confidence"))).otherwise(hit)
-    d = settle(src.withColumn("d", hit).where("d is not null").select("path", "lang", "line_no", "text", "d.*"))
+    raw: the lines (path, line_no, text) before embedded texts were blanked, in which braces are looked for; or the files
+    (path, content) themselves."""
+    def hit(x):
+        out = F.lit(None).cast("struct<kind:string,symbol:string,confidence:double>")
+        for langs, kind, rx, conf in reversed(DEFINITIONS):
+            name = F.regexp_extract(x["text"], rx, 1)
+            ok = x["lang"].isin(*langs.split()) & (name != "") & ~name.isin(*NOT_CALLS)
+            out = F.when(ok, F.struct(F.lit(kind).alias("kind"), name.alias("symbol"), F.lit(conf).alias("confidence"))).otherwise(out)
+        return out
+
+    # as a function of an array's element: the patterns together make a method too long for the JVM to compile
+    found = F.filter(F.transform(F.array(F.struct("lang", "text")), hit), lambda x: x.isNotNull())
+    d = settle(src.select("path", "lang", "line_no", "text", F.explode(found).alias("d")).select("path", "lang", "line_no", "text", "d.*"))
     braced = F.col("lang").isin(*BRACED)
-    ends = brace_ends(src if raw is None else raw, d.where(braced)).unionByName(indent_ends(src, d.where(~braced)))
+    ends = brace_ends(src if raw is None else raw, d.where(braced), files).unionByName(indent_ends(src.where(~braced), d.where(~braced)))
     d = d.join(settle(ends), ["path", "line_no"])
     prefix = F.create_map(*(F.lit(x) for kv in PREFIX.items() for x in kv))[F.col("kind")]
     id_ = F.when(F.col("kind") == "Table", F.concat(F.lit("table:"), "symbol")).otherwise(F.concat(prefix, F.lit(":"), "path", F.lit(":"), "symbol"))
@@ -162,7 +168,7 @@ def bound(src: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame, Dat
 def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of source files (path, content): one closed graph, the first evidence of each edge."""
     src = settle(source_lines(files))  # written between the passes, as each is read many times
-    defs = settle(definitions(src, settle(lines(files))))
+    defs = settle(definitions(src, files=files))
     named = lambda d, kind: d.select("id", F.lit(kind).alias("kind"), "name", "path")
     nodes = files.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("File").alias("kind"), F.substring_index("path", "/", -1).alias("name"), "path", language(F.col("path")).alias("lang"))
     nodes = nodes.unionByName(defs.select("id", "kind", F.col("symbol").alias("name"), "path", "lang", "signature", "start_line", "end_line"), allowMissingColumns=True)

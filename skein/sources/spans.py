@@ -1,16 +1,15 @@
-"""Where definitions end (P8, P9): a lexer as a scan in columns, and ends as next-lower depths.
+"""Where definitions end (P8, P9): a file's text read whole by one pattern, and ends as next-lower depths.
 
-What a line does to the lexer's state is a map from each state at its beginning to one at its end, written as a string of
-digits; composing two maps is translate(). The states at all lines of a file come from log2(lines) window functions, each of which
-composes maps that lie 2^k lines apart (one shuffle for all of them, as the windows share their order). With the state at its beginning
-known, a line's strings and comments are cut away by one pattern, which leaves its braces.
+A definition begins in code, so that a stray quote above it does no harm: a mark before it ends what is open. Between two
+marks one pattern cuts strings and comments away, which leaves the braces, each with its line's number. As surveyed, a
+quote lasts beyond its line, and a backslash takes the next character in code and in comments too, be it on the next line.
 
-States: 0 code, 1 to 3 inside ' " `, 4 inside a block comment; 5 to 9 the same after a backslash at a line's end, which takes the
-next character with it. A definition begins in code: the state is set to 0 before its line, so that a stray quote
-above it does no harm. As surveyed, a quote lasts beyond its line, and a backslash takes the next character in code and in comments too.
+Most definitions are closed before the next one begins: a sum over their own braces finds the end in the file's row. In files
+where one is not, the braces in order, with definitions between them, give depths by a running sum; a definition ends at the
+first closing brace after it that comes back to its own depth, which one window finds (the last such brace seen from the end).
 
-The braces in order, with definitions between them, give depths by a running sum; a definition ends at the first closing brace
-after it that comes back to its own depth, which one window finds (the last such brace seen from the end)."""
+What embeds other texts (masked_lines) is read line by line in the file's row: a line maps the state at its beginning, 0 code,
+1 a template, 2 a block comment, to the one at its end, and a fold over the lines follows it."""
 
 from __future__ import annotations
 
@@ -20,97 +19,104 @@ from pyspark.sql import functions as F
 from skein.operators.loops import settle
 
 _SHORT, _TEMPLATE = "|".join(rf"{q}[^{q}\\]*+(?:\\.[^{q}\\]*+)*+{q}" for q in ("'", '"')), r"`[^`\\]*+(?:\\.[^`\\]*+)*+`"
-#: Whole constructs leave nothing; a line comment leaves //, an open construct its opener, and both end the line.
-LEXEME = rf"(?s)(//).*+|/\*(?:[^*/\\]++|\\.|/\*|/|\*(?!/))*+\*/|{_SHORT}|{_TEMPLATE}|(['\"`]|/\*).*+|\\.?"
-#: The same for what embeds other texts: a comment's inner /* counts for nothing. In TEMPLATES any template is an open one.
+#: Whole constructs leave nothing; a line comment leaves //, an open construct its opener, and both end the line. A comment's
+#: inner /* counts for nothing here. In TEMPLATES any template is an open one.
 EMBEDDED = rf"(?s)(//).*+|/\*(?:[^*\\]++|\\.|\*(?!/))*+\*/|{_SHORT}|{_TEMPLATE}|(['\"`]|/\*).*+|\\.?"
 TEMPLATES = EMBEDDED.replace(f"|{_TEMPLATE}", "")
 OPENERS = ("", "'", '"', "`", "/*")
-IDENTITY = "0123456789"
+#: What follows a brace before its line's number, and what stands before a definition's line.
+BRACE_AT, RESTART = "\x01", "\x03"
+_ESC = rf"\\\n*+[^\n{RESTART}]?"
+_QUOTED = "|".join(rf"{q}[^{q}\\{RESTART}]*+(?:{_ESC}[^{q}\\{RESTART}]*+)*+{q}" for q in ("'", '"', "`"))
+#: The same for whole texts, where quotes last beyond their line, an inner /* is passed over, and a restart ends all that is open.
+WHOLE = rf"//[^\n{RESTART}]*+|/\*(?:[^*/\\{RESTART}]++|{_ESC}|/\*|/|\*(?!/))*+\*/|{_QUOTED}|(?:['\"`]|/\*)[^{RESTART}]*+|{_ESC}"
 #: Lines that a span without a closing brace goes on for. Fixed value.
 OPEN_LINES = 100
 
 
-def stripped(text: Column, state: int, lexeme: str = LEXEME) -> Column:
+def stripped(text: Column, state: int, lexeme: str) -> Column:
     """What is left of a line's text that begins in a state: code, then // or the opener of what stays open."""
-    own = F.substring(text, F.lit(2), F.length(text)) if state >= 5 else text
-    return F.regexp_replace(F.concat(F.lit(OPENERS[state % 5]), own), lexeme, " $1$2")  # the blank keeps apart what a construct stood between
+    return F.regexp_replace(F.concat(F.lit(OPENERS[state]), text), lexeme, " $1$2")  # the blank keeps apart what a construct stood between
 
 
-def after(text: Column, state: int) -> Column:
-    """The state, a digit, behind a line that begins in a state."""
-    left = stripped(text, state)
-    mode = F.lit("0")
-    for digit, opener in enumerate(OPENERS[1:], 1):
-        mode = F.when(F.endswith(left, F.lit(opener)), F.lit(str(digit))).otherwise(mode)
-    own = F.substring(text, F.lit(2), F.length(text)) if state >= 5 else text
-    escaped = (F.length(F.regexp_extract(own, r"(\\*)$", 1)) % 2 == 1) & ~F.endswith(left, F.lit("//"))
-    out = F.when(escaped, F.translate(mode, "01234", "56789")).otherwise(mode)
-    return F.when(text == "", F.lit(str(state))).otherwise(out) if state >= 5 else out
+def _once(d: DataFrame, **made: Column) -> DataFrame:
+    """d with more columns, each worked out once a row however often it is used afterwards."""
+    one = F.explode(F.array(F.struct(*(c.alias(k) for k, c in made.items())))).alias("_one")
+    return d.select("*", one).select(*d.columns, *(F.col(f"_one.{k}").alias(k) for k in made))
 
 
-def scan(d: DataFrame) -> DataFrame:
-    """d (path, line_no, does, ...) with `state`, at the beginning of each line, of a file that begins in state 0.
+def _masked(d: DataFrame) -> DataFrame:
+    """d (lines: array<string>, a file in each row) with the lines blanked as masked_lines() says."""
+    behind = lambda x, i: F.length(F.regexp_extract(stripped(x, i, EMBEDDED), r"(`|/\*)$", 1)).cast("string")  # noqa: E731  the opener's length is the state
+    marked = lambda x: F.rlike(x, F.lit(r"`|/\*|\*/"))
+    does = lambda x: F.when(~marked(x), "012").otherwise(F.concat(behind(x, 0), behind(x, 3), behind(x, 4)))
+    opens = lambda x: F.contains(x, F.lit("`")) & F.endswith(stripped(x, 0, TEMPLATES), F.lit("`"))
+    d = _once(d, _l=F.when(F.exists("lines", marked), F.transform("lines", lambda x: F.struct(does(x).alias("does"), opens(x).alias("opens")))))
+    first = F.struct(F.lit("").alias("s"), F.lit(0).alias("at"))
+    step = lambda a, x: F.struct(F.concat(a["s"], a["at"].cast("string")).alias("s"), F.substring(x["does"], a["at"] + 1, F.lit(1)).cast("int").alias("at"))
+    states = F.split(F.aggregate("_l", first, step)["s"], "")
+    hidden = F.zip_with("_l", states, lambda x, y: x["opens"] | (y != "0"))
+    shown = F.zip_with("lines", hidden, lambda x, h: F.when(h, F.lit("")).otherwise(x))
+    return d.withColumn("lines", F.when(F.col("_l").isNull(), F.col("lines")).otherwise(shown)).drop("_l")
 
-    does: the states behind a line for each state before it, as a string of ten digits."""
-    d = settle(d)
-    longest = d.agg(F.max("line_no")).first()[0] or 1
-    w = Window.partitionBy("path").orderBy("line_no")
-    out, step = d.withColumn("_s", F.lag("does", 1, IDENTITY).over(w)), 1
-    while step < longest:
-        out = out.withColumn("_s", F.call_function("translate", F.lag("_s", step, IDENTITY).over(w), F.lit(IDENTITY), F.col("_s")))
-        step *= 2
-    return out.withColumn("state", F.substring("_s", 1, 1).cast("int")).drop("does", "_s")
 
-
-PLAIN = r"[\\'\"`/]|\*/"
-
-
-def line_states(src: DataFrame, restarts: DataFrame) -> DataFrame:
-    """src (path, line_no, text) with the state at each line's beginning; restarts (path, line_no) begin in code."""
-    same = F.when(F.col("text") == "", F.lit(IDENTITY)).otherwise(F.lit("0123401234"))
-    does = F.when(~F.rlike("text", F.lit(PLAIN)), same).otherwise(F.concat(*(after(F.col("text"), s) for s in range(10))))
-    begun = restarts.select("path", (F.col("line_no") - 1).alias("line_no"), F.lit(True).alias("_reset")).distinct()
-    d = src.join(begun, ["path", "line_no"], "left").withColumn("does", F.when(F.col("_reset"), F.lit("0" * 10)).otherwise(does))
-    return scan(d.drop("_reset"))
+def masked_files(files: DataFrame) -> DataFrame:
+    """(path, ..., line_no, text) of files (path, content, ...), lines from 1, blanked as masked_lines() says."""
+    d = _masked(files.withColumn("lines", F.split("content", "\r?\n")).drop("content"))
+    return d.select(*(c for c in d.columns if c != "lines"), F.posexplode("lines").alias("_p", "text")).withColumn("line_no", F.col("_p") + 1).drop("_p")
 
 
 def masked_lines(src: DataFrame) -> DataFrame:
     """src (path, line_no, text) with the text blanked of lines that begin inside a template or a block comment, or open a template.
 
     Quotes and backslashes end with their line here, as surveyed."""
-    behind = lambda s: F.when(F.endswith(stripped(F.col("text"), s, EMBEDDED), F.lit("`")), F.lit("3")).when(F.endswith(stripped(F.col("text"), s, EMBEDDED), F.lit("/*")), F.lit("4")).otherwise(F.lit("0"))
-    does = F.when(~F.rlike("text", F.lit(PLAIN)), F.lit("0003400034")).otherwise(F.concat(behind(0), F.lit("00"), behind(3), behind(4), F.lit("0" * 5)))
-    d = scan(src.withColumn("does", does))
-    hidden = F.col("state").isin(3, 4) | (F.contains("text", F.lit("`")) & F.endswith(stripped(F.col("text"), 0, TEMPLATES), F.lit("`")))
-    return d.withColumn("text", F.when(hidden, F.lit("")).otherwise(F.col("text"))).drop("state")
-
-
-def braces(states: DataFrame) -> DataFrame:
-    """(path, line_no, pos, step): each brace in code, +1 or -1, in order."""
-    left = F.col("text")
-    for s in range(10):
-        left = F.when(F.col("state") == s, stripped(F.col("text"), s)).otherwise(left)
-    code = F.when(F.rlike("text", F.lit(PLAIN)) | (F.col("state") != 0), left).otherwise(F.col("text"))
-    kept = states.where(F.rlike("text", F.lit("[{}]"))).select("path", "line_no", F.regexp_replace(code, "[^{}]", "").alias("_b")).where("_b <> ''")
-    each = kept.select("path", "line_no", F.posexplode(F.split("_b", "")).alias("pos", "_c"))
-    return each.select("path", "line_no", "pos", F.when(F.col("_c") == "{", 1).otherwise(-1).alias("step"))
+    more = [c for c in src.columns if c not in ("path", "line_no", "text")]
+    d = src.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "text", *more))).alias("_r"))
+    d = _masked(d.withColumn("lines", F.transform("_r", lambda x: x["text"])))
+    both = d.select("path", F.explode(F.zip_with("_r", "lines", lambda x, y: F.struct(x.alias("r"), y.alias("t")))).alias("x"))
+    return both.select("path", *(F.col(f"x.r.{c}").alias(c) for c in ("line_no", *more)), F.col("x.t").alias("text")).select(*src.columns)
 
 
-def brace_ends(src: DataFrame, starts: DataFrame) -> DataFrame:
+def brace_ends(src: DataFrame, starts: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """starts (path, line_no), once each, with end_line: the line of the brace that closes what they open.
 
-    Without one, OPEN_LINES lines on or the file's last line, whichever is first. src holds all lines of the files."""
-    own = starts.select("path", "line_no").distinct()
-    used = src.join(own.select("path").distinct(), "path", "left_semi")
-    marks = own.select("path", "line_no", F.lit(-1).alias("pos"), F.lit(0).alias("step"))
-    events = braces(line_states(used, own)).unionByName(marks)
-    depth = events.withColumn("depth", F.sum("step").over(Window.partitionBy("path").orderBy("line_no", "pos")))
+    Without one, OPEN_LINES lines on or the file's last line, whichever is first. src holds all lines of the files; files
+    (path, content), where given, stands for it and saves bringing the lines together again."""
+    begun = starts.groupBy("path").agg(F.array_sort(F.collect_set("line_no")).alias("_starts"))
+    if files is None:
+        held = src.join(begun.select("path"), "path", "left_semi").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_l"))
+    else:
+        held = files.select("path", F.transform(F.split("content", "\r?\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("text"))).alias("_l"))
+    # each brace is followed by its line's number, and a mark stands before each definition: no construct reaches beyond it
+    own = lambda x: F.translate(x["text"], BRACE_AT + RESTART + "\n", "   ")
+    told = lambda x: F.when(F.rlike(x["text"], F.lit("[{}]")), F.regexp_replace(own(x), F.lit("([{}])"), F.concat(F.lit("$1" + BRACE_AT), x["line_no"].cast("string")))).otherwise(own(x))
+    rows = F.transform("_l", lambda x: F.struct(x["line_no"].cast("int").alias("n"), F.lit(1).alias("o"), F.concat(told(x), F.lit("\n")).alias("t")))
+    marks = F.transform("_starts", lambda n: F.struct(n.cast("int").alias("n"), F.lit(0).alias("o"), F.lit(RESTART).alias("t")))
+    text = F.array_join(F.transform(F.array_sort(F.concat(rows, marks)), lambda x: x["t"]), "")
+    parts = F.split(F.regexp_replace(text, WHOLE, " "), RESTART)
+    d = _once(held.join(begun, "path"), _parts=parts, _last=F.element_at("_l", -1)["line_no"])
+    d = _once(d.select("path", "_starts", "_last", F.slice("_parts", 2, F.size("_starts")).alias("_parts")), _b=F.transform("_parts", lambda x: F.regexp_extract_all(x, F.lit(rf"[{{}}]{BRACE_AT}[0-9]+"), F.lit(0))))
+    line = lambda x: F.substring(x, F.lit(3), F.length(x)).cast("int")
+    step = lambda a, x: F.struct((a["d"] + F.when(F.startswith(x, F.lit("{")), 1).otherwise(-1)).alias("d"), F.coalesce(a["e"], F.when(F.startswith(x, F.lit("}")) & (a["d"] == 1), line(x))).alias("e"))
+    none = F.struct(F.lit(0).alias("d"), F.lit(None).cast("int").alias("e"))
+    ends = F.transform("_b", lambda b: F.aggregate(b, none, step)["e"])
+    d = _once(d.select("path", "_starts", "_last", "_b"), _ends=ends)
+    open_ = F.exists("_ends", lambda x: x.isNull())
+    d = settle(d.select("path", "_last", "_ends", F.when(open_, F.col("_b")).alias("_b"), "_starts"))
+    closed = d.where("_b is null").select("path", F.explode(F.arrays_zip(F.col("_starts").alias("line_no"), F.col("_ends").alias("end_line"))).alias("x")).select("path", F.col("x.line_no").alias("line_no"), F.col("x.end_line").alias("end_line"))
+    return closed.unionByName(_nested_ends(d.where("_b is not null"), line))
+
+
+def _nested_ends(d: DataFrame, line) -> DataFrame:
+    """Ends in files where a definition is not closed before the next one begins: all their braces in order, as rows."""
+    one = d.select("path", F.explode(F.arrays_zip(F.col("_starts").alias("s"), F.col("_b").alias("b"))).alias("x"))
+    marks = one.select("path", F.col("x.s").alias("line_no"), F.lit(-1).alias("pos"), F.lit(0).alias("step"))
+    each = one.select("path", F.posexplode("x.b").alias("pos", "t")).select("path", line(F.col("t")).alias("line_no"), "pos", F.when(F.startswith("t", F.lit("{")), 1).otherwise(-1).alias("step"))
+    depth = each.unionByName(marks).withColumn("depth", F.sum("step").over(Window.partitionBy("path").orderBy("line_no", "pos")))
     back = Window.partitionBy("path", "depth").orderBy(F.desc("line_no"), F.desc("pos"))
     closing = F.last(F.when(F.col("step") == -1, F.col("line_no")), ignorenulls=True).over(back)
     ends = depth.withColumn("end_line", closing).where("step = 0").select("path", "line_no", "end_line")
-    last = used.groupBy("path").agg(F.max("line_no").alias("_last"))
-    return ends.join(last, "path").select("path", "line_no", F.coalesce("end_line", F.least(F.col("line_no") + OPEN_LINES, F.col("_last"))).alias("end_line"))
+    return ends.join(d.select("path", "_last"), "path").select("path", "line_no", F.coalesce("end_line", F.least(F.col("line_no") + OPEN_LINES, F.col("_last"))).alias("end_line"))
 
 
 def indent_ends(src: DataFrame, starts: DataFrame) -> DataFrame:

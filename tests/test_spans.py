@@ -216,3 +216,15 @@ def test_suffix_tails_are_not_broadcast(spark):
     found = binding.suffix_modules(targets, files)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.groupBy("file").count().collect()), key=str) == sorted([("lib/a/m.py", 100_000), (None, 100_000)], key=str)
+
+
+def test_lines_and_ends_of_files_in_their_own_rows(spark, rough):
+    """Blanking lines moves no row, and files given whole end as their lines do, across restarts and nested definitions."""
+    files = spark.createDataFrame([(p, "\n".join(ls)) for p, ls in rough], "path string, content string")
+    src = code.source_lines(files)
+    plan = src._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    assert {(r["path"], r["line_no"]): r["text"] for r in src.collect()} == {(p, i + 1): "" if h else ls[i] for p, ls in rough for i, h in enumerate(hidden(ls))}
+    starts = spark.createDataFrame([(p, i + 1) for p, ls in rough for i in range(len(ls)) if random.Random(p + str(i)).random() < 0.1], "path string, line_no int")
+    ends = lambda *more: sorted(map(tuple, spans.brace_ends(frame(spark, rough), starts, *more).collect()))
+    assert ends() == ends(files) and len(ends()) == starts.count()
