@@ -1,9 +1,12 @@
 """Facts of a small hand-built graph: store, traversals, insights and checks."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from skein.functions.ids import edge_id, kind_of
+from skein.operators.loops import settle
 from skein.operators import analytics as A
 from skein.operators import store as S
 from skein.operators import traverse as T
@@ -144,3 +147,31 @@ def test_node_fold_and_close(spark):
     e = spark.createDataFrame([("1", "a", "ext:z"), ("2", "a", "gone")], "id string, src string, dst string")
     nodes, kept = S.close_graph(S.fold_nodes(n), e)
     assert "ext:z" in ids(nodes) and ids(kept) == {"1"}
+
+
+def test_reach_towards_goals(spark):
+    """With goals the walk meets them as without, and what many starts meet alike but leads nowhere is not met by each."""
+    rng = random.Random(4)
+    kinds = ["Function", "Function", "Function", "API", "Event", "Table", "External", "Test"]
+    nodes = spark.createDataFrame([(f"n{i}", rng.choice(kinds), f"n{i}", None, []) for i in range(60)], "id string, kind string, name string, path string, tags array<string>")
+    types = ["CALLS", "CONSUMES", "SUBSCRIBES", "TESTS", "WRITES", "PUBLISHES", "EXPOSES"]
+    edges = spark.createDataFrame([(f"e{i}", rng.choice(types), f"n{rng.randrange(64)}", f"n{rng.randrange(64)}") for i in range(150)], "id string, type string, src string, dst string")
+    starts = nodes.where("id < 'n3'").select(F.col("id").alias("source"), "id")
+    rows = lambda df: sorted((r["source"], r["id"], r["depth"]) for r in df.collect())
+    for direction, depth in (("downstream", 3), ("downstream", 1), ("downstream", 0), ("upstream", 4)):
+        whole = T.impact(nodes, edges, starts, direction, depth)
+        for kind in ("Test", "API"):
+            assert rows(T.impact(nodes, edges, starts, direction, depth, kind=kind)) == rows(whole.where(F.col("kind") == kind))
+
+
+def test_rings_are_not_walked(spark, monkeypatch):
+    """A ring's length is its size; only a component with a chord is walked, in as many rounds as it has nodes."""
+    ring = [(f"r{i}", f"r{(i + 1) % 40}") for i in range(40)]
+    chord = [("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("c", "c"), ("a", "r0")]
+    edges = spark.createDataFrame([("CALLS", *x) for x in ring + chord], "type string, src string, dst string")
+    rounds = []
+    monkeypatch.setattr(A, "settle", lambda df: rounds.append(1) or settle(df))
+    got = {r["id"]: r["length"] for r in A.cycle_members(edges).collect()}
+    assert got == {f"r{i}": 40 for i in range(40)} | {"a": 2, "b": 2, "c": 3}
+    assert len(rounds) < 10
+    assert {r["id"] for r in A.cycle_members(edges, 3).collect()} == {"a", "b", "c"}
