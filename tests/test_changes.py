@@ -7,6 +7,7 @@ from skein.operators import analytics as A
 from skein.operators import changes as C
 from skein.operators import paths as P
 from skein.operators import snapshot as N
+from skein.operators import traverse as T
 from skein.operators.composite import target_of
 from skein.plans import catalog
 
@@ -159,3 +160,17 @@ def test_small_views_and_targets(spark, small):
     assert {r["kind"] for r in nodes.collect()} == {"Function", "Table", "Test"}
     d = spark.createDataFrame([("please modify checkout.total today",)], "q string")
     assert d.select(target_of(F.col("q"))).first()[0] == "checkout.total"
+
+
+def test_walks_write_no_steps(spark, small, monkeypatch):
+    """What is written between rounds is what was met, never the graph's edges once more."""
+    n, e = small
+    written = []
+    keep = T.settle
+    for m in (T, P):
+        monkeypatch.setattr(m, "settle", lambda df: written.append(set(df.columns)) or keep(df))
+    start = n.where("id = 'fn:a'").select(F.col("id").alias("source"), "id")
+    met = T.reach(n, e, start, max_depth=2)
+    assert T.impact_risks(n, e, met).where("kind = 'db_write'").count() == 1
+    assert [r["depth"] for r in P.shortest_paths(e, start, n.where("kind = 'Table'")).collect()] == [1]
+    assert not any("start_only" in w for w in written)
