@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from itertools import islice
+from json.decoder import scanstring
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skein.functions.ids import basename, edge_id
 from skein.operators.loops import settle
@@ -26,30 +29,90 @@ TERRAFORM = r"(?i)\.(tf|tfvars)$"
 NODE = "id string, kind string, name string, path string, signature string, metadata map<string,string>"
 
 
-@F.udf(T.ArrayType(T.StructType([T.StructField("trail", T.ArrayType(T.StringType())), T.StructField("value", T.StringType())])), useArrow=True)
-def _json_entries(text):
-    """Every entry of a JSON object as its trail and value; None for a text that is none."""
-    try:
-        top = json.loads(text)
-    except (ValueError, RecursionError):
-        return None
-    out, stack = [], [((), top)]
+_BLANK = re.compile(r"[ \t\n\r]*")
+_DECODER = json.JSONDecoder()
+#: Levels of a JSON text that are read entry by entry, and entries that are handed on at once. Fixed values.
+LEVELS, AT_ONCE = 2, 4096
+
+
+def _below(trail: tuple, top) -> Iterator[tuple]:
+    """Every entry of a value as its trail and value, the value itself first."""
+    stack = [(trail, top)]
     while stack:
         trail, x = stack.pop()
         if isinstance(x, dict | list) and x:
-            out += [(list(trail), None)] if trail else []
+            yield trail, None
             pairs = x.items() if isinstance(x, dict) else ((f"#{i}", v) for i, v in enumerate(x))
             stack += [((*trail, str(k)), v) for k, v in pairs]
-        elif trail:
-            out.append((list(trail), None if x is None or x == "" else x if isinstance(x, str) else json.dumps(x)))
-    return out
+        else:
+            yield trail, None if x is None or x == "" else x if isinstance(x, str) else json.dumps(x)
+
+
+def _read(text: str, at: int, trail: tuple, last: dict, tell: bool | None) -> Iterator[tuple]:
+    """The entries of the value at a place, where tell; returns the place behind it. last: where a key's value begins that counts,
+    filled in where tell is None."""
+    skip = lambda i: _BLANK.match(text, i).end()
+    inner = skip(at + 1)
+    if len(trail) >= LEVELS or text[at : at + 1] != "{" or text[inner : inner + 1] == "}":
+        value, end = _DECODER.raw_decode(text, at)
+        if tell:
+            yield from _below(trail, value)
+        return end
+    if tell:
+        yield trail, None
+    while True:
+        if text[inner : inner + 1] != '"':
+            raise ValueError("a key is missing")
+        key, at = scanstring(text, inner + 1, True)
+        at = skip(at)
+        if text[at : at + 1] != ":":
+            raise ValueError("a colon is missing")
+        at, own = skip(at + 1), (*trail, key)
+        now = tell and last[own] == at
+        if tell is None:
+            last[own] = at
+        at = skip((yield from _read(text, at, own, last, now)))
+        if text[at : at + 1] == "}":
+            return at + 1
+        if text[at : at + 1] != ",":
+            raise ValueError("a comma is missing")
+        inner = skip(at + 1)
+
+
+def json_entries(text: str) -> Iterator[tuple]:
+    """Every entry of a JSON object as its trail and value; none of a text that is no JSON.
+
+    The text is read twice, first to see that it is whole and which of equal keys counts (the last); a value on the third
+    level is held at a time, not all of the text's values."""
+    last: dict = {}
+
+    def whole():
+        end = yield from _read(text, _BLANK.match(text).end(), (), last, None)
+        if _BLANK.match(text, end).end() < len(text):
+            raise ValueError("more than one value")
+
+    try:
+        for _ in whole():
+            pass
+    except (ValueError, RecursionError):
+        return
+    yield from ((list(t), v) for t, v in _read(text, _BLANK.match(text).end(), (), last, True) if t)
+
+
+def _entry_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.schema([("path", pa.string()), ("trail", pa.list_(pa.string())), ("value", pa.string())])
+    for b in batches:
+        for path, text in zip(b.column(0), b.column(1)):
+            rows = json_entries(text.as_py())
+            while some := list(islice(rows, AT_ONCE)):
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * len(some), pa.string()), pa.array([t for t, _ in some], pa.list_(pa.string())), pa.array([v for _, v in some], pa.string())], schema=kind)
 
 
 def entries(files: DataFrame) -> DataFrame:
     """(path, line, trail, value) of YAML and JSON documents. A file of several documents has no rows; JSON has no lines (0)."""
     f = files.where("content is not null")
     is_json = F.rlike("content", F.lit(r"^\s*\{")) & F.rlike("content", F.lit(r"\}\s*$"))
-    j = f.where(is_json).select("path", F.explode(_json_entries("content")).alias("e")).select("path", F.lit(0).alias("line"), "e.*")
+    j = f.where(is_json).select("path", "content").mapInArrow(_entry_batches, "path string, trail array<string>, value string").select("path", F.lit(0).alias("line"), "trail", "value")
     y = settle(outline(f.where(~is_json)))
     many = y.groupBy("path").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
     return j.unionByName(y.join(many, "path", "left_anti").select("path", "line", "trail", "value"))

@@ -1,6 +1,8 @@
 """Indented documents as rows, and the graphs of specifications."""
 
 import json
+import random
+import tracemalloc
 
 import pytest
 
@@ -232,3 +234,44 @@ def test_seed(spark):
     }
     assert {r["id"] for r in critical.collect()} == {"shop", "nowhere"}
     assert [r["id"] for r in specs.resolve_critical(nodes, critical).collect()] == ["svc:shop"]
+
+
+def test_json_entries_are_read_bit_by_bit(spark):
+    """Entries are those of the parsed text, whatever its keys repeat and wherever it breaks; no text's values are all held at once."""
+
+    def held(text):
+        try:
+            stack = [((), json.loads(text))]
+        except ValueError:
+            return []
+        out = []
+        while stack:
+            trail, x = stack.pop()
+            if isinstance(x, dict | list) and x:
+                stack += [((*trail, k), v) for k, v in (x.items() if isinstance(x, dict) else ((f"#{i}", v) for i, v in enumerate(x)))]
+                out.append((list(trail), None))
+            else:
+                out.append((list(trail), None if x is None or x == "" else x if isinstance(x, str) else json.dumps(x)))
+        return [o for o in out if o[0]]
+
+    rng = random.Random(6)
+
+    def value(d):
+        r = rng.random()
+        if d > 4 or r < 0.3:
+            return rng.choice(["1", "2.50", "null", "true", '"x"', '""', "{}", "[]", '"\\n"'])
+        if r < 0.8:
+            return "{" + " , ".join(f'"{rng.choice("abcd")}" :{value(d + 1)}' for _ in range(rng.randint(1, 4))) + "}"
+        return "[" + ",".join(value(d + 1) for _ in range(rng.randint(1, 3))) + " ]"
+
+    for _ in range(3000):
+        text = value(0)
+        k = rng.randrange(len(text))
+        for t in (text, text[:k] + rng.choice('{}[],:" x') + text[k + 1 :]):
+            assert sorted(map(repr, specs.json_entries(t))) == sorted(map(repr, held(t)))
+    big = '{"paths":{' + ",".join(f'"/p{i}":{{"get":{{"tags":["a"],"x":{{"y":{i}}}}}}}' for i in range(60_000)) + "}}"
+    tracemalloc.start()
+    n = sum(1 for _ in specs.json_entries(big))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1 + 60_000 * 6 and peak < 25 * len(big) // 3
