@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.ids import edge_id
 from skein.operators import intervals
 from skein.operators.loops import settle
-from skein.operators.mining import resolve_imports
+from skein.operators.mining import bodies, resolve_imports
 from skein.operators.store import close_graph
 from skein.sources import binding
 from skein.sources.files import evidence, is_test, language
-from skein.sources.spans import brace_ends, indent_ends, masked_files
+from skein.sources.spans import brace_ends, closings, file_lines, hidden, indent_ends, masked_files, nested_ends, once
 
 # Fixed values: (languages, kind, pattern with the name as its first group, confidence); the first that matches a line counts.
 DEFINITIONS = (
@@ -75,6 +75,15 @@ EVENT = r"\.(emit|publish|subscribe)\s*\(\s*['\"`]([^'\"`]+)['\"`]"
 TEST = r"(?:\b(?:it|test|describe)\s*\(\s*['\"`]([^'\"`]+)['\"`])|(?:^\s*(?:async\s+)?def\s+(test_\w+)\s*\()|(?:void\s+(test\w+)\s*\()"
 # Languages whose definitions end with a brace; the others end by indentation.
 BRACED = ("typescript", "javascript", "java", "go", "rust", "php", "swift", "kotlin", "scala", "csharp", "c", "cpp", "shell", "prisma")
+#: Parts of a line without which these patterns cannot match: looked for before the pattern is tried. Fixed values.
+PARTS = {
+    r"(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\(": ("function",),
+    r"(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:\([^)]*\)|\w+)\s*=>": ("=>",),
+    r"static\s+(?:async\s+)?(\w+)\s*\(([^)]*)\)": ("static",),
+    r"^\s+(?:async\s+)?(\w+)\s*\(([^)]*)\)\s*(?::\s*\S+)?\s*\{": ("(", ")", "{"),
+    r"(?:export\s+)?(?:abstract\s+)?class\s+(\w+)": ("class",),
+    r"(?:export\s+)?interface\s+(\w+)": ("interface",),
+}
 PREFIX = {"Function": "fn", "Method": "fn", "Class": "cls", "Interface": "iface", "Table": "table"}
 
 
@@ -83,28 +92,72 @@ def source_lines(files: DataFrame) -> DataFrame:
     return masked_files(files.select("path", language(F.col("path")).alias("lang"), "content")).select("path", "lang", "line_no", "text")
 
 
+def _hit(text: Column, lang: Column | None = None, patterns=DEFINITIONS) -> Column:
+    """(kind, symbol, confidence) of the first of the patterns, of a line's language if one is given, that matches it, or null."""
+    out = F.lit(None).cast("struct<kind:string,symbol:string,confidence:double>")
+    for langs, kind, rx, conf in reversed(patterns):
+        name = F.regexp_extract(text, rx, 1)
+        ok = lang.isin(*langs.split()) if lang is not None else F.lit(True)
+        for part in PARTS.get(rx, ()):
+            ok = ok & F.contains(text, F.lit(part))
+        out = F.when(ok & (name != "") & ~name.isin(*NOT_CALLS), F.struct(F.lit(kind).alias("kind"), name.alias("symbol"), F.lit(conf).alias("confidence"))).otherwise(out)
+    return out
+
+
+def _id() -> Column:
+    """The id of a definition (kind, path, symbol)."""
+    prefix = F.create_map(*(F.lit(x) for kv in PREFIX.items() for x in kv))[F.col("kind")]
+    return F.when(F.col("kind") == "Table", F.concat(F.lit("table:"), "symbol")).otherwise(F.concat(prefix, F.lit(":"), "path", F.lit(":"), "symbol"))
+
+
 def definitions(src: DataFrame, raw: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """(id, kind, symbol, path, lang, start_line, end_line, signature, confidence) of functions, methods, classes and tables.
 
     raw: the lines (path, line_no, text) before embedded texts were blanked, in which braces are looked for; or the files
     (path, content) themselves."""
-    def hit(x):
-        out = F.lit(None).cast("struct<kind:string,symbol:string,confidence:double>")
-        for langs, kind, rx, conf in reversed(DEFINITIONS):
-            name = F.regexp_extract(x["text"], rx, 1)
-            ok = x["lang"].isin(*langs.split()) & (name != "") & ~name.isin(*NOT_CALLS)
-            out = F.when(ok, F.struct(F.lit(kind).alias("kind"), name.alias("symbol"), F.lit(conf).alias("confidence"))).otherwise(out)
-        return out
-
     # as a function of an array's element: the patterns together make a method too long for the JVM to compile
-    found = F.filter(F.transform(F.array(F.struct("lang", "text")), hit), lambda x: x.isNotNull())
+    found = F.filter(F.transform(F.array(F.struct("lang", "text")), lambda x: _hit(x["text"], x["lang"])), lambda x: x.isNotNull())
     d = settle(src.select("path", "lang", "line_no", "text", F.explode(found).alias("d")).select("path", "lang", "line_no", "text", "d.*"))
     braced = F.col("lang").isin(*BRACED)
     ends = brace_ends(src if raw is None else raw, d.where(braced), files).unionByName(indent_ends(src.where(~braced), d.where(~braced)))
     d = d.join(settle(ends), ["path", "line_no"])
-    prefix = F.create_map(*(F.lit(x) for kv in PREFIX.items() for x in kv))[F.col("kind")]
-    id_ = F.when(F.col("kind") == "Table", F.concat(F.lit("table:"), "symbol")).otherwise(F.concat(prefix, F.lit(":"), "path", F.lit(":"), "symbol"))
-    return d.select(id_.alias("id"), "kind", "symbol", "path", "lang", F.col("line_no").alias("start_line"), "end_line", F.trim("text").alias("signature"), "confidence")
+    return d.select(_id().alias("id"), "kind", "symbol", "path", "lang", F.col("line_no").alias("start_line"), "end_line", F.trim("text").alias("signature"), "confidence")
+
+
+def _found(patterns) -> Column:
+    """Definitions (line_no, kind, symbol) among `lines`, but those of `_hidden`, by the patterns of one language."""
+    one = lambda x, i: F.struct((i + 1).alias("line_no"), F.when(~F.coalesce(F.get("_hidden", i), F.lit(False)), _hit(x, None, patterns)).alias("d"))
+    hits = F.filter(F.transform("lines", one), lambda x: x["d"].isNotNull())
+    return F.transform(hits, lambda x: F.struct(x["line_no"].alias("line_no"), x["d"]["kind"].alias("kind"), x["d"]["symbol"].alias("symbol")))
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """(id, start_line, signature, body) of the definitions in files (path, content), once each: the line where one begins, and
+    the lines after it, up to its end.
+
+    A file whose definitions end with braces is split into lines once, and all is found in its row; only of files where a
+    definition is not closed before the next one begins the braces become rows. Others go through definitions()."""
+    told = files.select("path", language(F.col("path")).alias("lang"), "content")
+    rest = told.where(F.coalesce(~F.col("lang").isin(*BRACED), F.lit(True))).select("path", "content")
+    held = hidden(told.where(F.col("lang").isin(*BRACED)).select("path", "lang", file_lines(F.col("content")).alias("lines")))
+    found = F.lit(None).cast("array<struct<line_no:int,kind:string,symbol:string>>")
+    for lang in BRACED:
+        found = F.when(F.col("lang") == lang, _found([d for d in DEFINITIONS if lang in d[0].split()])).otherwise(found)
+    held = once(held, _found=found).where(F.size("_found") > 0).withColumn("_starts", F.transform("_found", lambda x: x["line_no"]))
+    held = closings(held)
+    text = lambda x, e: F.struct(x["kind"].alias("kind"), x["symbol"].alias("symbol"), x["line_no"].alias("start_line"), F.get("lines", x["line_no"] - 1).alias("signature"), F.array_join(F.slice("lines", x["line_no"] + 1, e - x["line_no"]), "\n").alias("body"))
+    texts = F.zip_with("_found", "_ends", text)
+    held = settle(held.select("path", F.size("lines").alias("_last"), "_starts", "_b", F.when(F.col("_b").isNotNull(), F.col("_found")).alias("_found"), F.when(F.col("_b").isNull(), texts).alias("_texts")))
+    open_ = held.where("_b is not null")
+    ends = nested_ends(open_).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "end_line"))).alias("_e"))
+    open_ = open_.select("path", "_found").join(ends, "path").join(files.select("path", file_lines(F.col("content")).alias("lines")), "path")
+    open_ = open_.withColumn("_ends", F.transform("_e", lambda x: x["end_line"])).select("path", texts.alias("_texts"))
+    every = held.where("_b is null").select("path", "_texts").unionByName(open_).select("path", F.explode("_texts").alias("x")).select("path", "x.*")
+    every = every.select(_id().alias("id"), "start_line", "signature", "body")
+    src = settle(source_lines(rest))
+    if src.isEmpty():
+        return every
+    return every.unionByName(bodies(definitions(src, files=rest).join(rest, "path"), F.col("content")).select("id", "start_line", "signature", "body"))
 
 
 def import_targets(src: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Where definitions end (P8, P9): a file's text read whole by one pattern, and ends as next-lower depths.
 
-A definition begins in code, so that a stray quote above it does no harm: a mark before it ends what is open. Between two
-marks one pattern cuts strings and comments away, which leaves the braces, each with its line's number. As surveyed, a
+A definition begins in code, so that a stray quote above it does no harm: the text from it to the next one is read alone. One
+pattern passes over strings and comments there, which leaves the braces, each with its line's number. As surveyed, a
 quote lasts beyond its line, and a backslash takes the next character in code and in comments too, be it on the next line.
 
 Most definitions are closed before the next one begins: a sum over their own braces finds the end in the file's row. In files
@@ -24,12 +24,14 @@ _SHORT, _TEMPLATE = "|".join(rf"{q}[^{q}\\]*+(?:\\.[^{q}\\]*+)*+{q}" for q in ("
 EMBEDDED = rf"(?s)(//).*+|/\*(?:[^*\\]++|\\.|\*(?!/))*+\*/|{_SHORT}|{_TEMPLATE}|(['\"`]|/\*).*+|\\.?"
 TEMPLATES = EMBEDDED.replace(f"|{_TEMPLATE}", "")
 OPENERS = ("", "'", '"', "`", "/*")
-#: What follows a brace before its line's number, and what stands before a definition's line.
-BRACE_AT, RESTART = "\x01", "\x03"
-_ESC = rf"\\\n*+[^\n{RESTART}]?"
-_QUOTED = "|".join(rf"{q}[^{q}\\{RESTART}]*+(?:{_ESC}[^{q}\\{RESTART}]*+)*+{q}" for q in ("'", '"', "`"))
-#: The same for whole texts, where quotes last beyond their line, an inner /* is passed over, and a restart ends all that is open.
-WHOLE = rf"//[^\n{RESTART}]*+|/\*(?:[^*/\\{RESTART}]++|{_ESC}|/\*|/|\*(?!/))*+\*/|{_QUOTED}|(?:['\"`]|/\*)[^{RESTART}]*+|{_ESC}"
+#: What stands around a line's number behind a brace.
+BRACE_AT = "\x01"
+_ESC = r"\\\n*+[^\n]?"
+_QUOTED = "|".join(rf"{q}[^{q}\\]*+(?:{_ESC}[^{q}\\]*+)*+{q}" for q in ("'", '"', "`"))
+#: The same for whole texts, where quotes last beyond their line, an inner /* is passed over, and the text's end ends all that is open.
+WHOLE = rf"//[^\n]*+|/\*(?:[^*/\\]++|{_ESC}|/\*|/|\*(?!/))*+\*/|{_QUOTED}|(?:['\"`]|/\*)[\s\S]*+|{_ESC}"
+#: Braces with their numbers as the group; what lies between is passed over in one step, not tried at each character.
+TOLD = rf"[^/'\"`\\{{}}]*+(?:{WHOLE}|([{{}}]{BRACE_AT}[0-9]+)|[/{{}}]|\z)"
 #: Lines that a span without a closing brace goes on for. Fixed value.
 OPEN_LINES = 100
 
@@ -39,30 +41,38 @@ def stripped(text: Column, state: int, lexeme: str) -> Column:
     return F.regexp_replace(F.concat(F.lit(OPENERS[state]), text), lexeme, " $1$2")  # the blank keeps apart what a construct stood between
 
 
-def _once(d: DataFrame, **made: Column) -> DataFrame:
+def once(d: DataFrame, **made: Column) -> DataFrame:
     """d with more columns, each worked out once a row however often it is used afterwards."""
     one = F.explode(F.array(F.struct(*(c.alias(k) for k, c in made.items())))).alias("_one")
     return d.select("*", one).select(*d.columns, *(F.col(f"_one.{k}").alias(k) for k in made))
 
 
-def _masked(d: DataFrame) -> DataFrame:
-    """d (lines: array<string>, a file in each row) with the lines blanked as masked_lines() says."""
-    behind = lambda x, i: F.length(F.regexp_extract(stripped(x, i, EMBEDDED), r"(`|/\*)$", 1)).cast("string")  # noqa: E731  the opener's length is the state
-    marked = lambda x: F.rlike(x, F.lit(r"`|/\*|\*/"))
-    does = lambda x: F.when(~marked(x), "012").otherwise(F.concat(behind(x, 0), behind(x, 3), behind(x, 4)))
+def hidden(d: DataFrame) -> DataFrame:
+    """d (lines: array<string>, a file in each row) with _hidden: which lines masked_lines() blanks; null for none.
+
+    Only lines with a mark of a template or a block comment are read by the lexer, in the one state that they begin in."""
+    has = lambda x, *marks: [F.contains(x, F.lit(m)) for m in marks]
+    marked = lambda x: F.coalesce(*[F.when(c, True) for c in has(x, "`", "/*", "*/")], F.lit(False))
+    behind = lambda x, i: F.length(F.regexp_extract(stripped(x, i, EMBEDDED), r"(`|/\*)$", 1))  # noqa: E731  the opener's length is the state
+    after = lambda x, at: F.when(at == 0, behind(x, 0)).when(at == 1, behind(x, 3)).otherwise(behind(x, 4))
     opens = lambda x: F.contains(x, F.lit("`")) & F.endswith(stripped(x, 0, TEMPLATES), F.lit("`"))
-    d = _once(d, _l=F.when(F.exists("lines", marked), F.transform("lines", lambda x: F.struct(does(x).alias("does"), opens(x).alias("opens")))))
     first = F.struct(F.lit("").alias("s"), F.lit(0).alias("at"))
-    step = lambda a, x: F.struct(F.concat(a["s"], a["at"].cast("string")).alias("s"), F.substring(x["does"], a["at"] + 1, F.lit(1)).cast("int").alias("at"))
-    states = F.split(F.aggregate("_l", first, step)["s"], "")
-    hidden = F.zip_with("_l", states, lambda x, y: x["opens"] | (y != "0"))
-    shown = F.zip_with("lines", hidden, lambda x, h: F.when(h, F.lit("")).otherwise(x))
-    return d.withColumn("lines", F.when(F.col("_l").isNull(), F.col("lines")).otherwise(shown)).drop("_l")
+    step = lambda a, x: F.struct(F.concat(a["s"], a["at"].cast("string")).alias("s"), F.when(marked(x), after(x, a["at"])).otherwise(a["at"]).alias("at"))
+    d = once(d, _states=F.when(F.exists("lines", marked), F.aggregate("lines", first, step)["s"]))
+    seen = F.transform("lines", lambda x, i: (F.substring("_states", i + 1, F.lit(1)) != "0") | opens(x))
+    return once(d, _hidden=F.when(F.col("_states").isNotNull(), seen)).drop("_states")
+
+
+def _masked(d: DataFrame) -> DataFrame:
+    """d (lines: array<string>, a file in each row) with the lines blanked as masked_lines() says."""
+    d = hidden(d)
+    shown = F.zip_with("lines", "_hidden", lambda x, h: F.when(h, F.lit("")).otherwise(x))
+    return d.withColumn("lines", F.when(F.col("_hidden").isNull(), F.col("lines")).otherwise(shown)).drop("_hidden")
 
 
 def masked_files(files: DataFrame) -> DataFrame:
     """(path, ..., line_no, text) of files (path, content, ...), lines from 1, blanked as masked_lines() says."""
-    d = _masked(files.withColumn("lines", F.split("content", "\r?\n")).drop("content"))
+    d = _masked(files.withColumn("lines", file_lines(F.col("content"))).drop("content"))
     return d.select(*(c for c in d.columns if c != "lines"), F.posexplode("lines").alias("_p", "text")).withColumn("line_no", F.col("_p") + 1).drop("_p")
 
 
@@ -84,34 +94,46 @@ def brace_ends(src: DataFrame, starts: DataFrame, files: DataFrame | None = None
     (path, content), where given, stands for it and saves bringing the lines together again."""
     begun = starts.groupBy("path").agg(F.array_sort(F.collect_set("line_no")).alias("_starts"))
     if files is None:
-        held = src.join(begun.select("path"), "path", "left_semi").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_l"))
+        held = src.join(begun.select("path"), "path", "left_semi").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_r"))
+        held = held.select("path", F.transform("_r", lambda x: x["text"]).alias("lines"))
     else:
-        held = files.select("path", F.transform(F.split("content", "\r?\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("text"))).alias("_l"))
-    # each brace is followed by its line's number, and a mark stands before each definition: no construct reaches beyond it
-    own = lambda x: F.translate(x["text"], BRACE_AT + RESTART + "\n", "   ")
-    told = lambda x: F.when(F.rlike(x["text"], F.lit("[{}]")), F.regexp_replace(own(x), F.lit("([{}])"), F.concat(F.lit("$1" + BRACE_AT), x["line_no"].cast("string")))).otherwise(own(x))
-    rows = F.transform("_l", lambda x: F.struct(x["line_no"].cast("int").alias("n"), F.lit(1).alias("o"), F.concat(told(x), F.lit("\n")).alias("t")))
-    marks = F.transform("_starts", lambda n: F.struct(n.cast("int").alias("n"), F.lit(0).alias("o"), F.lit(RESTART).alias("t")))
-    text = F.array_join(F.transform(F.array_sort(F.concat(rows, marks)), lambda x: x["t"]), "")
-    parts = F.split(F.regexp_replace(text, WHOLE, " "), RESTART)
-    d = _once(held.join(begun, "path"), _parts=parts, _last=F.element_at("_l", -1)["line_no"])
-    d = _once(d.select("path", "_starts", "_last", F.slice("_parts", 2, F.size("_starts")).alias("_parts")), _b=F.transform("_parts", lambda x: F.regexp_extract_all(x, F.lit(rf"[{{}}]{BRACE_AT}[0-9]+"), F.lit(0))))
-    line = lambda x: F.substring(x, F.lit(3), F.length(x)).cast("int")
-    step = lambda a, x: F.struct((a["d"] + F.when(F.startswith(x, F.lit("{")), 1).otherwise(-1)).alias("d"), F.coalesce(a["e"], F.when(F.startswith(x, F.lit("}")) & (a["d"] == 1), line(x))).alias("e"))
-    none = F.struct(F.lit(0).alias("d"), F.lit(None).cast("int").alias("e"))
-    ends = F.transform("_b", lambda b: F.aggregate(b, none, step)["e"])
-    d = _once(d.select("path", "_starts", "_last", "_b"), _ends=ends)
-    open_ = F.exists("_ends", lambda x: x.isNull())
-    d = settle(d.select("path", "_last", "_ends", F.when(open_, F.col("_b")).alias("_b"), "_starts"))
+        held = files.select("path", file_lines(F.col("content")).alias("lines"))
+    d = closings(held.join(begun, "path"))
+    d = settle(d.select("path", F.size("lines").alias("_last"), "_ends", "_b", "_starts"))
     closed = d.where("_b is null").select("path", F.explode(F.arrays_zip(F.col("_starts").alias("line_no"), F.col("_ends").alias("end_line"))).alias("x")).select("path", F.col("x.line_no").alias("line_no"), F.col("x.end_line").alias("end_line"))
-    return closed.unionByName(_nested_ends(d.where("_b is not null"), line))
+    return closed.unionByName(nested_ends(d.where("_b is not null")))
+
+
+def file_lines(content: Column) -> Column:
+    """A text's lines. A single character is split at faster than a pattern."""
+    return F.split(F.replace(content, F.lit("\r\n"), F.lit("\n")), "\n")
+
+
+def _line(x: Column) -> Column:
+    return F.substring(x, F.lit(3), F.length(x)).cast("int")
+
+
+def closings(d: DataFrame) -> DataFrame:
+    """d (lines: array<string>, _starts: lines of definitions in order, from 1) with _ends, the lines of their closing braces, and
+    _b, where one of these is null, which a brace before the next definition does not close: the braces of each definition."""
+    at = lambda b, n: F.concat(F.lit(b + BRACE_AT), n.cast("string"), F.lit(BRACE_AT))
+    own = lambda x: F.when(F.contains(x, F.lit(BRACE_AT)), F.replace(x, F.lit(BRACE_AT), F.lit(" "))).otherwise(x)
+    told = lambda x, n: F.when(F.contains(x, F.lit("{")) | F.contains(x, F.lit("}")), F.replace(F.replace(own(x), F.lit("{"), at("{", n)), F.lit("}"), at("}", n))).otherwise(x)
+    until = lambda i: F.coalesce(F.get("_starts", i + 1), F.size("lines") + 1)
+    text = lambda s, i: F.concat(F.array_join(F.transform(F.slice("lines", s, until(i) - s), lambda x, j: told(x, s + j)), "\n"), F.lit("\n"))
+    braces = lambda s, i: F.filter(F.regexp_extract_all(text(s, i), F.lit(TOLD), F.lit(1)), lambda x: x != "")
+    step = lambda a, x: F.struct((a["d"] + F.when(F.startswith(x, F.lit("{")), 1).otherwise(-1)).alias("d"), F.coalesce(a["e"], F.when(F.startswith(x, F.lit("}")) & (a["d"] == 1), _line(x))).alias("e"))
+    none = F.struct(F.lit(0).alias("d"), F.lit(None).cast("int").alias("e"))
+    d = once(d.withColumn("_starts", F.transform("_starts", lambda n: n.cast("int"))), _b=F.transform("_starts", braces))
+    d = once(d, _ends=F.transform("_b", lambda b: F.aggregate(b, none, step)["e"]))
+    return d.withColumn("_b", F.when(F.exists("_ends", lambda x: x.isNull()), F.col("_b")))
 
 
-def _nested_ends(d: DataFrame, line) -> DataFrame:
-    """Ends in files where a definition is not closed before the next one begins: all their braces in order, as rows."""
+def nested_ends(d: DataFrame) -> DataFrame:
+    """Ends in files (path, _last, _starts, _b) where a definition is not closed before the next one begins: all their braces in order, as rows."""
     one = d.select("path", F.explode(F.arrays_zip(F.col("_starts").alias("s"), F.col("_b").alias("b"))).alias("x"))
     marks = one.select("path", F.col("x.s").alias("line_no"), F.lit(-1).alias("pos"), F.lit(0).alias("step"))
-    each = one.select("path", F.posexplode("x.b").alias("pos", "t")).select("path", line(F.col("t")).alias("line_no"), "pos", F.when(F.startswith("t", F.lit("{")), 1).otherwise(-1).alias("step"))
+    each = one.select("path", F.posexplode("x.b").alias("pos", "t")).select("path", _line(F.col("t")).alias("line_no"), "pos", F.when(F.startswith("t", F.lit("{")), 1).otherwise(-1).alias("step"))
     depth = each.unionByName(marks).withColumn("depth", F.sum("step").over(Window.partitionBy("path").orderBy("line_no", "pos")))
     back = Window.partitionBy("path", "depth").orderBy(F.desc("line_no"), F.desc("pos"))
     closing = F.last(F.when(F.col("step") == -1, F.col("line_no")), ignorenulls=True).over(back)

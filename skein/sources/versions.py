@@ -12,8 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from skein.operators.changes import BASES, diff_impact
 from skein.operators.loops import settle
-from skein.operators.mining import bodies
-from skein.sources.code import definitions, source_lines
+from skein.sources.code import symbols
 from skein.sources.manifests import SKIP_PATH
 
 MODES = ("range", "working", "staged")
@@ -145,9 +144,7 @@ def version_symbols(versions: DataFrame, side: str) -> DataFrame:
     """(id, signature, body) of the definitions in one side's files; the old side's lie under their old paths. Of an id defined twice in a file, the last counts."""
     path = F.coalesce("old_path", "path") if side == "old" else F.col("path")
     files = settle(versions.where(F.col("side") == side).select(path.alias("path"), F.coalesce("content", F.lit("")).alias("content")).distinct())
-    found = definitions(settle(source_lines(files)), files=files)
-    one = bodies(found.join(files, "path"), F.col("content"))
-    return one.groupBy("id").agg(F.max_by("signature", "start_line").alias("signature"), F.max_by("body", "start_line").alias("body"))
+    return symbols(files).groupBy("id").agg(F.max_by("signature", "start_line").alias("signature"), F.max_by("body", "start_line").alias("body"))
 
 
 def diff_versions(nodes: DataFrame, edges: DataFrame, versions: DataFrame, max_depth: int = 5) -> dict[str, DataFrame]:

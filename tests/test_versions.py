@@ -91,3 +91,21 @@ def test_what_a_change_does(spark, repo):
     assert {k: v[0] for k, v in got.items() if k.startswith("fn:")} == want | {"fn:a.ts:one": "signature_changed"}
     assert {(r["id"], r["depth"]) for r in found["impact"].collect()} == {("fn:a.ts:one", 0), ("fn:a.ts:two", 0), ("fn:a.ts:three", 0), ("fn:main.ts:run", 1)}
     assert {r["contract_id"] for r in found["contracts"].collect()} == {"contract:db/migrations", "contract:db/migrations/1.sql"}
+
+
+def test_symbols_of_files(spark):
+    """Each definition's own lines, told in its file's row: closed ones, open ones, other languages, digits behind braces, ids met twice."""
+    files = [
+        ("a.ts", "function one(x) {\r\n  const t = {1: '}'}; // }\r\n}2\r\nfunction two() {\n  /* } */ `{\n`\n}\nfunction one(y) {\n  return {0: y}; }\nrest\n"),
+        ("open.ts", "class Outer {\n  inner(a) {\n    return {3: a};\n  }9\n}\nfunction never() {\n  x\n"),
+        ("hid.ts", "const t = `\nfunction not() {\n}\n`;\n/* {\nfunction no() {}\n*/ function late() {\n}\n"),
+        ("m.py", "class A:\n    def f(self):\n        return 1\n\nx = 1\n"), ("t.sql", "create table t (a int);\n"), ("none.ts", ""), ("read.me", "function x() {\n}\n"),
+    ]
+    df = spark.createDataFrame([("M", p, None, "new", t) for p, t in files], "status string, path string, old_path string, side string, content string")
+    got = {r["id"]: (r["signature"], r["body"]) for r in versions.version_symbols(df, "new").collect()}
+    assert got == {
+        "fn:a.ts:one": ("function one(y) {", "  return {0: y}; }"), "fn:a.ts:two": ("function two() {", "  /* } */ `{\n`\n}"),
+        "cls:open.ts:Outer": ("class Outer {", "  inner(a) {\n    return {3: a};\n  }9\n}"), "fn:open.ts:inner": ("  inner(a) {", "    return {3: a};\n  }9"),
+        "fn:open.ts:never": ("function never() {", "  x\n"), "cls:m.py:A": ("class A:", "    def f(self):\n        return 1\n"), "fn:m.py:f": ("    def f(self):", "        return 1\n"),
+        "table:t": ("create table t (a int);", ""),
+    }
