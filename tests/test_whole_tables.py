@@ -7,7 +7,7 @@ from skein.plans import catalog
 from skein.plans.projection import occurrences
 
 SF = "/root/testdata/sf0.001"
-WHOLE = ("call_resolution", "debate_scores", "view_height", "view_call", "view_db", "edge_fold", "impact_tests", "compose_edges", "api_edges", "api_nodes", "nearest_root", "workspace_repos", "workspace_edges", "kept_paths", "dead_exports", "god_modules", "diff_versions")
+WHOLE = ("call_resolution", "debate_scores", "view_height", "view_call", "view_db", "edge_fold", "impact_tests", "compose_edges", "api_edges", "api_nodes", "nearest_root", "workspace_repos", "workspace_edges", "kept_paths", "dead_exports", "god_modules", "diff_versions", "diff_versions_impact")
 
 
 @pytest.mark.parametrize("name", WHOLE)
