@@ -7,6 +7,7 @@ from skein.operators import analytics as A
 from skein.operators import changes as C
 from skein.operators import paths as P
 from skein.operators import snapshot as N
+from skein.operators import store
 from skein.operators import traverse as T
 from skein.operators.composite import target_of
 from skein.plans import catalog
@@ -174,3 +175,14 @@ def test_walks_write_no_steps(spark, small, monkeypatch):
     assert T.impact_risks(n, e, met).where("kind = 'db_write'").count() == 1
     assert [r["depth"] for r in P.shortest_paths(e, start, n.where("kind = 'Table'")).collect()] == [1]
     assert not any("start_only" in w for w in written)
+
+
+def test_a_snapshot_leaves_no_large_shuffles(spark):
+    """Each part is written alone: no exchange is left in the plan, and edges count once however often an end has a node."""
+    nodes = spark.createDataFrame([("fn:a", "Function", "a", None, None), ("fn:a", "Function", "a", None, None), ("t:b", "Table", "b", None, None)], "id string, kind string, name string, path string, tags array<string>")
+    edges = spark.createDataFrame([("e1", "WRITES", "fn:a", "t:b"), ("e2", "WRITES", "fn:a", "t:none"), ("e3", "WRITES", None, "t:b"), ("e4", "CALLS", "fn:a", "fn:x")], "id string, type string, src string, dst string")
+    assert sorted(r["id"] for r in store.dangling(nodes, edges).collect()) == ["e2", "e3", "e4"]
+    out = N.context(nodes, edges)
+    got = {(r["section"], r["item"]): r["n"] for r in out.collect()}
+    assert got["health", "validation/errors"] == 3 and got["verification", "no_dangling"] == 0 and got["summary", "edges"] == 4
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
