@@ -242,7 +242,7 @@ class Packer:
                 if hi > lo:
                     r = ref[lo:hi]
                     new = np.concatenate(([True], r[1:] != r[:-1]))
-                    self.rows.append((p, SIGNATURES, sig[lo:hi].tobytes(), (np.cumsum(new) - 1).astype("<u4").tobytes(), keys[r[new]].tobytes()))
+                    self.rows.append((p, SIGNATURES, sig[lo:hi].tobytes(), np.packbits(new).tobytes(), keys[r[new]].tobytes()))  # a bit for each, set where the next key begins
         self.sig, self.owner, self.keys, self.n_sig, self.n_key = [], [], [], 0, 0
         rows, self.rows = self.rows, []
         for i in range(0, len(rows), 4096):
@@ -314,7 +314,7 @@ def reduced(packed: DataFrame) -> DataFrame:
             key = as_array(c[i], "<u8").reshape(-1, 2) if kind != SKETCHES else None
             if kind == SIGNATURES:
                 sigs.append(as_array(a[i], "<u8"))
-                refs.append(key[as_array(b[i], "<u4")])
+                refs.append(key[np.cumsum(np.unpackbits(as_array(b[i], np.uint8), count=len(sigs[-1])), dtype=np.int64) - 1])
             elif kind == NESTS:
                 name = a[i].as_py()
                 if name not in nests:
@@ -566,7 +566,8 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     parts = max(64, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES))
     found = stash(reduced(signed(docs, n, num, den, parts)))
     release(spark)
-    sizes = found.where(F.col("kind").isin(DOCS, NO_ID)).select(F.when(F.col("kind") == DOCS, F.col("a")).alias("id"), F.col("b").alias("n_shingles"), F.col("c").alias("h1"), F.col("d").alias("h2"), F.col("e").alias("tag"))
+    # written by themselves: all else that was found is deleted long before the end
+    sizes = stash(found.where(F.col("kind").isin(DOCS, NO_ID)).select(F.when(F.col("kind") == DOCS, F.col("a")).alias("id"), F.col("b").alias("n_shingles"), F.col("c").alias("h1"), F.col("d").alias("h2"), F.col("e").alias("tag")))
     # classes of equal sets; written, so that the numbers of the nodes hold
     classes = stash(sizes.where("id is not null and n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
     nests = found.where(F.col("kind") == NESTS).select(F.col("a").alias("n1"), F.col("b").alias("n2"), F.col("c").alias("k1"), F.col("d").alias("k2")).distinct()
@@ -574,16 +575,21 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     flat = lists.join(nests, ["n1", "n2"], "left").select(F.col("l1").alias("sig"), F.coalesce("k1", "n1").alias("h1"), F.coalesce("k2", "n2").alias("h2"))
     flat = flat.union(nests.select(F.col("n1").alias("sig"), "k1", "k2"))
     members = stash(flat.join(classes, ["h1", "h2"]).select("sig", F.col("node").alias("id")).distinct())
+    release(spark)
     drawn = found.where(F.col("kind") == SKETCHES).select(F.col("a").alias("h1"), F.col("b").alias("h2"), F.col("c").alias("size"), F.col("x").alias("sketch")).dropDuplicates(["h1", "h2"])
     drawn = drawn.join(classes, ["h1", "h2"]).join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
     sketches = stash(drawn.select(F.col("node").alias("id"), "size", "sketch").mapInArrow(_shortened, "id long, size long, sketch binary, short binary"))
+    discard(found)
+    release(spark)
     sets = Sets(docs, classes, n, num, den)
 
     hubs = members.groupBy("sig").agg(F.min("id").alias("a"))
     star = stash(members.join(hubs, "sig").where("a <> id").select("a", F.col("id").alias("b")).distinct())
     first = stash(sketch_pairs(star, sketches, num, den).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    release(spark)
     links = sets.verify(first)
     discard(star, first)
+    release(spark)
     comp = components(links)
     discard(links)
     for best in (True, False):
@@ -599,8 +605,10 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
         if not best:
             more = more.union(small_pairs(members.where(F.col("n") <= SMALL))).distinct()
         tested = stash(sketch_pairs(more, sketches, num, den))
+        release(spark)
         links = sets.verify(tested)
         discard(tested)
+        release(spark)
         if not links.isEmpty():
             before, comp = comp, join_components(comp, links)
             discard(before)
@@ -610,7 +618,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     named = lowest.join(smallest, "comp").select("h1", "h2", "low", "comp")
     out = sizes.join(named, ["h1", "h2"], "left")
     out = stash(out.select(F.col("id").alias(id_col), "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("low")).otherwise(F.col("id")).alias("component_id"), *([F.col("tag").alias(tag), F.when(F.col("id").isNotNull(), F.col("comp")).alias("group_id")] if tag else [])))
-    discard(found, classes, members, sketches, comp, *sets.written)
+    discard(sizes, classes, members, sketches, comp, *sets.written)
     return out
 
 

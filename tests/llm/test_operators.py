@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -602,3 +603,26 @@ def test_layouts(spark):
     kept = chat_format.format_chat(clash)
     assert kept.where("_parsed = 'own' and _turns = 'own' and _esc = 'own' and parsed = 'own'").count() == df.count() and kept.where("fingerprint = 'own'").count() == 0
     assert chat_format.MAPPINGS[1].fingerprint == hashlib.sha256(b"messages\nmessages[].content\nmessages[].role").hexdigest()[:16]
+
+
+def test_packed_references_take_a_bit(spark):
+    """A signature's reference travels as a bit, not as a number, and leads to the same key as before."""
+    bands = ngram_join.Bands(80, 100)
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(n)).astype(np.uint64)) for n in (1, 7, 40, 300, 300)]
+    packer = ngram_join.Packer(3, bands)
+    packer.add(pa.array(range(5), pa.int64()), np.zeros(5, np.int64), np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets]))))
+    batches = [b.to_pydict() for b in packer.flush()]
+    owners = {}
+    for x in sets:
+        for g in np.unique(ngram_join.signatures(x, bands)).tolist():
+            owners.setdefault(g, []).append(ngram_join.keys_of(x, np.array([0, len(x)]), ngram_join.W.mix(x))[0].tobytes())
+    want = {g: own[0] for g, own in owners.items() if len(own) == 1}  # what several sets share leads to a nest
+    got = {}
+    for d in batches:
+        for kind, a, b, c in zip(d["kind"], d["a"], d["b"], d["c"]):
+            if kind == ngram_join.SIGNATURES:
+                sig, key = np.frombuffer(a, "<u8"), np.frombuffer(c, "<u8").reshape(-1, 2)
+                assert len(b) == -(-len(sig) // 8)
+                got |= {int(g): key[k].tobytes() for g, k in zip(sig, np.cumsum(np.unpackbits(np.frombuffer(b, np.uint8), count=len(sig)), dtype=np.int64) - 1)}
+    assert got.keys() == owners.keys() and {g: got[g] for g in want} == want and len(want) > 100
