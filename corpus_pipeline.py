@@ -16,9 +16,17 @@ ORACLE_SQL = None  # signatures, word windows and packing have no SQL form; test
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; a null text is rejected, a null language judged against all."""
-    judged = quality_rules.quality_rules(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text", "lang"))
-    return judged.where("kept").select(*(F.col(f"row.`{c}`") for c in docs.columns))
+    """Documents that the quality rules keep, written; a null text is rejected, a null language judged against all.
+
+    A text is written once beside its measures, not in its row too, and these go as soon as what is kept has been written:
+    a stage's tables lie in the shared folder while the next one runs."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    measured = stash(quality_rules.measures(docs.select(row, "text", "lang")))
+    refs = stash(quality_rules.references(measured))
+    kept = quality_rules.judge(measured, refs).where("kept")
+    out = stash(kept.select(*(F.col("text" if c == "text" else f"row.`{c}`") for c in docs.columns)))
+    discard(measured, refs)
+    return out
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,6 +81,7 @@ STAGES = [("quality_rules", quality), ("ngram_join", dedup), ("pii", private), (
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        before, docs = docs, stash(stage(spark, docs, sf_dir))
+        before, docs = docs, stage(spark, docs, sf_dir)
+        docs = docs if hasattr(docs, "_stashed_at") else stash(docs)
         discard(before)  # each stage reads what the one before it wrote, and nothing older
     return STAGES[-1][1](spark, docs, sf_dir)

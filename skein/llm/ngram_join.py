@@ -604,7 +604,10 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
         more = tile_pairs(big, sketches, num, den, best)
         if not best:
             more = more.union(small_pairs(members.where(F.col("n") <= SMALL))).distinct()
+        more = stash(more)  # the sketches that travelled to the tiles go before they travel to the pairs
+        release(spark)
         tested = stash(sketch_pairs(more, sketches, num, den))
+        discard(more)
         release(spark)
         links = sets.verify(tested)
         discard(tested)

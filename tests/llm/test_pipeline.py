@@ -1,11 +1,13 @@
 """The stages of the corpus pipeline on a small table."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skein.llm.common import stash
+from skein.llm import ngram_join
+from skein.llm.common import shared_dir, stash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 
@@ -54,3 +56,26 @@ def test_stages_on_odd_tables(spark):
             assert name == "pack" or out.columns == docs.columns
             n = out.count()
             assert n >= (0 if name in ("quality_rules", "mix") or docs is empty else 3), name
+
+
+def test_quality_leaves_its_output_alone(spark):
+    """The measures, and the texts beside them, are gone from the shared folder when the next stage begins."""
+    at = shared_dir(spark).removeprefix("file://")
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(99)) for _ in range(60)) for _ in range(5)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0, "e") for i, t in enumerate([*texts, None, "x"])], SCHEMA)
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    out = corpus_pipeline.quality(spark, docs, "")
+    assert {f"{at}/{x}" for x in set(os.listdir(at)) - before} == {out._stashed_at.removeprefix("file://")}
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()}
+
+
+def test_pairs_are_written_before_their_sketches_travel(spark, monkeypatch):
+    """What the tiles found is a table of its own, so that their shuffle can go first."""
+    met = []
+    real = ngram_join.sketch_pairs
+    monkeypatch.setattr(ngram_join, "sketch_pairs", lambda pairs, *rest: met.append(hasattr(pairs, "_stashed_at")) or real(pairs, *rest))
+    text = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, text), (2, text + " and"), (3, text + " or"), (4, "none of it")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4} and len(met) > 1 and all(met)
