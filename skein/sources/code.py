@@ -148,15 +148,16 @@ def symbols(files: DataFrame) -> DataFrame:
     text = lambda x, e: F.struct(x["kind"].alias("kind"), x["symbol"].alias("symbol"), x["line_no"].alias("start_line"), F.get("lines", x["line_no"] - 1).alias("signature"), F.array_join(F.slice("lines", x["line_no"] + 1, e - x["line_no"]), "\n").alias("body"))
     texts = F.zip_with("_found", "_ends", text)
     held = settle(held.select("path", F.size("lines").alias("_last"), "_starts", "_b", F.when(F.col("_b").isNotNull(), F.col("_found")).alias("_found"), F.when(F.col("_b").isNull(), texts).alias("_texts")))
-    open_ = held.where("_b is not null")
-    ends = nested_ends(open_).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "end_line"))).alias("_e"))
-    open_ = open_.select("path", "_found").join(ends, "path").join(files.select("path", file_lines(F.col("content")).alias("lines")), "path")
-    open_ = open_.withColumn("_ends", F.transform("_e", lambda x: x["end_line"])).select("path", texts.alias("_texts"))
-    every = held.where("_b is null").select("path", "_texts").unionByName(open_).select("path", F.explode("_texts").alias("x")).select("path", "x.*")
+    told_texts, open_ = held.where("_b is null").select("path", "_texts"), held.where("_b is not null")
+    if not open_.isEmpty():  # the files' texts are brought to them; where there are none, no text is shuffled
+        ends = nested_ends(open_).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "end_line"))).alias("_e"))
+        open_ = open_.select("path", "_found").join(ends, "path").join(files.select("path", file_lines(F.col("content")).alias("lines")), "path")
+        told_texts = told_texts.unionByName(open_.withColumn("_ends", F.transform("_e", lambda x: x["end_line"])).select("path", texts.alias("_texts")))
+    every = told_texts.select("path", F.explode("_texts").alias("x")).select("path", "x.*")
     every = every.select(_id().alias("id"), "start_line", "signature", "body")
-    src = settle(source_lines(rest))
-    if src.isEmpty():
+    if rest.select("path").isEmpty():
         return every
+    src = settle(source_lines(rest))
     return every.unionByName(bodies(definitions(src, files=rest).join(rest, "path"), F.col("content")).select("id", "start_line", "signature", "body"))
 
 

@@ -141,9 +141,11 @@ def file_versions(spark: SparkSession, repo: str, mode: str | None = None, base:
 
 
 def version_symbols(versions: DataFrame, side: str) -> DataFrame:
-    """(id, signature, body) of the definitions in one side's files; the old side's lie under their old paths. Of an id defined twice in a file, the last counts."""
+    """(id, signature, body) of the definitions in one side's files (versions: a written table); the old side's lie under their old paths. Of an id defined twice in a file, the last counts."""
     path = F.coalesce("old_path", "path") if side == "old" else F.col("path")
-    files = settle(versions.where(F.col("side") == side).select(path.alias("path"), F.coalesce("content", F.lit("")).alias("content")).distinct())
+    files = versions.where(F.col("side") == side).select(path.alias("path"), F.coalesce("content", F.lit("")).alias("content"))
+    if not files.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # copies of one file; else no text is shuffled
+        files = settle(files.distinct())
     return symbols(files).groupBy("id").agg(F.max_by("signature", "start_line").alias("signature"), F.max_by("body", "start_line").alias("body"))
 
 

@@ -5,6 +5,7 @@ import subprocess
 
 import pytest
 
+from skein.operators.loops import settle
 from skein.sources import versions
 
 pytestmark = pytest.mark.skipif(shutil.which("git") is None, reason="needs git")
@@ -109,3 +110,23 @@ def test_symbols_of_files(spark):
         "fn:open.ts:never": ("function never() {", "  x\n"), "cls:m.py:A": ("class A:", "    def f(self):\n        return 1\n"), "fn:m.py:f": ("    def f(self):", "        return 1\n"),
         "table:t": ("create table t (a int);", ""),
     }
+
+
+def test_texts_of_closed_files_are_not_shuffled(spark, monkeypatch):
+    """Where each definition is closed and each path stands once, texts are read where they lie; copies of a file count once."""
+    schema = "status string, path string, old_path string, side string, content string"
+    one, two = "function a(x) {\n  y\n}\n", "function b(x) {\n  if (x) { y }\n}\n"
+    rows = [("M", "a.ts", None, "old", one), ("M", "b.ts", None, "old", two), ("C", "c.ts", "a.ts", "old", one)]
+    written = []
+    monkeypatch.setattr(versions, "settle", lambda df: written.append(df.count()) or settle(df))
+    plain = versions.version_symbols(settle(spark.createDataFrame(rows[:2], schema)), "old")
+    assert not written
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan
+    copied = versions.version_symbols(settle(spark.createDataFrame(rows, schema)), "old")
+    assert written == [2]
+    want = {("fn:a.ts:a", "function a(x) {", "  y\n}"), ("fn:b.ts:b", "function b(x) {", "  if (x) { y }\n}")}
+    assert {tuple(r) for r in plain.collect()} == want and {tuple(r) for r in copied.collect()} == want
+    open_ = "class O {\n  m(a) {\n    x\n  }\n}\n"
+    nested = versions.version_symbols(settle(spark.createDataFrame([("C", p, "o.ts", "old", open_) for p in ("p.ts", "q.ts")], schema)), "old")
+    assert {tuple(r) for r in nested.collect()} == {("cls:o.ts:O", "class O {", "  m(a) {\n    x\n  }\n}"), ("fn:o.ts:m", "  m(a) {", "    x\n  }")}
