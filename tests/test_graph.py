@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from skein.functions.ids import edge_id, kind_of
 from skein.operators.loops import settle
 from skein.operators import analytics as A
+from skein.operators import loops
+from skein.operators import snapshot as N
 from skein.operators import store as S
 from skein.operators import traverse as T
 
@@ -175,3 +177,32 @@ def test_rings_are_not_walked(spark, monkeypatch):
     assert got == {f"r{i}": 40 for i in range(40)} | {"a": 2, "b": 2, "c": 3}
     assert len(rounds) < 10
     assert {r["id"] for r in A.cycle_members(edges, 3).collect()} == {"a", "b", "c"}
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """Plans of what is written, where every side of a join is taken for one of many rows."""
+    seen = []
+    monkeypatch.setattr(loops, "FEW", -1)
+    for m in (T, A, S, N):
+        monkeypatch.setattr(m, "settle", lambda df: seen.append(plan(df)) or settle(df))
+    return seen
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def told(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_risks_of_many_are_not_broadcast(spark, graph, request):
+    """A graph's files may be small where its rows are many: joins go by counted rows, not by sizes of files."""
+    n, e = graph
+    risks = lambda: T.impact_risks(n, e, T.reach(n, e, start(spark)), e.select("id"))
+    few = told(risks())
+    plans = request.getfixturevalue("plans")
+    many = risks()
+    assert told(many) == few and len(plans) > 4
+    assert not any("BroadcastExchange" in p for p in [*plans, plan(T.impact_risks(n, e, T.reach(n, e, start(spark))))])
