@@ -206,3 +206,11 @@ def test_risks_of_many_are_not_broadcast(spark, graph, request):
     many = risks()
     assert told(many) == few and len(plans) > 4
     assert not any("BroadcastExchange" in p for p in [*plans, plan(T.impact_risks(n, e, T.reach(n, e, start(spark))))])
+
+
+def test_severity_of_many_is_not_broadcast(spark, graph, plans):
+    n, e = graph
+    met = T.reach(n, e, start(spark))
+    out = T.severity(T.reported(n, met), T.impact_risks(n, e, met))
+    assert out.first()["severity"] in ("medium", "critical")
+    assert not any("BroadcastExchange" in p for p in [*plans, plan(T.reported(n, met))])
