@@ -214,3 +214,9 @@ def test_severity_of_many_is_not_broadcast(spark, graph, plans):
     out = T.severity(T.reported(n, met), T.impact_risks(n, e, met))
     assert out.first()["severity"] in ("medium", "critical")
     assert not any("BroadcastExchange" in p for p in [*plans, plan(T.reported(n, met))])
+
+
+def test_tests_of_many_are_not_broadcast(spark, graph, plans):
+    out = T.impact(*graph, start(spark), "downstream", 3, kind="Test")
+    assert ids(out) == {"test:catalog/service.test.ts:testCreateItem"}
+    assert not any("BroadcastExchange" in p for p in [*plans, plan(out)])
