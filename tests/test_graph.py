@@ -220,3 +220,12 @@ def test_tests_of_many_are_not_broadcast(spark, graph, plans):
     out = T.impact(*graph, start(spark), "downstream", 3, kind="Test")
     assert ids(out) == {"test:catalog/service.test.ts:testCreateItem"}
     assert not any("BroadcastExchange" in p for p in [*plans, plan(out)])
+
+
+def test_snapshot_of_many_is_not_broadcast(spark, graph, plans):
+    """Of the 20 most connected alone it is known that they are few."""
+    n, e = graph
+    parts = [A.scored(n, e), A.view(n, e, "height", None)[1], A.orphans(n, e), S.dangling(n, e), A.policies(n, e)]
+    assert ids(A.view(n, e, "height", None)[1]) == ids(e.where("type in ('WRITES', 'EXPOSES', 'CONTAINS')").where("not src like 'file:%'"))
+    assert parts[2].count() == 3 and parts[3].count() == 0
+    assert plans and not any("BroadcastExchange" in p for p in [*plans, *map(plan, parts)])
